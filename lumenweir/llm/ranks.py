@@ -1,0 +1,30 @@
+"""Positions within groups of any size, without a task that holds a whole group.
+
+Rows are dealt by (group, bucket), where the bucket is a hash of the row: a group that holds a third of all rows still
+falls into many even parts. A row's position is its rank within its part plus the sizes of the parts before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Rows that one part of the largest possible group is meant to hold, and the fewest parts a group is cut into.
+PART_ROWS = 50_000
+LEAST_PARTS = 64
+
+
+def parts_for(rows: int) -> int:
+    """Parts of a group, as a power of 2 that follows the table's size."""
+    return max(LEAST_PARTS, 1 << max(0, -(-rows // PART_ROWS) - 1).bit_length())
+
+
+def ranked(df: DataFrame, group: str, bucket: Column, order: list, name: str) -> DataFrame:
+    """df with `name`, the 0-based position within `group` by (bucket, order). Groups must not be null."""
+    df = df.withColumn("_bucket", bucket)
+    sizes = df.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
+    out = df.withColumn("_rank", inner).join(offsets, [group, "_bucket"])
+    return out.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_bucket", "_before", "_rank")
