@@ -48,6 +48,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     recipes = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text")), lambda c: named(c, salt)).alias("recipe"))
     rows = stored(recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")), "recipes")
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = stored(groups, "groups")  # else the join keeps the aggregate's partitions, which can't be split
     each = rows.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
