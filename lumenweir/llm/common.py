@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -32,11 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenweir/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    released(spark)
+    out = spark.read.schema(schema).parquet(path)
     out._lumenweir_path = path
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished plans now; it acts when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored(), once nothing reads them any more."""
     path = getattr(df, "_lumenweir_path", None)

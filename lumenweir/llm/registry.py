@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lumenweir.llm import exact, mixing, packing, quality, secrets, tokens
+from lumenweir.llm import exact, mixing, packing, quality, secrets, substrings, tokens
 
-MODULES = (quality, tokens, mixing, secrets, packing, exact)
+MODULES = (quality, tokens, mixing, secrets, packing, substrings, exact)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
