@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lumenweir.llm import exact, mixing, near, packing, quality, secrets, substrings, tokens
+from lumenweir.llm import exact, mixing, near, packing, quality, secrets, sites, substrings, tokens
 
-MODULES = (near, quality, tokens, mixing, secrets, packing, substrings, exact)
+MODULES = (near, quality, tokens, mixing, secrets, packing, substrings, exact, sites)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
