@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -28,25 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at or "/tmp/lumenweir-checkpoints"
 
 
+#: Delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and return a scan of it: lineage ends there and survives lost executors."""
+    """Write df as Parquet into the shared folder and return a scan of it: lineage ends there and survives lost executors.
+
+    The write's shuffle files go at its end; nothing reads them again, as readers scan the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenweir/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    released(spark)
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._lumenweir_path = path
     return out
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished plans now; it acts when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored(), once nothing reads them any more."""
     path = getattr(df, "_lumenweir_path", None)
