@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenweir.functions.strict_json import parsed
+
 ORDERS = {"analysis_first": ("analysis", "verdict", "location"), "verdict_first": ("verdict", "analysis", "location")}
 LABELS = ("PRESENT", "ABSENT")
 WHOLE = r"^(?:TINYINT|SMALLINT|INT|BIGINT)$"
@@ -53,24 +55,24 @@ def _valid_body(parsed: Column, raw: Column, line_count: Column) -> Column:
 def valid_report(raw: Column, line_count: Column, order: str = "analysis_first") -> Column:
     """Whether raw is a report: JSON without repeated keys, exactly these keys in this order, strict types, bounds, and a
     location where and only where the verdict is PRESENT."""
-    parsed = F.try_parse_json(raw)
-    return parsed.isNotNull() & _same_keys(raw, list(ORDERS[order]), True) & _valid_body(parsed, raw, line_count)
+    tree = parsed(raw)
+    return tree.isNotNull() & _same_keys(raw, list(ORDERS[order]), True) & _valid_body(tree, raw, line_count)
 
 
 def canonical_report(raw: Column, order: str = "analysis_first") -> Column:
     """Compact JSON of a valid report with its keys in the given order."""
-    parsed = F.try_parse_json(raw)
-    text = lambda k: F.regexp_replace(F.to_json(F.array(F.try_variant_get(parsed, f"$.{k}", "string"))), r"(?s)^\[|\]$", "")
-    whole = lambda k: F.try_variant_get(parsed, f"$.location.{k}_line", "bigint").cast("string")
-    name = F.coalesce(F.regexp_replace(F.to_json(F.array(F.try_variant_get(parsed, "$.location.function", "string")), {"ignoreNullFields": "false"}), r"(?s)^\[|\]$", ""), F.lit("null"))
-    place = F.when(_kind(parsed, "$.location") == "VOID", F.lit("null")).otherwise(F.concat(F.lit('{"start_line":'), whole("start"), F.lit(',"end_line":'), whole("end"), F.lit(',"function":'), name, F.lit("}")))
+    tree = parsed(raw)
+    text = lambda k: F.regexp_replace(F.to_json(F.array(F.try_variant_get(tree, f"$.{k}", "string"))), r"(?s)^\[|\]$", "")
+    whole = lambda k: F.try_variant_get(tree, f"$.location.{k}_line", "bigint").cast("string")
+    name = F.coalesce(F.regexp_replace(F.to_json(F.array(F.try_variant_get(tree, "$.location.function", "string")), {"ignoreNullFields": "false"}), r"(?s)^\[|\]$", ""), F.lit("null"))
+    place = F.when(_kind(tree, "$.location") == "VOID", F.lit("null")).otherwise(F.concat(F.lit('{"start_line":'), whole("start"), F.lit(',"end_line":'), whole("end"), F.lit(',"function":'), name, F.lit("}")))
     value = {"analysis": text("analysis"), "verdict": text("verdict"), "location": place}
     return F.concat(F.lit("{"), *(x for i, k in enumerate(ORDERS[order]) for x in (F.lit(("," if i else "") + f'"{k}":'), value[k])), F.lit("}"))
 
 
 def verdict_of(raw: Column, line_count: Column, order: str = "analysis_first") -> Column:
     """PRESENT, ABSENT, or INVALID; an output is never repaired."""
-    return F.when(valid_report(raw, line_count, order), F.try_variant_get(F.try_parse_json(raw), "$.verdict", "string")).otherwise("INVALID")
+    return F.when(valid_report(raw, line_count, order), F.try_variant_get(parsed(raw), "$.verdict", "string")).otherwise("INVALID")
 
 
 def label_verdict(raw: Column) -> Column:
@@ -89,15 +91,15 @@ def answer_status(raw: Column, line_count: Column, label: Column, tokens: Column
 
     tokens: the number of tokens of the answer's report.
     """
-    parsed = F.try_parse_json(raw)
-    report = F.to_json(_part(parsed, "$.report"))
-    status = F.try_variant_get(parsed, "$.status", "string")
-    reason = F.try_variant_get(parsed, "$.reason_code", "string")
-    shape = parsed.isNotNull() & _same_keys(raw, ["status", "report", "reason_code"], False)
-    bare = (_kind(parsed, "$.report") == "VOID") & reason.isin("INSUFFICIENT_CONTEXT", "UNRESOLVED_ASSUMPTIONS")
-    body = _part(parsed, "$.report")
-    good = (_kind(parsed, "$.reason_code") == "VOID") & _same_keys(report, ["analysis", "verdict", "location"], False) & _valid_body(body, report, line_count) & (tokens <= most_tokens)
-    agrees = F.try_variant_get(parsed, "$.report.verdict", "string") == label
+    tree = parsed(raw)
+    report = F.to_json(_part(tree, "$.report"))
+    status = F.try_variant_get(tree, "$.status", "string")
+    reason = F.try_variant_get(tree, "$.reason_code", "string")
+    shape = tree.isNotNull() & _same_keys(raw, ["status", "report", "reason_code"], False)
+    bare = (_kind(tree, "$.report") == "VOID") & reason.isin("INSUFFICIENT_CONTEXT", "UNRESOLVED_ASSUMPTIONS")
+    body = _part(tree, "$.report")
+    good = (_kind(tree, "$.reason_code") == "VOID") & _same_keys(report, ["analysis", "verdict", "location"], False) & _valid_body(body, report, line_count) & (tokens <= most_tokens)
+    agrees = F.try_variant_get(tree, "$.report.verdict", "string") == label
     return (
         F.when(shape & (status == "UNSUPPORTED") & bare, "unsupported")
         .when(shape & (status == "OK") & good & agrees, "accepted")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweir.functions.strict_json import parsed
+
 STATUSES = ("accepted", "disagreed", "unsupported", "invalid", "pending")
 
 
@@ -58,8 +60,8 @@ def complete_pairs(rows: DataFrame) -> DataFrame:
 
 def usage_sums(events: DataFrame, raw: str, keys: list[str], *by: str) -> DataFrame:
     """Sum of each integer of a JSON text by key (null if none is there), and the rows without any of them."""
-    parsed = F.try_parse_json(raw)
-    value = {k: F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")).rlike("INT$"), F.try_variant_get(parsed, f"$.{k}", "bigint")) for k in keys}
+    tree = parsed(F.col(raw))
+    value = {k: F.when(F.schema_of_variant(F.try_variant_get(tree, f"$.{k}", "variant")).rlike("INT$"), F.try_variant_get(tree, f"$.{k}", "bigint")) for k in keys}
     rows = events.select(*by, *(v.alias(k) for k, v in value.items()))
     none = F.count_if(F.coalesce(*(F.col(k) for k in keys)).isNull())
     return rows.groupBy(*by).agg(*(F.sum(k).alias(k) for k in keys), none.alias("without_usage"))
