@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweir.functions.strict_json import parsed
 from lumenweir.llm.common import dropped, stored
 
 #: A string argument "$ref:ID" stands for the result of call ID.
@@ -27,7 +28,7 @@ MOST_LEVELS = 1000
 
 def canonical(json: Column) -> Column:
     """Canonical form of a JSON text; null if it isn't JSON or repeats a key."""
-    return F.to_json(F.try_parse_json(json))
+    return F.to_json(parsed(json))
 
 
 def quoted(text: Column) -> Column:
@@ -40,18 +41,18 @@ def problems(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
 
     tools: name -> {"properties": {argument: kind}, "required": [argument]}; kinds are the keys of KINDS.
     """
-    parsed = F.try_parse_json(arguments)
+    tree = parsed(arguments)
     keys = F.json_object_keys(arguments)
     wrong = F.array(F.lit("unknown tool"))
     for tool, schema in sorted(tools.items()):
         known = schema.get("properties", {})
         checks = [F.when(~F.array_contains(keys, a), F.lit(f"missing {a}")) for a in sorted(schema.get("required", []))]
         for a, kind in sorted(known.items()):
-            of = F.schema_of_variant(F.try_variant_get(parsed, f"$['{a}']", "variant"))
+            of = F.schema_of_variant(F.try_variant_get(tree, f"$['{a}']", "variant"))
             checks.append(F.when(F.array_contains(keys, a) & ~of.rlike("^" + KINDS[kind]), F.lit(f"{a} is no {kind}")))
         extra = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))), lambda k: F.concat(F.lit("unknown "), k))
         found = F.concat(F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"), extra)
-        wrong = F.when(name == tool, F.when(parsed.isNull() | keys.isNull(), F.array(F.lit("no JSON object"))).otherwise(found)).otherwise(wrong)
+        wrong = F.when(name == tool, F.when(tree.isNull() | keys.isNull(), F.array(F.lit("no JSON object"))).otherwise(found)).otherwise(wrong)
     return wrong
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweir.sources.tables import dropped, stored  # noqa: F401
+
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 rows would put ten thousand long documents in one batch.
 BATCH_ROWS = 1000
 #: Text bytes that the vectorised kernels take at once; a longer document is a chunk of its own.
@@ -21,43 +22,6 @@ def whole_texts(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; a local one only if unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return at or "/tmp/lumenweir-checkpoints"
-
-
-#: Delete an execution's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and return a scan of it: lineage ends there and survives lost executors.
-
-    The write's shuffle files go at its end; nothing reads them again, as readers scan the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenweir/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lumenweir_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by stored(), once nothing reads them any more."""
-    path = getattr(df, "_lumenweir_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

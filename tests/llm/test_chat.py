@@ -55,6 +55,8 @@ def test_links_chains_and_cycles(spark):
         ('{"q":"a","q":"b"}', ["no JSON object"]),
         ("[1]", ["no JSON object"]),
         ("nope", ["no JSON object"]),
+        ('{"q":"a"}}', ["no JSON object"]),
+        ('{"q":"a"} {"q":"b"}', ["no JSON object"]),
         (None, ["no JSON object"]),
     ],
 )
