@@ -1,0 +1,132 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenweir.operators import curation as C
+from lumenweir.operators.components import components
+
+ROWS = "query_id bigint, partition string, collection string, label string, version string, group_id string, source_tokens bigint"
+
+
+def sample(seed, n=120):
+    rnd = random.Random(seed)
+    return [(i, rnd.choice(["train", "test"]), rnd.choice("ab"), "PRESENT" if rnd.random() < 0.35 else "ABSENT", rnd.choice(["4", "5", "8"]), f"g{rnd.randint(0, 30)}", rnd.randint(1, 900)) for i in range(n)]
+
+
+def order(seed, i):
+    return hashlib.sha256(f'[{seed},"{i}"]'.encode()).hexdigest()
+
+
+def greedy(rows, levels, seed):
+    """The sequential matching rule, over plain tuples."""
+    out, cells = set(), defaultdict(list)
+    for r in rows:
+        cells[r[1], r[2]].append(r)
+    for cell in cells.values():
+        by = {v: sorted((r for r in cell if r[3] == v), key=lambda r: order(seed, r[0])) for v in C.LABELS}
+        few, many = sorted(C.LABELS, key=lambda v: (len(by[v]), v))
+        free, use, got = list(by[many]), Counter(), {}
+        for depth, level in enumerate(levels):
+            for case in by[few]:
+                if case[0] in got:
+                    continue
+                pool = [c for c in free if all(c[k] == case[k] for k in level)]
+                if pool:
+                    best = min(pool, key=lambda c: (use[c[5]], order(seed, c[0])))
+                    free.remove(best)
+                    use[best[5]] += 1
+                    got[case[0]] = best[0]
+                    out |= {(case[0], "case", best[0], depth), (best[0], "control", case[0], depth)}
+        out |= {(c[0], "surplus", None, None) for c in free}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_balance_equals_the_rule(spark, seed):
+    rows = sample(seed)
+    got = C.balanced_greedy(spark.createDataFrame(rows, ROWS), [["version"], []], 42).collect()
+    assert {(r.query_id, r.match_role, r.match_partner, r.match_level) for r in got} == greedy(rows, [[4], []], 42)
+
+
+def test_rank_balance_is_one_to_one(spark):
+    rows = sample(3)
+    got = C.balanced_ranks(spark.createDataFrame(rows, ROWS), 42).collect()
+    ids = [i for r in got for i in (r.case_id, r.control_id)]
+    by = {r[0]: r for r in rows}
+    assert len(ids) == len(set(ids))
+    for r in got:
+        a, b = by[r.case_id], by[r.control_id]
+        assert a[1:3] == b[1:3] and a[3] != b[3] and (r.match_level == 1 or a[4] == b[4])
+    cells = Counter((r[1], r[2], r[3]) for r in rows)
+    assert len(got) == sum(min(cells[p, c, "PRESENT"], cells[p, c, "ABSENT"]) for p in ("train", "test") for c in "ab")
+
+
+def test_equal_counts_make_absent_the_cases(spark):
+    rows = [(i, "t", "a", v, "4", f"g{i}", 1) for i, v in enumerate(["PRESENT", "ABSENT"] * 2)]
+    got = C.balanced_greedy(spark.createDataFrame(rows, ROWS), [[]], 1).collect()
+    assert {r.match_role for r in got if r.query_id % 2} == {"case"}
+
+
+def test_pilot_equals_the_rule(spark):
+    rows = sample(7, 200)
+    key = lambda r: hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()
+    chosen = []
+    for v in C.LABELS:
+        ranked, picked = sorted((r for r in rows if r[3] == v), key=key), []
+        for fresh in (True, False):
+            for r in ranked:
+                if len(picked) == 5:
+                    break
+                if r in picked or r[5] in {x[5] for x in chosen + picked} or fresh and r[2] in {x[2] for x in picked}:
+                    continue
+                picked.append(r)
+        chosen += picked
+    got = C.pilot_sample(spark.createDataFrame(rows, ROWS), 5, 42).collect()
+    assert {r.query_id for r in got} == {r[0] for r in chosen}
+
+
+def test_duplicates_and_families(spark):
+    rows = [("x", 2, "PRESENT", "o2"), ("x", 1, "PRESENT", "o1"), ("y", 3, "PRESENT", "o1"), ("y", 4, "ABSENT", "o3"), ("z", 5, "ABSENT", "o9")]
+    df = spark.createDataFrame(rows, "identity string, path bigint, label string, origin string")
+    got = {r.path: r.reason for r in C.exact_duplicates(df).collect()}
+    assert got == {1: None, 2: "duplicate", 3: "conflicting_duplicate", 4: "conflicting_duplicate", 5: None}
+    assert {r.identity: r.families for r in C.families(df, F.col("origin") != "o9").collect()} == {"x": ["o1", "o2"], "y": ["o1", "o3"], "z": []}
+
+
+def test_pair_removal(spark):
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "left bigint, right bigint")
+    state = spark.createDataFrame([(1, "accepted", False), (2, "disagreed", False), (3, "accepted", True), (4, "accepted", False), (5, "accepted", False), (6, "accepted", False)], "query_id bigint, status string, too_long boolean")
+    got = {r.query_id: r.reason for r in C.pair_removal(pairs, state).collect()}
+    assert got == {1: "partner_removed", 2: "teacher_disagreed", 3: "overlength_sequence", 4: "partner_removed", 5: None, 6: None}
+
+
+def test_split_keeps_groups_whole_and_passes_gates(spark):
+    rows = spark.createDataFrame(sample(9, 400), ROWS).drop("partition").withColumn("stratum", F.concat_ws("|", "collection", "label"))
+    least = {"train": 5, "validation": 1, "test": 2}
+    out, seed = C.stratified_group_split(rows, 8, range(42, 50), least)
+    got = out.collect()
+    assert len(got) == 400 and seed >= 42
+    of = defaultdict(set)
+    for r in got:
+        of[r.group_id].add(r.partition)
+    assert all(len(v) == 1 for v in of.values())
+    assert all(r.passed for r in C.gates(out, least, 2).collect())
+
+
+def test_forest_and_components(spark):
+    edges = [(1, 2, "declared_family", None), (1, 3, "exact_skeleton", None), (2, 3, "near_clone", 0.9), (4, 5, "near_clone", 0.87)]
+    df = spark.createDataFrame(edges, "left bigint, right bigint, reason string, score double")
+    assert {(r.left, r.right) for r in C.spanning_forest(df).collect()} == {(1, 2), (1, 3), (4, 5)}
+    label = {r.node: r.label for r in components(df.select(F.col("left").alias("a"), F.col("right").alias("b"))).collect()}
+    assert label == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    groups = {r.key: r.group_id for r in C.grouped(spark.createDataFrame([(i,) for i in range(1, 7)], "key bigint"), df).collect()}
+    assert groups[1] == groups[3] == hashlib.sha256(b'["1","2","3"]').hexdigest() and groups[6] == hashlib.sha256(b'["6"]').hexdigest()
+
+
+def test_reason_order(spark):
+    df = spark.createDataFrame([(1,), (5,), (9,)], "x int")
+    got = [r.reason for r in C.with_reason(df, [("small", F.col("x") < 2), ("odd", F.col("x") % 2 == 1)]).orderBy("x").collect()]
+    assert got == ["small", "odd", "odd"]
