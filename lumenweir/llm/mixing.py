@@ -123,4 +123,26 @@ def op4_source_mix(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_source_mix": op4_source_mix}
-SQL: dict[str, str] = {}
+#: The schedule of a period by a recursive simulation, slot by slot.
+SQL = {
+    "op4_source_mix": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS o FROM documents),
+        s AS (SELECT key, count(*) AS n, pow(count(*), {POWER}) AS w FROM d GROUP BY 1),
+        e AS (SELECT *, w / sum(w) OVER () * ({PERIOD} - count(*) OVER ()) AS x, count(*) OVER () AS c FROM s),
+        f AS (SELECT *, CAST({PERIOD} - c - sum(floor(x)) OVER () AS BIGINT) AS spare, row_number() OVER (ORDER BY floor(x) - x, key) AS place FROM e),
+        p AS (SELECT key, n, CAST(1 + floor(x) + (spare + c - place) // c AS BIGINT) AS p FROM f),
+        l AS (SELECT list(key ORDER BY key) AS keys, list(p ORDER BY key) AS ps, list(n ORDER BY key) AS ns FROM p),
+        sim(t, k, i) AS (
+          SELECT CAST(-1 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM l
+          UNION ALL
+          SELECT t + 1, list_transform(k, lambda x, j: CASE WHEN j = pick THEN x + 1 ELSE x END), pick FROM (
+            SELECT t, k, list_position(due, list_min(due)) AS pick FROM (
+              SELECT t, k, list_transform(k, lambda x, j: CASE WHEN x < ps[j] AND x * {PERIOD} // ps[j] <= t + 1 THEN ((x + 1) * {PERIOD} + ps[j] - 1) // ps[j] ELSE {PERIOD} * 10 END) AS due FROM sim, l WHERE t < {PERIOD} - 1))),
+        plan AS (SELECT keys[i] AS key, t, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS k FROM sim, l WHERE t >= 0),
+        stop AS (SELECT min(((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS}) * {PERIOD} // p) AS stop FROM p),
+        r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY o, doc_id) - 1 AS pos FROM d),
+        b AS (SELECT doc_id, source, p.p, pos // {BLOCK_ROWS} AS block, pos % {BLOCK_ROWS} AS place, r.key FROM r JOIN p ON p.key = r.key)
+        SELECT doc_id, source, p AS share, block, block * {PERIOD} // p AS release, ((block + 1) * {PERIOD} + p - 1) // p AS deadline, block // p * {PERIOD} + t AS slot, place, block // p * {PERIOD} + t < stop AS on_target
+        FROM b JOIN plan ON plan.key = b.key AND plan.k = block % p, stop
+    """
+}

@@ -204,4 +204,13 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_substring_dedup": op7_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+        twice AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM x SEMI JOIN twice USING (s)) GROUP BY 1),
+        kept AS (SELECT doc_id, len(w) AS n, coalesce(len(p), 0) AS r, CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda y, k: NOT list_contains(p, k)) END AS w FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(w, ' ')) AS kept_sha256 FROM kept
+    """
+}
