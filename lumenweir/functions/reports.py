@@ -13,6 +13,26 @@ WHOLE = r"^(?:TINYINT|SMALLINT|INT|BIGINT)$"
 MOST_ANALYSIS = 1200
 
 
+def report_schema(order: str = "analysis_first") -> dict:
+    """The JSON Schema of a report, its fields in the given order: a location where and only where the verdict is PRESENT."""
+    line = {"type": "integer", "minimum": 1}
+    place = {"type": "object", "properties": {"start_line": line, "end_line": line, "function": {"type": ["string", "null"]}}, "required": ["start_line", "end_line", "function"], "additionalProperties": False}
+    fields = {
+        "analysis": {"type": "string", "minLength": 1, "maxLength": MOST_ANALYSIS, "pattern": r"\S"},
+        "verdict": {"enum": list(LABELS)},
+        "location": {"anyOf": [place, {"type": "null"}]},
+    }
+    rule = {"if": {"properties": {"verdict": {"const": "PRESENT"}}}, "then": {"properties": {"location": place}}, "else": {"properties": {"location": {"type": "null"}}}}
+    return {"type": "object", "properties": {k: fields[k] for k in ORDERS[order]}, "required": list(ORDERS[order]), "additionalProperties": False} | rule
+
+
+def answer_schema() -> dict:
+    """The JSON Schema of an answer: a report, or a reason why there is none."""
+    reasons = {"enum": ["INSUFFICIENT_CONTEXT", "UNRESOLVED_ASSUMPTIONS"]}
+    fields = {"status": {"enum": ["OK", "UNSUPPORTED"]}, "report": {"anyOf": [report_schema(), {"type": "null"}]}, "reason_code": {"anyOf": [reasons, {"type": "null"}]}}
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
 def _part(parsed: Column, path: str) -> Column:
     return F.try_variant_get(parsed, path, "variant")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import platform
+
+import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +52,18 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a = left.select(key).distinct().withColumn("l", F.lit(True))
     b = right.select(key).distinct().withColumn("r", F.lit(True))
     return a.join(b, key, "full_outer").agg(F.count_if(F.col("r").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("unexpected"))
+
+
+def settings_key(settings: dict) -> str:
+    """Digest of settings as canonical JSON: a run with another key must not continue this one."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def environment(spark: SparkSession, inputs: DataFrame | None = None) -> dict:
+    """Versions and the digests of input files (a file_manifest), for a provenance record."""
+    return {
+        "python": platform.python_version(),
+        "pyspark": pyspark.__version__,
+        "spark": spark.version,
+        "inputs": {r["name"]: r["sha256"] for r in inputs.collect()} if inputs is not None else {},
+    }
