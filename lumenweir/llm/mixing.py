@@ -53,8 +53,11 @@ def shares(docs: DataFrame, targets: dict[str, float] | None = None, period: int
     return one.select(F.transform("s", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"), p(x).alias("p"))).alias("sources"))
 
 
-def schedule(one: DataFrame, period: int = PERIOD) -> DataFrame:
-    """key, n, p, k, t: the slot t of a period in which the source's k-th block of the period runs; `period` rows."""
+def schedule(one: DataFrame, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, n, p, k, t, stop: the slot t of a period in which the source's k-th block of the period runs; `period` rows.
+
+    stop is the first slot at which some source has no block left.
+    """
     q = F.lit(period).cast("bigint")
     never = F.lit(1 << 60)
     src = F.col("sources")
@@ -73,8 +76,9 @@ def schedule(one: DataFrame, period: int = PERIOD) -> DataFrame:
 
     start = F.struct(F.transform(src, lambda _: F.lit(0).cast("bigint")).alias("k"), F.array().cast("array<int>").alias("run"))
     run = F.aggregate(F.sequence(F.lit(0).cast("bigint"), q - 1), start, step, lambda s: s["run"])
-    slots = one.filter(F.size("sources") > 0).select("sources", F.posexplode(run).alias("t", "i"))
-    slots = slots.select(F.col("t").cast("bigint").alias("t"), F.element_at("sources", F.col("i")).alias("s")).select("t", "s.*")
+    stop = F.array_min(F.transform(src, lambda x: F.floor(F.ceil(x["n"] / F.lit(block_rows)) * q / x["p"])))
+    slots = one.filter(F.size("sources") > 0).withColumn("stop", stop).select("sources", "stop", F.posexplode(run).alias("t", "i"))
+    slots = slots.select(F.col("t").cast("bigint").alias("t"), "stop", F.element_at("sources", F.col("i")).alias("s")).select("t", "stop", "s.*")
     order = Window.partitionBy("key").orderBy("t")
     return slots.withColumn("k", (F.row_number().over(order) - 1).cast("bigint"))
 
@@ -93,14 +97,12 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, block_rows:
     sort together; repeated rows take places of their own; an empty table gives an empty result; other columns pass
     through. The schedule has `period` rows and is broadcast; a source with a third of all rows is ranked in many parts.
     """
-    one = shares(docs, targets, period, power)
-    plan = schedule(one, period)
+    plan = schedule(shares(docs, targets, period, power), period, block_rows)
     bits = parts_for(docs.count()).bit_length() + 3
     rows = docs.withColumn("_key", source_key(F.col("source"))).withColumn("_order", spread(F.col("doc_id")))
     rows = ranked(rows, "_key", F.shiftright("_order", 60 - bits), ["_order", "doc_id"], "_at")
     q, b = F.lit(period).cast("bigint"), F.lit(block_rows).cast("bigint")
-    ends = one.select(F.array_min(F.transform("sources", lambda x: F.floor(F.ceil(x["n"] / b) * q / x["p"]))).alias("_end"))
-    plan = plan.crossJoin(F.broadcast(ends)).select(F.col("key").alias("_key"), F.col("p").alias("_p"), F.col("k").alias("_k"), F.col("t").alias("_t"), "_end")
+    plan = plan.select(F.col("key").alias("_key"), F.col("p").alias("_p"), F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("stop").alias("_end"))
     block = F.expr(f"_at div {block_rows}")
     share = plan.groupBy("_key").agg(F.first("_p").alias("_p"))
     rows = rows.join(F.broadcast(share), "_key").withColumn("_block", block).withColumn("_k", F.pmod(F.col("_block"), F.col("_p")))

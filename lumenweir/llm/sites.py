@@ -74,8 +74,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return ratio, logistic(x, y), float(np.clip(y.mean(), 0.01, 0.99))
 
 
-def strength(groups: DataFrame, mean: Column) -> DataFrame:
-    """One row, strength: how many documents a group's mean must count against its parent's, by the method of moments.
+def strength(groups: DataFrame, mean: Column) -> float:
+    """How many documents a group's mean must count against its parent's, by the method of moments.
 
     groups (n, s, q): documents, sum and sum of squares of their evidence. mean: the parent's rate, of each group.
     """
@@ -83,9 +83,10 @@ def strength(groups: DataFrame, mean: Column) -> DataFrame:
     within = F.sum((F.col("q") - F.col("n") * F.pow(F.col("rate"), 2))) / F.greatest(F.sum(F.col("n") - 1), F.lit(1))
     between = F.sum(F.col("n") * F.pow(F.col("rate") - F.col("parent"), 2)) / F.sum("n")
     noise = F.count("*") / F.sum("n")
-    one = g.agg(within.alias("w"), between.alias("b"), noise.alias("m"))
-    tau = F.greatest(F.col("b") - F.col("w") * F.col("m"), F.lit(1e-12))
-    return one.select(F.least(F.greatest(F.coalesce(F.col("w") / tau, F.lit(LEAST_STRENGTH)), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
+    w, b, m = g.agg(within, between, noise).first()
+    if w is None:  # no groups at all
+        return LEAST_STRENGTH
+    return min(max(w / max(b - w * m, 1e-12), LEAST_STRENGTH), MOST_STRENGTH)
 
 
 def log_odds(p: Column) -> Column:
@@ -111,15 +112,14 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     rows = stored(f.select("doc_id", "host", "path", F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0)).alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "evidence")
     sums = (F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
     paths = stored(rows.groupBy("host", "path").agg(*sums), "paths")
-    hosts = paths.groupBy("host").agg(*(F.sum(k).alias(k) for k in "nsq"))
-    every = hosts.agg((F.sum("s") / F.sum("n")).alias("all"))
-    hosts = hosts.crossJoin(F.broadcast(every))
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, F.col("all")).withColumnRenamed("strength", "kh")))
-    hosts = stored(hosts.select("host", ((F.col("s") + F.col("kh") * F.col("all")) / (F.col("n") + F.col("kh"))).alias("host_rate")), "hosts")
-    rated = paths.join(hosts, "host")
-    rated = stored(rated.crossJoin(F.broadcast(strength(rated, F.col("host_rate")).withColumnRenamed("strength", "kp"))), "rated")
+    hosts = stored(paths.groupBy("host").agg(*(F.sum(k).alias(k) for k in "nsq")), "sites")
+    every = F.lit(hosts.agg(F.try_divide(F.sum("s"), F.sum("n"))).first()[0] or 0.5)
+    kh = F.lit(strength(hosts, every))
+    hosts = stored(hosts.select("host", ((F.col("s") + kh * every) / (F.col("n") + kh)).alias("host_rate")), "hosts")
+    rated = stored(paths.join(hosts, "host"), "rated")
+    kp = F.lit(strength(rated, F.col("host_rate")))
     out = rows.join(rated, ["host", "path"])
-    others = (F.col("s") - F.col("p") + F.col("kp") * F.col("host_rate")) / (F.col("n") - 1 + F.col("kp"))
+    others = (F.col("s") - F.col("p") + kp * F.col("host_rate")) / (F.col("n") - 1 + kp)
     out = out.withColumn("path_rate", others).withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") - F.lit(float(np.log(base / (1 - base)))) + log_odds(F.col("path_rate"))))))
     return out.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
 
