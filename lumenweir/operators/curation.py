@@ -98,9 +98,8 @@ def hash_partition(key: Column, folds: int = 8, test: tuple[int, ...] = (0, 1),
 
 def split_cells(rows: DataFrame) -> DataFrame:
     """partition, collection, label, n (0 for a missing label), groups: rows and distinct groups of each cell."""
-    labels = rows.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")
     cells = rows.groupBy("partition", "collection", "label").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups"))
-    every = rows.select("partition", "collection").distinct().crossJoin(F.broadcast(labels))
+    every = rows.select("partition", "collection").distinct().withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
     return every.join(cells, ["partition", "collection", "label"], "left").select("partition", "collection", "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("groups", F.lit(0)).alias("groups"))
 
 

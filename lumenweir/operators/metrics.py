@@ -76,11 +76,10 @@ def bootstrap(predictions: DataFrame, draws: int, seed: str, comparisons: list[t
     """
     vectors = predictions.groupBy("mode", "group_id").agg(*count_vector())
     numbered = vectors.select("group_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("group_id")) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    spark = predictions.sparkSession
-    pulls = spark.range(draws).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("d"))
+    spark, n = predictions.sparkSession, numbered.count()
+    pulls = spark.range(draws if n else 0).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint"))).alias("d"))
     key = F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("d").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.col("n"))
+    pick = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.lit(max(n, 1)))
     times = pulls.select("r", pick.alias("k")).groupBy("r", "k").agg(F.count("*").alias("times"))
     drawn = times.join(numbered, "k").join(vectors, "group_id").groupBy("r", "mode").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in COUNTS))
     f1 = drawn.filter("gold_p > 0 AND gold_a > 0").select("r", "mode", macro_f1().alias("f1"))
@@ -158,8 +157,8 @@ def tfidf(tokens: DataFrame, most_gram: int = 2) -> DataFrame:
     grams = F.concat(*map(runs, range(1, most_gram + 1)))
     tf = tokens.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = tokens.agg(F.count("*").alias("docs"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    docs = F.lit(tokens.count())
+    raw = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + docs) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
 

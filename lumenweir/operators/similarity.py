@@ -64,5 +64,5 @@ def contained_passages(docs: DataFrame, passages: DataFrame, anchor: int = 8) ->
         hits = d.filter(F.size("w") >= k).select("doc_id", starts.alias("h")).join(p.filter(F.col("k") == k), "h").select("doc_id", "item_id", "passage")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        return docs.select("doc_id").limit(0).crossJoin(passages.select("item_id").limit(0))
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}")
     return out.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id").distinct()

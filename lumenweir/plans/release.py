@@ -112,8 +112,8 @@ def evaluate(predictions: DataFrame, gold: DataFrame, comparisons: list[tuple[st
 
     Every mode must cover the gold ids exactly; otherwise it is an error.
     """
-    modes = predictions.agg(F.array_sort(F.collect_set("mode")).alias("modes"))  # a handful
-    wanted = gold.select("id").crossJoin(F.broadcast(modes)).select(F.explode("modes").alias("mode"), "id")
+    modes = sorted(r.mode for r in predictions.select("mode").distinct().collect())  # a handful
+    wanted = gold.select(F.explode(F.array(*map(F.lit, modes))).alias("mode"), "id")
     key = lambda df: df.select(F.concat_ws(":", "mode", F.col("id").cast("string")).alias("k"))
     gap = N.coverage(key(wanted), key(predictions), "k").collect()[0]
     if gap.missing or gap.unexpected:
