@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from lumenweir.sources.tables import dropped, stored  # noqa: F401
 
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 rows would put ten thousand long documents in one batch.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Text bytes that the vectorised kernels take at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def whole_texts(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from lumenweir.llm.common import documents, texts_of, whole_texts
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens whose result a worker remembers. Beyond that many it forgets them all and starts anew; counts don't change.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 @functools.cache
