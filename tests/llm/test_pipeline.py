@@ -81,3 +81,9 @@ def test_empty_and_all_rejected(spark, tmp_path):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "source_mix", "best_fit_packing"]
     assert all(re.fullmatch(r"\w+", n) for n, _ in corpus_pipeline.STAGES)
+
+
+def test_mix_keeps_all_rows_beside_a_one_row_source(spark):
+    docs = spark.range(40_001).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang", "if(id = 7, 'rare', 'big') AS source", "4L AS n_chars")
+    rows = corpus_pipeline.mix(spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40_001))
