@@ -6,6 +6,8 @@ are still larger than LEAF branch on, by two coordinates on the first levels. Cl
 then, if those are near, on their full sets. A pair is compared in the first tree in which it meets, so nothing is
 compared twice, and a leaf emits a forest of its links, not all pairs. A pair of similarity s meets in a tree with
 probability s to the leaf's depth, so TREES trees of depth 1 miss a pair at the threshold with probability (1 - s)^TREES.
+Nodes that are still larger than LEAF after the levels of two branches are in the end joined whole, by pairs of blocks,
+but for pairs that the trees' links have connected.
 """
 
 from __future__ import annotations
@@ -102,11 +104,14 @@ def branch(tree: Column, node: Column, level: int, sig: Column) -> Column:
     return F.xxhash64(tree, node, pick, F.element_at(sig, pick + 1))
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """tree, leaf, cid of the leaves with two classes or more; a leaf has about LEAF + HUBS rows at most."""
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """tree, leaf, cid of the leaves with two classes or more; a leaf has about LEAF + HUBS rows at most.
+
+    And tree, node, cid of the nodes still larger than LEAF on the first level after the wide ones, if there are any.
+    """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("cid", "sig", trees).select("tree", branch(F.col("tree"), F.lit(0).cast("bigint"), 0, F.col("sig")).alias("node"), "cid")
-    out, kept = None, []
+    out, crowded, kept = None, None, []
     for level in range(1, LEVELS + 1):
         rows = stored(rows, "nodes")
         sizes = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
@@ -117,6 +122,8 @@ def leaves(classes: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         crowd = rows.join(large, ["tree", "node"])
+        if level == min(WIDE_LEVELS + 1, LEVELS):
+            crowded = stored(crowd.select("tree", "node", "cid"), "crowded")
         if level < LEVELS:
             own, of = crowd.join(classes.select("cid", "sig"), "cid"), lambda k, level=level: branch(F.col("tree"), F.col("node"), level + k * LEVELS, F.col("sig"))
             # two branches a class keep a pair together more often than one where trees must be deep
@@ -134,7 +141,20 @@ def leaves(classes: DataFrame) -> DataFrame:
     out = stored(out, "leaves")
     for t in kept:
         dropped(t)
-    return out
+    return out, crowded
+
+
+def block_pairs(crowded: DataFrame, info: DataFrame) -> DataFrame:
+    """tree, leaf, cid: a leaf for every pair of blocks of a node, of about 4 * LEAF rows, so that all classes of a node meet.
+
+    Nodes whose classes are all connected (one label in info.seen) have nothing left to compare.
+    """
+    rows = crowded.join(info.select("cid", F.element_at("seen", 1).alias("label")), "cid")
+    open_nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    open_nodes = open_nodes.select("tree", "node", F.ceil(F.col("size") / (2 * LEAF)).cast("bigint").alias("blocks"))
+    rows = rows.join(open_nodes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter("blocks = 1 OR block <> other")
+    return rows.select(F.lit(1).alias("tree"), F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other")).alias("leaf"), "cid")
 
 
 def by_leaf(batches: Iterator[pa.RecordBatch], use: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +242,35 @@ def in_leaves(df: DataFrame, use: Callable[[pa.Table], pa.Table | None], kind: s
 
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between classes (cid) that link every pair of classes at or over the threshold, by a path at least."""
-    spark = docs.sparkSession
-    met = leaves(classes)
+    met, crowded = leaves(classes)
     # a leaf of each class in each tree (0: none): a pair that shares one has met in that tree, and needs no further comparison
     last = F.array(*(F.coalesce(F.max(F.when(F.col("tree") == k, F.col("leaf"))), F.lit(0).cast("bigint")) for k in range(TREES)))
     info = classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid")
     info = stored(info.select("cid", "n", "seen", "sig"), "info")
+    out = confirmed(docs, classes, met, info)
+    for t in (met, info):
+        dropped(t)
+    if crowded is None:
+        return out
+    labels = components(out)
+    # in place of leaves, what a class is connected with: such pairs are left out
+    info = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", F.array(F.xxhash64(F.coalesce("label", "cid"))).alias("seen"), "sig")
+    info = stored(info, "info")
+    met = stored(block_pairs(crowded, info), "pairs")
+    if not met.isEmpty():
+        more = confirmed(docs, classes, met, info)
+        both = stored(out.unionByName(more), "links")
+        for t in (out, more):
+            dropped(t)
+        out = both
+    for t in (labels, crowded, info, met):
+        dropped(t)
+    return out
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFrame) -> DataFrame:
+    """Edges (a, b): the links of the leaves in met (tree, leaf, cid), of classes as in info (cid, n, seen, sig)."""
+    spark = docs.sparkSession
     near = in_leaves(met.join(info, "cid"), near_in_leaf, "tree int, leaf bigint, cid bigint")
     near = stored(near, "near")
     wanted = stored(near.select("cid").distinct(), "wanted")
@@ -252,7 +295,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = stored(sets, "sets")
     found = in_leaves(near.join(info.drop("sig"), "cid").join(sets, "cid"), links_in_leaf, "a bigint, b bigint")
     out = stored(found.distinct(), "links")
-    for t in (met, info, near, wanted, sets):
+    for t in (near, wanted, sets):
         dropped(t)
     return out
 

@@ -66,6 +66,24 @@ def test_deep_trees_and_blocks_find_the_same_components(spark, make_docs, monkey
     assert got == brute(rows)
 
 
+def test_isolated_links_in_a_family_below_the_threshold(spark, make_docs, monkeypatch):
+    """120 texts of one template, 0.82 to 0.846 alike as they share one place of edits at most, and 40 lone partners at 0.905."""
+    for name, value in {"LEAF": 8, "HUBS": 2, "LEVELS": 3, "TREES": 4}.items():
+        monkeypatch.setattr(N, name, value)
+    base = [f"c{i}" for i in range(304)]
+    texts = []
+    for i in range(120):
+        a, b = divmod(i, 20)
+        places = [5 * k + 4 for k in (a, 20 + b, 40 + (a + b) % 20)]
+        for mark in "ef" if i % 3 == 0 else "e":
+            texts.append(" ".join(f"{mark}{i}.{k}" if k in places else x for k, x in enumerate(base)))
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(kept for _, _, kept in want.values()) == 120
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_groups(make_docs(rows)).collect()}
+    assert got == want
+
+
 def test_repeated_and_unnamed_rows_and_empty_table(spark, make_docs):
     long = " ".join(f"w{i}" for i in range(80))
     docs = make_docs([(3, long), (3, long), (7, long + " end"), (None, long), (9, None), (5, "alone here"), (5, long + " fin")])
