@@ -25,13 +25,11 @@ from lumenweir.llm.common import chunked, documents, dropped, stored, whole_text
 from lumenweir.operators.components import components
 
 WORDS = 5
-#: Similarity of a link in percent.
+#: Similarity of a link in percent, unless another is given.
 PERCENT = 85
 TREES = 10
-#: Minwise coordinates of a signature, and the share of equal ones below which a pair isn't compared on full sets: five
-#: standard deviations under the threshold.
+#: Minwise coordinates of a signature.
 COORDINATES = 64
-NEAR = 0.62
 #: Classes of a leaf, levels of a tree, and, for a node that is still larger at the last level, how many of its classes
 #: (about, by a hash of class and tree) join each of its blocks.
 LEAF = 128
@@ -157,6 +155,12 @@ def block_pairs(crowded: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select(F.lit(1).alias("tree"), F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other")).alias("leaf"), "cid")
 
 
+def screen(percent: int) -> float:
+    """The share of equal coordinates below which a pair isn't compared on full sets: five standard deviations under the threshold."""
+    s = percent / 100
+    return np.floor(100 * (s - 5 * (s * (1 - s) / COORDINATES) ** 0.5)) / 100
+
+
 def by_leaf(batches: Iterator[pa.RecordBatch], use: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
     """Call `use` on the rows of each leaf, from batches sorted by (tree, leaf); a leaf may run over several batches."""
     rest: pa.Table | None = None
@@ -175,9 +179,9 @@ def by_leaf(batches: Iterator[pa.RecordBatch], use: Callable[[pa.Table], pa.Tabl
         yield from out.to_batches()
 
 
-def _open(sizes: np.ndarray, seen: np.ndarray, tree: int) -> np.ndarray:
+def _open(sizes: np.ndarray, seen: np.ndarray, tree: int, percent: int) -> np.ndarray:
     """Pairs of a leaf (upper triangle) that may reach the threshold by size and met in no earlier tree."""
-    ok = np.minimum.outer(sizes, sizes) * 100 >= PERCENT * np.maximum.outer(sizes, sizes)
+    ok = np.minimum.outer(sizes, sizes) * 100 >= percent * np.maximum.outer(sizes, sizes)
     for k in range(tree):
         col = seen[:, k]
         ok &= (col[:, None] != col[None, :]) | (col == 0)[:, None]
@@ -189,28 +193,28 @@ def _lists(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return c.flatten().to_numpy().view(kind).reshape(len(c), -1)
 
 
-def near_in_leaf(t: pa.Table) -> pa.Table | None:
+def near_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
     """The classes of a leaf that have a partner near by signature which they have not met before."""
     if len(t) < 2:
         return None
-    ok = _open(t["n"].to_numpy(), _lists(t["seen"], np.int64), int(t["tree"][0].as_py()))
+    ok = _open(t["n"].to_numpy(), _lists(t["seen"], np.int64), int(t["tree"][0].as_py()), percent)
     if not ok.any():
         return None
     sig = _lists(t["sig"], np.uint32)
     i, j = np.nonzero(ok)
     close = np.zeros(len(i), bool)
     for a in range(0, len(i), 4096):
-        close[a : a + 4096] = (sig[i[a : a + 4096]] == sig[j[a : a + 4096]]).mean(axis=1) >= NEAR
+        close[a : a + 4096] = (sig[i[a : a + 4096]] == sig[j[a : a + 4096]]).mean(axis=1) >= screen(percent)
     some = np.unique(np.concatenate([i[close], j[close]]))
     return t.select(["tree", "leaf", "cid"]).take(pa.array(some)) if len(some) else None
 
 
-def links_in_leaf(t: pa.Table) -> pa.Table | None:
+def links_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
     """A forest of the links of a leaf, each confirmed on the full sets."""
     if len(t) < 2:
         return None
     sizes, cid = t["n"].to_numpy(), t["cid"].to_numpy()
-    ok = _open(sizes, _lists(t["seen"], np.int64), int(t["tree"][0].as_py()))
+    ok = _open(sizes, _lists(t["seen"], np.int64), int(t["tree"][0].as_py()), percent)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
     root = list(range(len(t)))
 
@@ -228,7 +232,7 @@ def links_in_leaf(t: pa.Table) -> pa.Table | None:
         x, y = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
         at = np.searchsorted(y, x)
         shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        if 100 * shared >= PERCENT * (int(sizes[i]) + int(sizes[j]) - shared):
+        if 100 * shared >= percent * (int(sizes[i]) + int(sizes[j]) - shared):
             root[max(a, b)] = min(a, b)
             left.append(cid[i])
             right.append(cid[j])
@@ -240,14 +244,14 @@ def in_leaves(df: DataFrame, use: Callable[[pa.Table], pa.Table | None], kind: s
     return df.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "cid").mapInArrow(lambda it: by_leaf(it, use), kind)
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes (cid) that link every pair of classes at or over the threshold, by a path at least."""
     met, crowded = leaves(classes)
     # a leaf of each class in each tree (0: none): a pair that shares one has met in that tree, and needs no further comparison
     last = F.array(*(F.coalesce(F.max(F.when(F.col("tree") == k, F.col("leaf"))), F.lit(0).cast("bigint")) for k in range(TREES)))
     info = classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid")
     info = stored(info.select("cid", "n", "seen", "sig"), "info")
-    out = confirmed(docs, classes, met, info)
+    out = confirmed(docs, classes, met, info, percent)
     for t in (met, info):
         dropped(t)
     if crowded is None:
@@ -258,7 +262,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     info = stored(info, "info")
     met = stored(block_pairs(crowded, info), "pairs")
     if not met.isEmpty():
-        more = confirmed(docs, classes, met, info)
+        more = confirmed(docs, classes, met, info, percent)
         both = stored(out.unionByName(more), "links")
         for t in (out, more):
             dropped(t)
@@ -268,10 +272,10 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b): the links of the leaves in met (tree, leaf, cid), of classes as in info (cid, n, seen, sig)."""
     spark = docs.sparkSession
-    near = in_leaves(met.join(info, "cid"), near_in_leaf, "tree int, leaf bigint, cid bigint")
+    near = in_leaves(met.join(info, "cid"), lambda t: near_in_leaf(t, percent), "tree int, leaf bigint, cid bigint")
     near = stored(near, "near")
     wanted = stored(near.select("cid").distinct(), "wanted")
     shipped = spark.sparkContext.broadcast(bitmap_of(wanted, F.xxhash64("cid"), wanted.count()))
@@ -293,15 +297,15 @@ def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFra
     named = classes.join(wanted, "cid", "left_semi").select("cid", "a", "b")
     sets = sets.join(named, ["cid", "a", "b"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
     sets = stored(sets, "sets")
-    found = in_leaves(near.join(info.drop("sig"), "cid").join(sets, "cid"), links_in_leaf, "a bigint, b bigint")
+    found = in_leaves(near.join(info.drop("sig"), "cid").join(sets, "cid"), lambda t: links_in_leaf(t, percent), "a bigint, b bigint")
     out = stored(found.distinct(), "links")
     for t in (near, wanted, sets):
         dropped(t)
     return out
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs; links are pairs of a similarity of percent or more.
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows of one doc_id are one document
     to the links (of several texts the one with the smallest set stands for it); rows with null doc_id can't be named: their component_id is null and they are kept. Repeated rows get
@@ -317,7 +321,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     one = full.join(names.withColumnRenamed("cid", "doc_id"), ["n", "a", "b", "doc_id"])
     least = F.min(F.struct("n", "a", "b", "sig")).alias("s")
     classes = stored(one.groupBy(F.col("doc_id").alias("cid")).agg(least).select("cid", "s.*"), "classes")
-    links = class_links(docs, classes)
+    links = class_links(docs, classes, percent)
     labels = components(links)
     of = names.join(labels, names["cid"] == labels["node"], "left").select("n", "a", "b", F.coalesce("label", "cid").alias("label"))
     of = stored(of, "of")

@@ -87,3 +87,13 @@ def test_mix_keeps_all_rows_beside_a_one_row_source(spark):
     docs = spark.range(40_001).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang", "if(id = 7, 'rare', 'big') AS source", "4L AS n_chars")
     rows = corpus_pipeline.mix(spark, docs, "").select("doc_id").collect()
     assert sorted(r.doc_id for r in rows) == list(range(40_001))
+
+
+def test_near_stage_takes_pairs_from_0_8(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"{m}{i}" if i in at else x for i, x in enumerate(base)) for m, at in (("a", ()), ("b", range(40, 260, 40)))]
+    far = [" ".join(f"{x}.{k}" for x in base) for k in range(2)]
+    a, b = map(shingle_set, texts)
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts + far)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2, 3]
