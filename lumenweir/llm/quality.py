@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.llm import words
-from lumenweir.llm.common import chunked, documents, whole_texts
+from lumenweir.llm.common import chunked, documents, dropped, stored, whole_texts
 
 NGRAM = 4
 BUCKETS = 1 << 16
 #: Mean log-likelihood ratio per n-gram below which a document is rejected.
 THRESHOLD = -0.6
 MIN_WORDS = 50
-#: Trusted documents that the target multinomial is fitted on, at most: those with the least hashes of their ids. So the
-#: ids can be broadcast, and no text is moved for the fit. The raw multinomial counts every document.
-MOST_TRUSTED = 20_000
+#: Ids of trusted documents that are broadcast, at most, as one sorted array of 8 bytes each, so that no text is moved for
+#: the fit. More are joined, which moves texts but counts the same: both multinomials count every document of theirs.
+MOST_SHIPPED = 8_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -144,20 +144,39 @@ def mean_of(ratio: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums / np.maximum(sizes, 1)
 
 
+def with_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, trusted of every row of docs; trusted documents have a label of quality 1."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    good = stored(good, "trusted")
+    if good.count() > MOST_SHIPPED:
+        return docs.join(good.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left")
+    shipped = spark.sparkContext.broadcast(np.sort(good.toArrow()["doc_id"].to_numpy()))
+    dropped(good)
+
+    def trusted(doc_id: pa.Array) -> pa.Array:
+        ids, have = shipped.value, doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(ids):
+            return pa.array(np.zeros(len(have), bool))
+        same = ids[np.minimum(np.searchsorted(ids, have), len(ids) - 1)] == have
+        return pa.array(same & doc_id.is_valid().to_numpy(zero_copy_only=False))
+
+    return docs.withColumn("trusted", F.arrow_udf(trusted, "boolean")(F.col("doc_id").cast("bigint")))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Column:
     """A column for the rows of docs: struct of the base counts, base_failed, score and kept.
 
-    Fitting reads every document once, against a broadcast of at most MOST_TRUSTED ids of labelled documents; the column
-    then needs one more pass. Neither moves texts. The model is BUCKETS numbers whatever the corpus. Null text: no words, so
+    Fitting reads every document once, against a broadcast of the ids of all trusted documents (a join beyond MOST_SHIPPED
+    of them, which alone moves texts); the column then needs one more pass. The model is BUCKETS numbers whatever the corpus. Null text: no words, so
     base_failed. Null doc_ids and labels match nothing; repeated labels of a document count once; a document with any
     label of quality 1 is trusted. Without trusted text the score is 0 and the base rules decide alone. Repeated rows get
     the same verdict; other columns pass through untouched.
     """
     spark = docs.sparkSession
     whole_texts(spark)
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRUSTED).withColumn("trusted", F.lit(True))
-    target, raw = count_grams(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left"), [F.col("trusted"), F.lit(True)])
+    target, raw = count_grams(with_trusted(docs, labels), [F.col("trusted"), F.lit(True)])
     shipped = spark.sparkContext.broadcast(log_ratio(target, raw))
 
     def verdict(text: pa.Array) -> pa.Array:

@@ -74,6 +74,17 @@ def test_no_labels_and_empty_table(spark, make_docs):
     assert verdicts(docs.limit(0), none) == {}
 
 
+def test_target_counts_every_trusted_document(spark, monkeypatch):
+    """All of 20,500 documents are trusted, so target and raw corpus are the same and every score is 0; broadcast or joined."""
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('word', md5(string(id))) AS text")
+    every = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    half = every.withColumn("quality", (every["doc_id"] % 2).cast("int"))
+    assert {q.score for q in verdicts(docs, every).values()} == {0.0}
+    shipped = verdicts(docs, half)
+    monkeypatch.setattr(Q, "MOST_SHIPPED", 10)
+    assert verdicts(docs, half) == shipped
+
+
 def test_held_out_labels(spark):
     """The verdict agrees with quality labels that the model was not fitted on."""
     d = "/root/testdata/sf0.01"
