@@ -1,13 +1,20 @@
 """MinHash near-dedup: a chosen-path set-similarity join over word shingles, then connected components.
 
-Documents with equal shingle sets form classes, named by their least doc_id. In each of TREES independent trees the classes
-start in one node; a node branches by the value of one minwise coordinate that a hash of the node chooses, and nodes that
-are still larger than LEAF branch on, by two coordinates on the first levels. Classes of a leaf are compared exhaustively, first by their minwise signatures and
-then, if those are near, on their full sets. A pair is compared in the first tree in which it meets, so nothing is
-compared twice, and a leaf emits a forest of its links, not all pairs. A pair of similarity s meets in a tree with
-probability s to the leaf's depth, so TREES trees of depth 1 miss a pair at the threshold with probability (1 - s)^TREES.
-Nodes that are still larger than LEAF after the levels of two branches are in the end joined whole, by pairs of blocks,
-but for pairs that the trees' links have connected.
+Documents with equal shingle sets form classes. In each of TREES independent trees the classes start in one node, which
+branches by the value of one minwise coordinate. A child of LEAF classes or fewer is a leaf, compared exhaustively: first
+by minwise signatures and then, if those are near, on full sets. A pair is confirmed in the first tree in which it meets,
+and a leaf emits a forest of its links, not all pairs. A pair of similarity s meets in a tree with probability s, so TREES
+trees miss it with probability (1 - s)^TREES.
+
+Larger children are settled in two steps. First every class is compared with a few hubs of its node and with its block of
+LEAF classes, which connects a crowd of near copies at the cost of a leaf. Then only pairs that no link connects yet matter,
+so a node
+- whose classes are all connected is done;
+- with at most LEAF classes outside its largest component compares those with all its blocks, exhaustively;
+- of at most WHOLE classes compares all pairs of its blocks, exhaustively;
+- that is still larger branches on by one more coordinate a class, in REPEATS independent subtrees, and its children are
+  settled alike; after LEVELS further levels all pairs of blocks are compared whatever the size.
+Each level deals a class to one child a subtree, so rows grow with the classes and not with the square of a crowd.
 """
 
 from __future__ import annotations
@@ -30,13 +37,13 @@ PERCENT = 85
 TREES = 10
 #: Minwise coordinates of a signature.
 COORDINATES = 64
-#: Classes of a leaf, levels of a tree, and, for a node that is still larger at the last level, how many of its classes
-#: (about, by a hash of class and tree) join each of its blocks.
+#: Classes of a leaf or block; classes of a node whose blocks are all compared with each other; hubs of a larger node (about).
 LEAF = 128
-LEVELS = 8
+WHOLE = 8 * LEAF
 HUBS = 16
-#: Levels under the root at which a class takes two branches, so at most 2^WIDE_LEVELS leaves of a tree.
-WIDE_LEVELS = 2
+#: Independent subtrees of a node larger than WHOLE that holds unconnected classes, and the most levels of them.
+REPEATS = 4
+LEVELS = 32
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_011)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _SHORT = np.random.Generator(np.random.PCG64(20_021)).integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -83,7 +90,7 @@ def signatures(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, a, b (the set's name), sig array<int>: one row for each row of docs."""
+    """doc_id, n, a, b (the set's name), sig array<int>, low (the last byte of each coordinate): one row for each row of docs."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,9 +98,10 @@ def described(docs: DataFrame) -> DataFrame:
                 value, sizes = shingles(buf, offs)
                 sig, name = signatures(value, sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32)), pa.array(sig.ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), pa.array(sizes.astype(np.int64)), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), lists], ["doc_id", "n", "a", "b", "sig"])
+                low = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), pa.array(sizes.astype(np.int64)), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), lists, low], ["doc_id", "n", "a", "b", "sig", "low"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, n bigint, a bigint, b bigint, sig array<int>")
+    return docs.mapInArrow(describe, "doc_id bigint, n bigint, a bigint, b bigint, sig array<int>, low binary")
 
 
 def branch(tree: Column, node: Column, level: int, sig: Column) -> Column:
@@ -102,57 +110,72 @@ def branch(tree: Column, node: Column, level: int, sig: Column) -> Column:
     return F.xxhash64(tree, node, pick, F.element_at(sig, pick + 1))
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """tree, leaf, cid of the leaves with two classes or more; a leaf has about LEAF + HUBS rows at most.
+def blocks_of(size: Column) -> Column:
+    """Blocks of about LEAF classes: a power of 2, so that a class has the same block in nodes of like size in all trees."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.ceil(F.log2(size / F.lit(LEAF))), F.lit(0)).cast("int"))
 
-    And tree, node, cid of the nodes still larger than LEAF on the first level after the wide ones, if there are any.
-    """
+
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tree, leaf, cid of all nodes under the roots with two classes or more, of about LEAF + 2 * HUBS rows at most; and tree,
+    node, cid of the nodes larger than LEAF, whose leaves here are their blocks, each with the node's hubs."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("cid", "sig", trees).select("tree", branch(F.col("tree"), F.lit(0).cast("bigint"), 0, F.col("sig")).alias("node"), "cid")
-    out, crowded, kept = None, None, []
-    for level in range(1, LEVELS + 1):
-        rows = stored(rows, "nodes")
-        sizes = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        kept += [rows, sizes]
-        small = rows.join(sizes.filter(F.col("size") <= LEAF), ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "cid")
-        out = small if out is None else out.unionByName(small)
-        large = sizes.filter(F.col("size") > LEAF)
-        if large.isEmpty():
+    rows = stored(rows, "nodes")
+    sizes = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    both = stored(rows.join(sizes, ["tree", "node"]), "sized")
+    small = both.filter(F.col("size") <= LEAF).select("tree", F.col("node").alias("leaf"), "cid")
+    large = both.filter(F.col("size") > LEAF).withColumn("blocks", blocks_of(F.col("size")))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    hub = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks") * LEAF) < HUBS
+    block = F.explode(F.when(hub, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
+    dealt = large.select("tree", "node", "cid", block).select("tree", F.xxhash64("tree", "node", "block").alias("leaf"), "cid")
+    out = stored(small.unionByName(dealt), "leaves")
+    crowds = stored(large.select("tree", "node", "cid"), "crowds")
+    for t in (rows, sizes, both):
+        dropped(t)
+    return out, crowds
+
+
+def settled(crowds: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """tree, leaf, cid: leaves in which all pairs of the nodes of crowds (tree, node, cid) that labels don't connect meet, or
+    for nodes larger than WHOLE meet with the probability of the subtrees."""
+    of = classes.select("cid", "sig").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "sig", F.coalesce("label", "cid").alias("label"))
+    of = stored(of, "labelled")
+    rows = stored(crowds.join(of.drop("sig"), "cid").select(F.col("tree").cast("bigint").alias("tree"), "node", "cid", "label"), "rows")
+    out, kept = None, [of, rows]
+    for level in range(1, LEVELS + 2):
+        each = rows.groupBy("tree", "node", "label").agg(F.count("*").alias("n"))
+        nodes = each.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+        nodes = nodes.filter("size > top.n").select("tree", "node", "size", (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.label").alias("main"))
+        last = level > LEVELS
+        is_leaf, star = F.col("size") <= 2 * LEAF, (F.col("rest") <= LEAF) & (F.col("size") > 2 * LEAF)
+        how = F.when(is_leaf, "leaf").when(star, "star").when(F.lit(last) | (F.col("size") <= WHOLE), "pairs").otherwise("deep")
+        nodes = stored(nodes.withColumn("how", how), "open")
+        both = stored(rows.join(nodes, ["tree", "node"]).withColumn("blocks", F.when(F.col("how") == "pairs", F.ceil(F.col("size") / (2 * LEAF)).cast("bigint")).otherwise(blocks_of(F.col("size")))), "settling")
+        kept += [nodes, both]
+        block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+        name = lambda *by: F.xxhash64("tree", "node", *by)
+        parts = (
+            F.when(F.col("how") == "leaf", F.array(F.col("node")))
+            .when(F.col("how") == "star", F.transform(F.when(F.col("label") == F.col("main"), F.array(block)).otherwise(every), lambda x: name(x)))
+            .when(F.col("blocks") == 1, F.array(F.col("node")))
+            .otherwise(F.transform(F.filter(every, lambda x: x != block), lambda x: name(F.least(x, block), F.greatest(x, block))))
+        )
+        here = both.filter("how <> 'deep'").select("tree", F.explode(parts).alias("leaf"), "cid")
+        out = here if out is None else out.unionByName(here)
+        if last or nodes.filter("how = 'deep'").isEmpty():
             break
-        crowd = rows.join(large, ["tree", "node"])
-        if level == min(WIDE_LEVELS + 1, LEVELS):
-            crowded = stored(crowd.select("tree", "node", "cid"), "crowded")
-        if level < LEVELS:
-            own, of = crowd.join(classes.select("cid", "sig"), "cid"), lambda k, level=level: branch(F.col("tree"), F.col("node"), level + k * LEVELS, F.col("sig"))
-            # two branches a class keep a pair together more often than one where trees must be deep
-            child = F.explode(F.array_distinct(F.array(of(0), of(1)))) if level <= WIDE_LEVELS else of(0)
-            rows = own.select("tree", child.alias("node"), "cid")
-            continue
-        # near copies of one text: blocks of a random order, each joined by the same few classes
-        blocks = F.ceil(F.col("size") / LEAF).cast("bigint")
-        block = F.pmod(F.xxhash64("cid", "tree"), blocks)
-        spread = crowd.select("tree", F.xxhash64("tree", "node", block).alias("leaf"), "cid")
-        hubs = crowd.filter(F.pmod(F.xxhash64("tree", "cid"), F.col("size")) < HUBS)
-        every = hubs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        hub = every.select("tree", F.xxhash64("tree", "node", "block").alias("leaf"), "cid")
-        out = out.unionByName(spread.unionByName(hub).distinct())
-    out = stored(out, "leaves")
+        deep = both.filter("how = 'deep'").select("tree", "node", "cid", "label")
+        if level == 1:
+            deep = deep.withColumn("tree", F.explode(F.sequence(F.col("tree") * REPEATS, F.col("tree") * REPEATS + REPEATS - 1)))
+        deep = deep.join(of.select("cid", "sig"), "cid").select("tree", branch(F.col("tree"), F.col("node"), level, F.col("sig")).alias("node"), "cid", "label")
+        rows = stored(deep, "rows")
+        kept.append(rows)
+    out = stored(out.select(F.lit(1).alias("tree"), F.xxhash64("tree", "leaf").alias("leaf"), "cid"), "pairs")
     for t in kept:
         dropped(t)
-    return out, crowded
-
-
-def block_pairs(crowded: DataFrame, info: DataFrame) -> DataFrame:
-    """tree, leaf, cid: a leaf for every pair of blocks of a node, of about 4 * LEAF rows, so that all classes of a node meet.
-
-    Nodes whose classes are all connected (one label in info.seen) have nothing left to compare.
-    """
-    rows = crowded.join(info.select("cid", F.element_at("seen", 1).alias("label")), "cid")
-    open_nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    open_nodes = open_nodes.select("tree", "node", F.ceil(F.col("size") / (2 * LEAF)).cast("bigint").alias("blocks"))
-    rows = rows.join(open_nodes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter("blocks = 1 OR block <> other")
-    return rows.select(F.lit(1).alias("tree"), F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other")).alias("leaf"), "cid")
+    return out
 
 
 def screen(percent: int) -> float:
@@ -200,7 +223,7 @@ def near_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
     ok = _open(t["n"].to_numpy(), _lists(t["seen"], np.int64), int(t["tree"][0].as_py()), percent)
     if not ok.any():
         return None
-    sig = _lists(t["sig"], np.uint32)
+    sig = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint64).reshape(len(t), -1).view(np.uint8)
     i, j = np.nonzero(ok)
     close = np.zeros(len(i), bool)
     for a in range(0, len(i), 4096):
@@ -246,34 +269,34 @@ def in_leaves(df: DataFrame, use: Callable[[pa.Table], pa.Table | None], kind: s
 
 def class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes (cid) that link every pair of classes at or over the threshold, by a path at least."""
-    met, crowded = leaves(classes)
+    met, crowds = leaves(classes)
     # a leaf of each class in each tree (0: none): a pair that shares one has met in that tree, and needs no further comparison
     last = F.array(*(F.coalesce(F.max(F.when(F.col("tree") == k, F.col("leaf"))), F.lit(0).cast("bigint")) for k in range(TREES)))
-    info = classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid")
-    info = stored(info.select("cid", "n", "seen", "sig"), "info")
+    info = classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid").select("cid", "n", "seen", "low")
+    info = stored(info, "info")
     out = confirmed(docs, classes, met, info, percent)
     for t in (met, info):
         dropped(t)
-    if crowded is None:
-        return out
-    labels = components(out)
-    # in place of leaves, what a class is connected with: such pairs are left out
-    info = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", F.array(F.xxhash64(F.coalesce("label", "cid"))).alias("seen"), "sig")
-    info = stored(info, "info")
-    met = stored(block_pairs(crowded, info), "pairs")
-    if not met.isEmpty():
-        more = confirmed(docs, classes, met, info, percent)
-        both = stored(out.unionByName(more), "links")
-        for t in (out, more):
-            dropped(t)
-        out = both
-    for t in (labels, crowded, info, met):
-        dropped(t)
+    if not crowds.isEmpty():
+        labels = components(out)
+        met = settled(crowds, classes, labels)
+        if not met.isEmpty():
+            # in place of leaves, what a class is connected with: such pairs are left out
+            info = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", F.array(F.xxhash64(F.coalesce("label", "cid"))).alias("seen"), "low")
+            info = stored(info, "info")
+            more = confirmed(docs, classes, met, info, percent)
+            both = stored(out.unionByName(more), "links")
+            for t in (out, more, info):
+                dropped(t)
+            out = both
+        dropped(labels)
+        dropped(met)
+    dropped(crowds)
     return out
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b): the links of the leaves in met (tree, leaf, cid), of classes as in info (cid, n, seen, sig)."""
+    """Edges (a, b): the links of the leaves in met (tree, leaf, cid), of classes as in info (cid, n, seen, low)."""
     spark = docs.sparkSession
     near = in_leaves(met.join(info, "cid"), lambda t: near_in_leaf(t, percent), "tree int, leaf bigint, cid bigint")
     near = stored(near, "near")
@@ -297,7 +320,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFra
     named = classes.join(wanted, "cid", "left_semi").select("cid", "a", "b")
     sets = sets.join(named, ["cid", "a", "b"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
     sets = stored(sets, "sets")
-    found = in_leaves(near.join(info.drop("sig"), "cid").join(sets, "cid"), lambda t: links_in_leaf(t, percent), "a bigint, b bigint")
+    found = in_leaves(near.join(info.drop("low"), "cid").join(sets, "cid"), lambda t: links_in_leaf(t, percent), "a bigint, b bigint")
     out = stored(found.distinct(), "links")
     for t in (near, wanted, sets):
         dropped(t)
@@ -319,18 +342,36 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     names = stored(full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("cid")), "names")
     one = full.join(names.withColumnRenamed("cid", "doc_id"), ["n", "a", "b", "doc_id"])
-    least = F.min(F.struct("n", "a", "b", "sig")).alias("s")
+    least = F.min(F.struct("n", "a", "b", "sig", "low")).alias("s")
     classes = stored(one.groupBy(F.col("doc_id").alias("cid")).agg(least).select("cid", "s.*"), "classes")
     links = class_links(docs, classes, percent)
     labels = components(links)
     of = names.join(labels, names["cid"] == labels["node"], "left").select("n", "a", "b", F.coalesce("label", "cid").alias("label"))
     of = stored(of, "of")
-    out = rows.drop("sig").join(of, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    out = rows.drop("sig", "low").join(of, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     for t in (names, classes, links, labels):
         dropped(t)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when of each near-duplicate component one document does, that of the least doc_id.
+
+    Documents are told apart by doc_id; where several rows have one doc_id or none, by (doc_id, text), and such a document
+    stays only for want of one with a doc_id of its own. Equal rows share their fate. Rows without words stay. An empty
+    table gives an empty result; all columns pass through, whatever their names.
+    """
+    unique = lambda names: "_near" + "_" * max(map(len, names))
+    key = unique(docs.columns)
+    shared = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key + "i"), F.lit(True).alias(key + "s"))
+    of = docs.join(shared, F.col("doc_id").eqNullSafe(F.col(key + "i")), "left")
+    # above all doc_ids: 62 bits of a hash
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    own = of.withColumn(key, F.when(F.col(key + "s"), other).otherwise(F.col("doc_id").cast("bigint")))
+    gone = near_groups(own.select(F.col(key).alias("doc_id"), "text"), percent).filter("NOT kept").select(F.col("doc_id").alias(key + "g")).distinct()
+    return own.join(stored(gone, "gone"), F.col(key) == F.col(key + "g"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
