@@ -42,7 +42,7 @@ LEAF = 128
 WHOLE = 8 * LEAF
 HUBS = 16
 #: Independent subtrees of a node larger than WHOLE that holds unconnected classes, and the most levels of them.
-REPEATS = 4
+REPEATS = 3
 LEVELS = 32
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_011)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -104,10 +104,10 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id bigint, n bigint, a bigint, b bigint, sig array<int>, low binary")
 
 
-def branch(tree: Column, node: Column, level: int, sig: Column) -> Column:
+def branch(tree: Column, node: Column, level: int, value: Callable[[Column], Column]) -> Column:
     """The child of a class in a node: the node's hash chooses the coordinate (the tree's number at the root), whose value branches."""
     pick = F.pmod(F.xxhash64(tree, node, F.lit(level)), F.lit(COORDINATES)).cast("int") if level else F.pmod(tree * 7, F.lit(COORDINATES))
-    return F.xxhash64(tree, node, pick, F.element_at(sig, pick + 1))
+    return F.xxhash64(tree, node, pick, value(pick + 1))
 
 
 def blocks_of(size: Column) -> Column:
@@ -119,7 +119,7 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tree, leaf, cid of all nodes under the roots with two classes or more, of about LEAF + 2 * HUBS rows at most; and tree,
     node, cid of the nodes larger than LEAF, whose leaves here are their blocks, each with the node's hubs."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = classes.select("cid", "sig", trees).select("tree", branch(F.col("tree"), F.lit(0).cast("bigint"), 0, F.col("sig")).alias("node"), "cid")
+    rows = classes.select("cid", "sig", trees).select("tree", branch(F.col("tree"), F.lit(0).cast("bigint"), 0, lambda i: F.element_at("sig", i)).alias("node"), "cid")
     rows = stored(rows, "nodes")
     sizes = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     both = stored(rows.join(sizes, ["tree", "node"]), "sized")
@@ -137,45 +137,51 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def settled(crowds: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """tree, leaf, cid: leaves in which all pairs of the nodes of crowds (tree, node, cid) that labels don't connect meet, or
-    for nodes larger than WHOLE meet with the probability of the subtrees."""
-    of = classes.select("cid", "sig").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "sig", F.coalesce("label", "cid").alias("label"))
-    of = stored(of, "labelled")
-    rows = stored(crowds.join(of.drop("sig"), "cid").select(F.col("tree").cast("bigint").alias("tree"), "node", "cid", "label"), "rows")
-    out, kept = None, [of, rows]
+    """tree, leaf, cid, n, seen, low: leaves in which all pairs of the nodes of crowds (tree, node, cid) that labels don't
+    connect meet, or for nodes larger than WHOLE meet with the probability of the subtrees.
+
+    seen holds what a class is connected with, then its node in each subtree if all its pairs are compared there.
+    """
+    of = classes.select("cid", "n", "low").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    carried = ["cid", "n", "label", "low"]
+    rows = stored(crowds.join(of, "cid").select((F.col("tree") * REPEATS).alias("tree"), "node", *carried), "rows")
+    out, kept = None, [rows]
     for level in range(1, LEVELS + 2):
-        each = rows.groupBy("tree", "node", "label").agg(F.count("*").alias("n"))
-        nodes = each.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
-        nodes = nodes.filter("size > top.n").select("tree", "node", "size", (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.label").alias("main"))
-        last = level > LEVELS
-        is_leaf, star = F.col("size") <= 2 * LEAF, (F.col("rest") <= LEAF) & (F.col("size") > 2 * LEAF)
-        how = F.when(is_leaf, "leaf").when(star, "star").when(F.lit(last) | (F.col("size") <= WHOLE), "pairs").otherwise("deep")
-        nodes = stored(nodes.withColumn("how", how), "open")
-        both = stored(rows.join(nodes, ["tree", "node"]).withColumn("blocks", F.when(F.col("how") == "pairs", F.ceil(F.col("size") / (2 * LEAF)).cast("bigint")).otherwise(blocks_of(F.col("size")))), "settling")
+        each = rows.groupBy("tree", "node", "label").agg(F.count("*").alias("k"))
+        nodes = each.groupBy("tree", "node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top")).filter("size > top.k")
+        nodes = nodes.select("tree", "node", "size", (F.col("size") - F.col("top.k")).alias("rest"), F.col("top.label").alias("main"))
+        size, last = F.col("size"), level > LEVELS
+        how = F.when(size <= 2 * LEAF, "leaf").when(F.col("rest") <= LEAF, "star").when(F.lit(last) | (size <= WHOLE), "pairs").otherwise("deep")
+        blocks = F.when(F.col("how") == "pairs", F.ceil(size / (2 * LEAF)).cast("bigint")).otherwise(blocks_of(size))
+        nodes = stored(nodes.withColumn("how", how).withColumn("blocks", blocks), "open")
+        both = stored(rows.join(nodes, ["tree", "node"]), "settling")
         kept += [nodes, both]
         block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
         every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
         name = lambda *by: F.xxhash64("tree", "node", *by)
-        parts = (
-            F.when(F.col("how") == "leaf", F.array(F.col("node")))
+        leaf = (
+            F.when((F.col("how") == "leaf") | (F.col("blocks") == 1), F.array(F.col("node")))
             .when(F.col("how") == "star", F.transform(F.when(F.col("label") == F.col("main"), F.array(block)).otherwise(every), lambda x: name(x)))
-            .when(F.col("blocks") == 1, F.array(F.col("node")))
             .otherwise(F.transform(F.filter(every, lambda x: x != block), lambda x: name(F.least(x, block), F.greatest(x, block))))
         )
-        here = both.filter("how <> 'deep'").select("tree", F.explode(parts).alias("leaf"), "cid")
+        here = both.filter("how <> 'deep'").select("tree", "node", leaf.alias("leaf"), *carried)
         out = here if out is None else out.unionByName(here)
-        if last or nodes.filter("how = 'deep'").isEmpty():
+        deep = both.filter("how = 'deep'").select("tree", "node", *carried)
+        if nodes.filter("how = 'deep'").isEmpty():
             break
-        deep = both.filter("how = 'deep'").select("tree", "node", "cid", "label")
         if level == 1:
-            deep = deep.withColumn("tree", F.explode(F.sequence(F.col("tree") * REPEATS, F.col("tree") * REPEATS + REPEATS - 1)))
-        deep = deep.join(of.select("cid", "sig"), "cid").select("tree", branch(F.col("tree"), F.col("node"), level, F.col("sig")).alias("node"), "cid", "label")
-        rows = stored(deep, "rows")
+            deep = deep.withColumn("tree", F.explode(F.sequence(F.col("tree"), F.col("tree") + REPEATS - 1)))
+        child = branch(F.col("tree"), F.col("node"), level, lambda i: F.substring(F.col("low"), i, F.lit(1)))
+        rows = stored(deep.select("tree", child.alias("node"), *carried), "rows")
         kept.append(rows)
-    out = stored(out.select(F.lit(1).alias("tree"), F.xxhash64("tree", "leaf").alias("leaf"), "cid"), "pairs")
-    for t in kept:
+    out = stored(out, "settled")
+    slots = (F.coalesce(F.max(F.when(F.col("tree") == k, F.col("node"))), F.lit(0).cast("bigint")) for k in range(TREES * REPEATS))
+    seen = out.groupBy("cid").agg(F.concat(F.array(F.xxhash64(F.first("label"))), F.array(*slots)).alias("seen"))
+    met = out.join(seen, "cid").select((F.col("tree") + 1).alias("tree"), F.explode("leaf").alias("leaf"), "cid", "n", "seen", "low")
+    met = stored(met, "pairs")
+    for t in (*kept, out):
         dropped(t)
-    return out
+    return met
 
 
 def screen(percent: int) -> float:
@@ -229,7 +235,24 @@ def near_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
     for a in range(0, len(i), 4096):
         close[a : a + 4096] = (sig[i[a : a + 4096]] == sig[j[a : a + 4096]]).mean(axis=1) >= screen(percent)
     some = np.unique(np.concatenate([i[close], j[close]]))
-    return t.select(["tree", "leaf", "cid"]).take(pa.array(some)) if len(some) else None
+    return t.select(["tree", "leaf", "cid", "n", "seen"]).take(pa.array(some)) if len(some) else None
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections of sets of hashes: products of 0/1 matrices over the hashes that two sets or more have."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count[at] > 1
+    owner, at = owner[many], (np.cumsum(count > 1) - 1)[at[many]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        a, z = np.searchsorted(at, [first, first + columns])
+        has = np.zeros((len(sets), columns), np.float32)
+        has[owner[a:z], at[a:z] - first] = 1
+        out += has @ has.T
+    return out
 
 
 def links_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
@@ -238,7 +261,8 @@ def links_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
         return None
     sizes, cid = t["n"].to_numpy(), t["cid"].to_numpy()
     ok = _open(sizes, _lists(t["seen"], np.int64), int(t["tree"][0].as_py()), percent)
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+    shared = shared_counts([np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]])
+    ok &= 100 * shared >= percent * (np.add.outer(sizes, sizes) - shared)
     root = list(range(len(t)))
 
     def find(x: int) -> int:
@@ -250,12 +274,7 @@ def links_in_leaf(t: pa.Table, percent: int) -> pa.Table | None:
     left, right = [], []
     for i, j in zip(*np.nonzero(ok), strict=True):
         a, b = find(i), find(j)
-        if a == b:
-            continue
-        x, y = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-        at = np.searchsorted(y, x)
-        shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        if 100 * shared >= percent * (int(sizes[i]) + int(sizes[j]) - shared):
+        if a != b:
             root[max(a, b)] = min(a, b)
             left.append(cid[i])
             right.append(cid[j])
@@ -272,21 +291,17 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     met, crowds = leaves(classes)
     # a leaf of each class in each tree (0: none): a pair that shares one has met in that tree, and needs no further comparison
     last = F.array(*(F.coalesce(F.max(F.when(F.col("tree") == k, F.col("leaf"))), F.lit(0).cast("bigint")) for k in range(TREES)))
-    info = classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid").select("cid", "n", "seen", "low")
-    info = stored(info, "info")
-    out = confirmed(docs, classes, met, info, percent)
+    info = stored(classes.join(met.groupBy("cid").agg(last.alias("seen")), "cid").select("cid", "n", "seen", "low"), "info")
+    out = confirmed(docs, classes, met.join(info, "cid"), percent)
     for t in (met, info):
         dropped(t)
     if not crowds.isEmpty():
         labels = components(out)
         met = settled(crowds, classes, labels)
         if not met.isEmpty():
-            # in place of leaves, what a class is connected with: such pairs are left out
-            info = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", F.array(F.xxhash64(F.coalesce("label", "cid"))).alias("seen"), "low")
-            info = stored(info, "info")
-            more = confirmed(docs, classes, met, info, percent)
+            more = confirmed(docs, classes, met, percent)
             both = stored(out.unionByName(more), "links")
-            for t in (out, more, info):
+            for t in (out, more):
                 dropped(t)
             out = both
         dropped(labels)
@@ -295,10 +310,11 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b): the links of the leaves in met (tree, leaf, cid), of classes as in info (cid, n, seen, low)."""
+def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): the links of the leaves in met (tree, leaf, cid, n, seen, low), but for pairs that share what seen holds
+    under an earlier tree's number."""
     spark = docs.sparkSession
-    near = in_leaves(met.join(info, "cid"), lambda t: near_in_leaf(t, percent), "tree int, leaf bigint, cid bigint")
+    near = in_leaves(met, lambda t: near_in_leaf(t, percent), "tree int, leaf bigint, cid bigint, n bigint, seen array<bigint>")
     near = stored(near, "near")
     wanted = stored(near.select("cid").distinct(), "wanted")
     shipped = spark.sparkContext.broadcast(bitmap_of(wanted, F.xxhash64("cid"), wanted.count()))
@@ -320,7 +336,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, met: DataFrame, info: DataFra
     named = classes.join(wanted, "cid", "left_semi").select("cid", "a", "b")
     sets = sets.join(named, ["cid", "a", "b"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
     sets = stored(sets, "sets")
-    found = in_leaves(near.join(info.drop("low"), "cid").join(sets, "cid"), lambda t: links_in_leaf(t, percent), "a bigint, b bigint")
+    found = in_leaves(near.join(sets, "cid"), lambda t: links_in_leaf(t, percent), "a bigint, b bigint")
     out = stored(found.distinct(), "links")
     for t in (near, wanted, sets):
         dropped(t)
