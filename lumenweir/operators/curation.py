@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush, heapreplace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,37 +176,56 @@ def balanced_ranks(rows: DataFrame, seed: int) -> DataFrame:
     return one.unionByName(match(rows.join(used, "query_id", "left_anti"), cell, 1))
 
 
+def match_roles(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, match_role (case, control, surplus), match_partner, match_level: rows of cells with the pairs of balanced_ranks();
+    the common label's rows without a partner are surplus."""
+    case = pairs.select(F.col("case_id").alias("query_id"), F.lit("case").alias("match_role"), F.col("control_id").alias("match_partner"), "match_level")
+    control = pairs.select(F.col("control_id").alias("query_id"), F.lit("control").alias("match_role"), F.col("case_id").alias("match_partner"), "match_level")
+    out = rows.select("query_id").join(case.unionByName(control), "query_id", "left")
+    return out.withColumn("match_role", F.coalesce("match_role", F.lit("surplus")))
+
+
 def balanced_greedy(rows: DataFrame, levels: list[list[str]], seed: int) -> DataFrame:
     """One-to-one matching as a sequence: levels in order, cases in seeded order; of the free controls that agree with the case
-    on the level's fields the one whose group was used least goes, then by seeded order. One task for each cell.
+    on the level's fields the one whose group was used least goes, then by seeded order. One task for each cell, so for
+    cells that fit one; balanced_ranks() is for any size.
 
-    Gives partition, collection, query_id, match_role (case, control, surplus), match_partner, match_level.
+    Gives partition, collection, query_id, match_role (case, control, surplus), match_partner, match_level. A level's
+    controls wait in one heap for each value of its fields; an entry whose group was used since it was pushed goes back.
     """
     fields = sorted({f for level in levels for f in level})
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order").reset_index(drop=True)
-        n = {v: int((pdf["label"] == v).sum()) for v in LABELS}
-        minority = min(LABELS, key=lambda v: (n[v], v))
-        cases, controls = pdf[pdf["label"] == minority], pdf[pdf["label"] != minority]
-        free, use, match = dict.fromkeys(controls.index), {}, {}
+        order = pdf.sort_values("order")
+        tally = order["label"].value_counts()
+        is_case = order["label"] == ("PRESENT" if tally.get("PRESENT", 0) < tally.get("ABSENT", 0) else "ABSENT")
+        group, query = order["group_id"].tolist(), order["query_id"].tolist()
+        waiting, left = np.flatnonzero(is_case).tolist(), set(np.flatnonzero(~is_case).tolist())
+        used: Counter = Counter()
+        out = []
         for depth, level in enumerate(levels):
-            for i, case in cases.iterrows():
-                if i in match:
+            value = list(order[level].itertuples(index=False, name=None)) if level else [()] * len(order)
+            heaps: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+            for j in sorted(left):
+                heappush(heaps[value[j]], (used[group[j]], j))
+            unmet = []
+            for i in waiting:
+                heap = heaps[value[i]]
+                while heap and heap[0][0] != used[group[heap[0][1]]]:
+                    heapreplace(heap, (used[group[heap[0][1]]], heap[0][1]))
+                if not heap:
+                    unmet.append(i)
                     continue
-                pool = [j for j in free if all(pdf.at[j, f] == case[f] for f in level)]
-                if pool:
-                    j = min(pool, key=lambda j: (use.get(pdf.at[j, "group_id"], 0), j))
-                    del free[j]
-                    use[pdf.at[j, "group_id"]] = use.get(pdf.at[j, "group_id"], 0) + 1
-                    match[i] = (j, depth)
-        out = []
-        for i, (j, depth) in match.items():
-            out += [(i, "case", pdf.at[j, "query_id"], depth), (j, "control", pdf.at[i, "query_id"], depth)]
-        out += [(j, "surplus", None, None) for j in free]
-        got = pd.DataFrame(out, columns=["i", "match_role", "match_partner", "match_level"])
-        got = got.assign(**{c: pdf.loc[got["i"], c].to_numpy() for c in ("partition", "collection", "query_id")})
-        return got[["partition", "collection", "query_id", "match_role", "match_partner", "match_level"]].astype({"match_level": "Int64"})
+                j = heappop(heap)[1]
+                used[group[j]] += 1
+                left.remove(j)
+                out += [(query[i], "case", query[j], depth), (query[j], "control", query[i], depth)]
+            waiting = unmet
+        out += [(query[j], "surplus", None, None) for j in sorted(left)]
+        got = pd.DataFrame(out, columns=["query_id", "match_role", "match_partner", "match_level"])
+        got.insert(0, "collection", order["collection"].iloc[0])
+        got.insert(0, "partition", order["partition"].iloc[0])
+        return got.astype({"match_level": "Int64"})
 
     kind = rows.schema["query_id"].dataType.simpleString()
     cols = list(dict.fromkeys(["partition", "collection", "query_id", "label", "group_id", *fields]))
@@ -212,11 +234,14 @@ def balanced_greedy(rows: DataFrame, levels: list[list[str]], seed: int) -> Data
 
 def pair_removal(pairs: DataFrame, status: DataFrame) -> DataFrame:
     """query_id, reason (null: kept) for both members of each pair (left, right): a pair stays only if both are accepted and
-    short enough; the healthy member of a broken pair is `partner_removed`. status: query_id, status, too_long."""
-    own = F.when(F.col("status") != "accepted", F.concat(F.lit("teacher_"), "status")).when(F.col("too_long"), "overlength_sequence")
+    short enough; the healthy member of a broken pair is `partner_removed`. status: query_id, status, too_long; a member that
+    has no row or no status there is `teacher_missing`, so no pair is lost."""
+    fine = F.col("status").eqNullSafe("accepted")
+    own = F.when(~fine, F.concat(F.lit("teacher_"), F.coalesce("status", F.lit("missing")))).when(F.col("too_long"), "overlength_sequence").otherwise("")
     s = status.select("query_id", own.alias("own"))
     a, b = s.select(F.col("query_id").alias("left"), F.col("own").alias("l")), s.select(F.col("query_id").alias("right"), F.col("own").alias("r"))
-    both = pairs.join(a, "left").join(b, "right")
+    both = pairs.select("left", "right").join(a, on="left", how="left").join(b, on="right", how="left")
+    both = both.select("left", "right", *(F.nullif(F.coalesce(c, F.lit("teacher_missing")), F.lit("")).alias(c) for c in "lr"))
     fate = lambda mine, other: F.when(mine.isNotNull() | other.isNotNull(), F.coalesce(mine, F.lit("partner_removed")))
     return both.select(F.explode(F.array(F.struct(F.col("left").alias("query_id"), fate(F.col("l"), F.col("r")).alias("reason")), F.struct(F.col("right").alias("query_id"), fate(F.col("r"), F.col("l")).alias("reason")))).alias("x")).select("x.*")
 
@@ -233,25 +258,24 @@ def pilot_sample(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
     few = first.withColumn("r", rank).filter(F.col("r") <= 2 * per_label + 1)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)) if batches else pd.DataFrame()
-        if not len(pdf):
+        held = [b for b in batches if len(b)]
+        if not held:
             return
-        chosen: list[int] = []
-        groups: set[str] = set()
-        pdf = pdf.sort_values("order").reset_index(drop=True)
+        table = pd.concat(held).sort_values("order")
+        taken = table.iloc[:0]
         for label in LABELS:
-            own = pdf.index[pdf["label"] == label]
-            picked: list[int] = []
-            for fresh in (True, False):
-                for i in own:
-                    if len(picked) == per_label:
+            own, had = table[table["label"] == label], taken
+            # what bars a row only grows, so the first row that nothing bars is the next one in order
+            for bars in (("collection", "group_id"), ("group_id",)):
+                while len(taken) - len(had) < per_label:
+                    ours = taken[taken["label"] == label]
+                    free = ~own["group_id"].isin(taken["group_id"])
+                    if "collection" in bars:
+                        free &= ~own["collection"].isin(ours["collection"])
+                    if not free.any():
                         break
-                    if i in picked or pdf.at[i, "group_id"] in groups or fresh and pdf.at[i, "collection"] in {pdf.at[j, "collection"] for j in picked}:
-                        continue
-                    picked.append(i)
-                    groups.add(pdf.at[i, "group_id"])
-            chosen += picked
-        yield pdf.loc[chosen, ["query_id", "label", "collection", "group_id"]]
+                    taken = pd.concat([taken, own[free].head(1)])
+        yield taken[["query_id", "label", "collection", "group_id"]]
 
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "label", "collection", "group_id"))
     return few.coalesce(1).mapInPandas(pick, kind)

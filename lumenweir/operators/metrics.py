@@ -6,9 +6,14 @@ its gold label and never a false positive.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweir.operators.ranks import ranked
+from lumenweir.sources.tables import stored
+
 LABELS = ("PRESENT", "ABSENT")
 
 
@@ -67,31 +72,47 @@ def seed_summary(predictions: DataFrame) -> DataFrame:
     return out.filter("seeds >= 2")
 
 
-def bootstrap(predictions: DataFrame, draws: int, seed: str, comparisons: list[tuple[str, str]] | None = None, replicates: int | None = None) -> DataFrame:
+def bootstrap(predictions: DataFrame, draws: int, seed: str, comparisons: list[tuple[str, str]] | None = None, replicates: int | None = None, within: str | None = None) -> DataFrame:
     """name, replicates, low, high: 95% intervals of macro-F1 of each mode and of differences of modes, resampling groups.
 
     Each replicate draws as many groups as there are, by the SHA-256 of seed, replicate and draw, the same for all modes;
-    replicates without both labels are rejected, and the first `replicates` of the others count. Rows are never copied: a
-    group's count vector is weighted by how often it was drawn. Groups are numbered in order of their id.
+    replicates without both labels are rejected, and the first `replicates` of the others count (all, if None) of at most
+    `draws`. Draws are made in rounds until enough are valid. Rows are never copied: a group's count vector is weighted by
+    how often it was drawn. Groups are numbered in order of their id's text, by parts of its first characters. With `within`, a
+    column, each of its values has groups, draws and rows of its own.
     """
-    vectors = predictions.groupBy("mode", "group_id").agg(*count_vector())
-    numbered = vectors.select("group_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("group_id")) - 1)
-    spark, n = predictions.sparkSession, numbered.count()
-    pulls = spark.range(draws if n else 0).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint"))).alias("d"))
-    key = F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("d").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.lit(max(n, 1)))
-    times = pulls.select("r", pick.alias("k")).groupBy("r", "k").agg(F.count("*").alias("times"))
-    drawn = times.join(numbered, "k").join(vectors, "group_id").groupBy("r", "mode").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in COUNTS))
-    f1 = drawn.filter("gold_p > 0 AND gold_a > 0").select("r", "mode", macro_f1().alias("f1"))
+    cell = F.col(within) if within else F.lit("")
+    vectors = stored(predictions.groupBy(cell.cast("string").alias("w"), "mode", "group_id").agg(*count_vector()), "vectors")
+    numbered = stored(ranked(vectors.select("w", "group_id").distinct(), "w", F.substring(F.col("group_id").cast("string"), 1, 2), [F.col("group_id").cast("string")], "k"), "numbered")
+    sizes = stored(numbered.groupBy("w").agg(F.count("*").alias("n")), "sizes")
+    rounds, done = [], 0
+    while done < draws:
+        step = draws - done if replicates is None else min(draws - done, max(replicates + replicates // 20, 1))
+        draw = sizes.select("w", "n", F.explode(F.sequence(F.lit(done).cast("bigint"), F.lit(done + step - 1).cast("bigint"))).alias("r")).repartition("w", "r")
+        pulls = draw.select("w", "r", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("d"))
+        key = F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("d").cast("string"))
+        pick = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.col("n"))
+        times = pulls.select("w", "r", pick.alias("k")).groupBy("w", "r", "k").agg(F.count("*").alias("times"))
+        drawn = times.join(numbered, ["w", "k"]).join(vectors, ["w", "group_id"]).groupBy("w", "r", "mode").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in COUNTS))
+        f1 = stored(drawn.filter("gold_p > 0 AND gold_a > 0").select("w", "r", "mode", macro_f1().alias("f1")), "draws")
+        rounds.append(f1)
+        done += step
+        f1 = reduce(DataFrame.unionByName, rounds)
+        if replicates is None or not sizes.join(f1.groupBy("w").agg(F.countDistinct("r").alias("v")), "w", "left").filter(F.coalesce("v", F.lit(0)) < replicates).head(1):
+            break
+    if not rounds:
+        f1 = vectors.filter("false").select("w", F.lit(0).cast("bigint").alias("r"), "mode", F.lit(0.0).alias("f1"))
     if replicates is not None:
-        valid = f1.select("r").distinct().orderBy("r").limit(replicates)
-        f1 = f1.join(valid, "r", "left_semi")
-    out = f1.select(F.col("mode").alias("name"), "f1")
+        # at most `draws` rows for each value of `within`
+        valid = f1.select("w", "r").distinct().withColumn("i", F.row_number().over(Window.partitionBy("w").orderBy("r"))).filter(F.col("i") <= replicates)
+        f1 = f1.join(valid.drop("i"), ["w", "r"], "left_semi")
+    out = f1.select("w", F.col("mode").alias("name"), "f1")
     for a, b in comparisons or []:
-        x, y = f1.filter(F.col("mode") == a).select("r", F.col("f1").alias("x")), f1.filter(F.col("mode") == b).select("r", F.col("f1").alias("y"))
-        out = out.unionByName(x.join(y, "r").select(F.lit(f"{a} - {b}").alias("name"), (F.col("x") - F.col("y")).alias("f1")))
+        x, y = f1.filter(F.col("mode") == a).select("w", "r", F.col("f1").alias("x")), f1.filter(F.col("mode") == b).select("w", "r", F.col("f1").alias("y"))
+        out = out.unionByName(x.join(y, ["w", "r"]).select("w", F.lit(f"{a} - {b}").alias("name"), (F.col("x") - F.col("y")).alias("f1")))
     p = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))
-    return out.groupBy("name").agg(F.count("*").alias("replicates"), p.alias("p")).select("name", "replicates", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    got = out.groupBy("w", "name").agg(F.count("*").alias("replicates"), p.alias("p"))
+    return got.select(*([F.col("w").alias(within)] if within else []), "name", "replicates", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def majority_baseline(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -49,20 +49,29 @@ def near_clone_pairs(units: DataFrame, threshold: float = 0.85, length_ratio: fl
 def contained_passages(docs: DataFrame, passages: DataFrame, anchor: int = 8) -> DataFrame:
     """doc_id, item_id where the document's text holds the passage's whole text, from a word's start on.
 
-    docs (doc_id, text) and passages (item_id, text) meet by the passage's first `anchor` words (all of a shorter one, by
-    a join for each such length), then the text is searched. Passages without words are held by nothing.
+    docs (doc_id, text) and passages (item_id, text) meet by the passage's first words, `anchor` - 1 at most and not the
+    last one, which may be the beginning of a longer word; a passage of one word meets the beginnings of that length of the
+    document's words. Then the text is searched. Passages without words are held by nothing. One scan of docs makes the
+    runs of all the lengths that passages have, at most `anchor` - 1 of words and as many as one-word passages have lengths.
     """
     from lumenweir.functions.text import words
 
     p = passages.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    p = p.withColumn("k", F.least(F.size("w"), F.lit(anchor))).withColumn("h", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.greatest(F.col("k") - 1, F.lit(1))), " ")))
-    p = stored(p.withColumn("k", F.greatest(F.col("k") - 1, F.lit(1))).drop("w"), "passages")
+    k = F.least(F.size("w"), F.lit(anchor)) - 1
+    # lengths: words of an anchor, or minus the characters of a one-word passage
+    p = p.withColumn("k", F.when(k > 0, k).otherwise(-F.length(F.col("w")[0])))
+    p = p.withColumn("h", F.when(F.col("k") > 0, F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.greatest(F.col("k"), F.lit(1))), " "))).otherwise(F.xxhash64(F.col("w")[0])))
+    p = stored(p.drop("w"), "passages")
+    lengths = [r.k for r in p.select("k").distinct().orderBy("k").collect()]
     d = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    out = None
-    for (k,) in p.select("k").distinct().orderBy("k").collect():  # at most `anchor` lengths
-        starts = F.explode(F.array_distinct(runs(F.col("w"), k, " ")))
-        hits = d.filter(F.size("w") >= k).select("doc_id", starts.alias("h")).join(p.filter(F.col("k") == k), "h").select("doc_id", "item_id", "passage")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}")
-    return out.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    if not lengths:
+        return d.join(p, F.lit(False)).select("doc_id", "item_id")
+
+    def starts(k: int) -> Column:
+        own = runs(F.col("w"), k, " ") if k > 0 else F.transform(F.filter("w", lambda x: F.length(x) >= -k), lambda x: F.xxhash64(F.substring(x, 1, -k)))
+        have = F.when(F.size("w") >= max(k, 1), F.array_distinct(own)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(have, lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+
+    each = d.select("doc_id", F.explode(F.concat(*(starts(k) for k in lengths))).alias("x")).select("doc_id", "x.k", "x.h")
+    hits = each.join(p, ["k", "h"]).select("doc_id", "item_id", "passage")
+    return hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id").distinct()

@@ -41,11 +41,15 @@ def family_inheritance(spark, d) -> DataFrame:
 
 
 def near_duplicate_pairs(spark, d) -> DataFrame:
-    """Pairs between the first documents of each shingle set."""
+    """Pairs between the first documents of each shingle set and length, and each further document with the first one of its own."""
     docs = table(spark, d, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    docs = stored(docs.select("doc_id", F.size("w").alias("n"), shingles(F.col("w")).alias("grams")), "shingles").filter(F.size("grams") > 0)
-    one = docs.withColumn("s", F.xxhash64(F.array_sort("grams"))).groupBy("s").agg(F.min_by(F.struct("doc_id", "n", "grams"), "doc_id").alias("r"))
-    return near_clone_pairs(one.select(F.col("r.doc_id").alias("key"), "r.n", "r.grams")).withColumnRenamed("left", "left_doc").withColumnRenamed("right", "right_doc")
+    docs = docs.select("doc_id", F.size("w").alias("n"), F.array_sort(shingles(F.col("w"))).alias("grams")).filter(F.size("grams") > 0)
+    docs = stored(docs.withColumn("s", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), "grams").alias("b"), "n")), "shingles")
+    first = stored(docs.groupBy("s").agg(F.min("doc_id").alias("left_doc")), "classes")
+    one = docs.join(first, (docs["s"] == first["s"]) & (F.col("doc_id") == F.col("left_doc")), "left_semi")
+    pairs = near_clone_pairs(one.select(F.col("doc_id").alias("key"), "n", "grams")).withColumnRenamed("left", "left_doc").withColumnRenamed("right", "right_doc")
+    copies = docs.select("s", "doc_id", F.size("grams").cast("bigint").alias("shared")).join(first, "s").filter("doc_id > left_doc")
+    return pairs.unionByName(copies.select("left_doc", F.col("doc_id").alias("right_doc"), "shared", F.lit(1.0).alias("score")))
 
 
 def group_rows(spark, d) -> DataFrame:
@@ -120,7 +124,7 @@ CASCADE = f"""WITH {CORPUS}, x AS (SELECT collection, label, CASE WHEN origin =
 PAIRS = r"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+') AS w FROM documents),
     g AS (SELECT DISTINCT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i+4], chr(31))))) AS g FROM w WHERE len(w) >= 5),
     m AS (SELECT doc_id, n, count(*) AS m, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY g)) AS s FROM g GROUP BY ALL),
-    one AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY s),
+    one AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY s, n),
     k AS (SELECT g.doc_id, g.g FROM g JOIN one USING (doc_id)),
     sh AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
     pairs AS (SELECT l, r, shared, shared / (x.m + y.m - shared) AS score FROM sh JOIN m x ON x.doc_id = l JOIN m y ON y.doc_id = r
@@ -149,7 +153,7 @@ SQL = {
     "exclusion_cascade": CASCADE + " SELECT reason, collection, label, count(*) AS n FROM x GROUP BY ALL",
     "exclusion_pivot": CASCADE + " SELECT reason, CAST(count_if(label = 'PRESENT') AS BIGINT) AS present, CAST(count_if(label = 'ABSENT') AS BIGINT) AS absent FROM x GROUP BY ALL",
     "family_inheritance": f"""WITH {CORPUS} SELECT min(path) AS path, identity, string_agg(DISTINCT origin, ',' ORDER BY origin) FILTER (collection = 'en') AS families FROM corpus GROUP BY identity HAVING count_if(collection = 'en') > 0""",
-    "near_duplicate_pairs": f"WITH {PAIRS} SELECT l AS left_doc, r AS right_doc, shared, round(score, 4) AS score FROM pairs",
+    "near_duplicate_pairs": f"WITH {PAIRS} SELECT l AS left_doc, r AS right_doc, shared, round(score, 4) AS score FROM pairs UNION ALL SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY s, n) AS left_doc, doc_id AS right_doc, m AS shared, CAST(1 AS DOUBLE) AS score FROM m) WHERE left_doc < right_doc",
     "leakage_groups": f"WITH RECURSIVE {GROUPS} SELECT doc_id, root, group_id, members FROM roots JOIN names USING (root)",
     "group_members_hist": f"WITH RECURSIVE {GROUPS} SELECT members, count(*) AS n_groups FROM names GROUP BY 1",
     "hash_group_split": f"""WITH {ROWS}, e AS (SELECT DISTINCT partition, collection FROM r), l AS (SELECT unnest(['PRESENT', 'ABSENT']) AS label)

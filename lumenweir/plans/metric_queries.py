@@ -12,7 +12,8 @@ from lumenweir.operators import metrics as M
 from lumenweir.plans.corpus import CORPUS, PREDICTIONS, ROWS, corpus, predictions, rows
 from lumenweir.sources.tables import table
 
-DRAWS = 120
+#: Draws at most, and replicates that count.
+DRAWS, REPLICATES = 20_000, 2000
 
 
 def main_seed(spark, d) -> DataFrame:
@@ -36,11 +37,11 @@ def seed_summary(spark, d) -> DataFrame:
 
 
 def bootstrap_macro_f1(spark, d) -> DataFrame:
-    return M.bootstrap(main_seed(spark, d), DRAWS, "4242", [("report", "label"), ("report_vf", "report")], replicates=100)
+    return M.bootstrap(main_seed(spark, d), DRAWS, "4242", [("report", "label"), ("report_vf", "report")], REPLICATES)
 
 
 def bootstrap_in_collection(spark, d) -> DataFrame:
-    return M.bootstrap(main_seed(spark, d).filter("collection = 'de'"), DRAWS, "4242")
+    return M.bootstrap(main_seed(spark, d), DRAWS, "4242", None, REPLICATES, "collection")
 
 
 def majority_baselines(spark, d) -> DataFrame:
@@ -51,7 +52,7 @@ def majority_baselines(spark, d) -> DataFrame:
 
 
 def tfidf_terms(spark, d) -> DataFrame:
-    tokens = corpus(spark, d).filter("collection = 'de'").select(F.col("path").alias("id"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("tokens"))
+    tokens = corpus(spark, d).select(F.col("path").alias("id"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("tokens"))
     w = M.tfidf(tokens).groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("n"), F.max_by("term", F.struct("tf", "term")).alias("most"), F.max("weight").alias("w"))
     return w.select("id", "terms", "n", "most", F.round("w", 6).alias("max_weight"))
 
@@ -84,7 +85,7 @@ def grounding_totals(spark, d) -> DataFrame:
 
 
 def coverage_antijoin(spark, d) -> DataFrame:
-    return N.coverage(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id"), "doc_id")
+    return N.coverage(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select((F.col("doc_id") * 2).alias("doc_id")), "doc_id")
 
 
 def best_checkpoint(spark, d) -> DataFrame:
@@ -109,19 +110,20 @@ def f1_sql(where: str = "") -> str:
 P42 = f"WITH {PREDICTIONS}, p AS (SELECT * FROM pred WHERE seed = 42)"
 
 
-def boot_sql(where: str, comparisons: bool) -> str:
-    both = """ UNION ALL SELECT x.r, 'report - label', x.f1 - y.f1 FROM f x JOIN f y ON x.r = y.r AND x.mode = 'report' AND y.mode = 'label'
-        UNION ALL SELECT x.r, 'report_vf - report', x.f1 - y.f1 FROM f x JOIN f y ON x.r = y.r AND x.mode = 'report_vf' AND y.mode = 'report'"""
+def boot_sql(within: str, comparisons: bool) -> str:
+    """The rule over the first 2 * REPLICATES draws, which hold REPLICATES valid ones unless the groups are very few."""
+    both = """ UNION ALL SELECT x.w, x.r, 'report - label', x.f1 - y.f1 FROM f x JOIN f y ON x.r = y.r AND x.mode = 'report' AND y.mode = 'label'
+        UNION ALL SELECT x.w, x.r, 'report_vf - report', x.f1 - y.f1 FROM f x JOIN f y ON x.r = y.r AND x.mode = 'report_vf' AND y.mode = 'report'"""
     parts = ", ".join(f"sum(times * tp_{k}) AS tp_{k}, sum(times * pr_{k}) AS pr_{k}, sum(times * go_{k}) AS go_{k}" for k in "pa")
     counts = ", ".join(f"count_if(gold = '{v}' AND predicted = '{v}') AS tp_{k}, count_if(predicted = '{v}') AS pr_{k}, count_if(gold = '{v}') AS go_{k}" for v, k in (("PRESENT", "p"), ("ABSENT", "a")))
     one = lambda k: f"CASE WHEN tp_{k} > 0 THEN 2 * tp_{k} / (pr_{k} + go_{k}) ELSE 0 END"
-    return f"""{P42}, v AS (SELECT mode, group_id, {counts} FROM p {where} GROUP BY ALL), g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS k FROM (SELECT DISTINCT group_id FROM v)),
-        n AS (SELECT count(*) AS n FROM g), pulls AS (SELECT r, ('0x' || substr(sha256('4242:' || r || ':' || d), 1, 8))::BIGINT % n AS k FROM range({DRAWS}) a(r), n, range(n) b(d)),
-        t AS (SELECT r, k, count(*) AS times FROM pulls GROUP BY ALL), s AS (SELECT r, mode, {parts} FROM t JOIN g USING (k) JOIN v USING (group_id) GROUP BY ALL),
-        f0 AS (SELECT r, mode, CAST(({one("p")} + {one("a")}) / 2 AS DOUBLE) AS f1 FROM s WHERE go_p > 0 AND go_a > 0),
-        f AS (SELECT * FROM f0 {"WHERE r IN (SELECT DISTINCT r FROM f0 ORDER BY r LIMIT 100)" if comparisons else ""}),
-        every AS (SELECT r, mode AS name, f1 FROM f {both if comparisons else ""})
-        SELECT name, count(*) AS replicates, quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high FROM every GROUP BY 1"""
+    return f"""{P42}, v AS (SELECT {within} AS w, mode, group_id, {counts} FROM p GROUP BY ALL), g AS (SELECT w, group_id, row_number() OVER (PARTITION BY w ORDER BY CAST(group_id AS VARCHAR)) - 1 AS k FROM (SELECT DISTINCT w, group_id FROM v)),
+        n AS (SELECT w, count(*) AS n FROM g GROUP BY 1), pulls AS (SELECT w, r, ('0x' || substr(sha256('4242:' || r || ':' || d), 1, 8))::BIGINT % n AS k FROM range({2 * REPLICATES}) a(r), (SELECT w, n, unnest(range(n)) AS d FROM n)),
+        t AS (SELECT w, r, k, count(*) AS times FROM pulls GROUP BY ALL), s AS (SELECT w, r, mode, {parts} FROM t JOIN g USING (w, k) JOIN v USING (w, group_id) GROUP BY ALL),
+        f0 AS (SELECT w, r, mode, CAST(({one("p")} + {one("a")}) / 2 AS DOUBLE) AS f1 FROM s WHERE go_p > 0 AND go_a > 0),
+        f AS (SELECT * FROM f0 WHERE (w, r) IN (SELECT (w, r) FROM (SELECT w, r, row_number() OVER (PARTITION BY w ORDER BY r) AS i FROM (SELECT DISTINCT w, r FROM f0)) WHERE i <= {REPLICATES})),
+        every AS (SELECT w, r, mode AS name, f1 FROM f {both if comparisons else ""})
+        SELECT {"" if comparisons else "w AS collection, "}name, count(*) AS replicates, quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high FROM every GROUP BY {"1" if comparisons else "1, 2"}"""
 
 
 SQL = {
@@ -133,14 +135,14 @@ SQL = {
     "scores_by_collection": P42 + f" SELECT mode, CASE WHEN grouping(collection) = 1 THEN 'all' ELSE collection END AS collection, count(*) AS n, {f1_sql()} AS macro_f1 FROM p GROUP BY GROUPING SETS ((mode), (mode, collection))",
     "seed_summary": f"""WITH {PREDICTIONS}, f AS (SELECT mode, seed, CASE WHEN grouping(collection) = 1 THEN 'all' ELSE collection END AS scope, {f1_sql()} AS f1 FROM pred GROUP BY GROUPING SETS ((mode, seed), (mode, seed, collection)))
         SELECT mode, scope, count(*) AS seeds, avg(f1) AS mean, stddev_samp(f1) AS sd FROM f GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "bootstrap_macro_f1": boot_sql("", True),
-    "bootstrap_in_collection": boot_sql("WHERE collection = 'de'", False),
+    "bootstrap_macro_f1": boot_sql("''", True),
+    "bootstrap_in_collection": boot_sql("collection", False),
     "majority_baselines": f"""WITH {ROWS}, tr AS (SELECT * FROM r WHERE partition = 'train'), te AS (SELECT * FROM r WHERE partition = 'test'),
         c AS (SELECT collection, count_if(label = 'PRESENT') > count_if(label = 'ABSENT') AS p FROM tr GROUP BY 1), v AS (SELECT version, count_if(label = 'PRESENT') > count_if(label = 'ABSENT') AS p FROM tr GROUP BY 1)
         SELECT query_id, 'collection' AS mode, CASE WHEN coalesce(p, FALSE) THEN 'PRESENT' ELSE 'ABSENT' END AS predicted FROM te LEFT JOIN c USING (collection)
         UNION ALL SELECT query_id, 'version', CASE WHEN coalesce(p, FALSE) THEN 'PRESENT' ELSE 'ABSENT' END FROM te LEFT JOIN v USING (version)
         UNION ALL SELECT query_id, 'constant', 'ABSENT' FROM te""",
-    "tfidf_terms": f"""WITH {CORPUS}, t AS (SELECT path AS id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM corpus WHERE collection = 'de'),
+    "tfidf_terms": f"""WITH {CORPUS}, t AS (SELECT path AS id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM corpus),
         g AS (SELECT id, unnest(w) AS term FROM t UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM t WHERE len(w) >= 2),
         tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM t),
         x AS (SELECT id, term, tf, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
@@ -154,6 +156,6 @@ SQL = {
         y AS (SELECT *, c <= 20 AND (c + i) % 3 <> 0 AS on_code, present = (i % 4 = 0) AS states, present AND ((s + i) % 3 <> 0 OR e > s AND (e + i) % 3 <> 0) AS placed FROM x)
         SELECT count(*) AS valid_reports, count(*) AS cited_line_numbers, count_if(on_code) / count(*) AS cited_lines_on_code, count_if(states) / count(*) AS conclusion_states_own_verdict,
           CAST(count_if(present) AS BIGINT) AS locations, count_if(placed) / count_if(present) AS locations_on_code FROM y""",
-    "coverage_antijoin": """SELECT count(*) FILTER (d IS NULL) AS missing, count(*) FILTER (l IS NULL) AS unexpected FROM (SELECT DISTINCT doc_id AS l FROM labels) FULL JOIN (SELECT doc_id AS d FROM documents WHERE doc_id % 3 <> 0) ON l = d""",
+    "coverage_antijoin": """SELECT count(*) FILTER (d IS NULL) AS missing, count(*) FILTER (l IS NULL) AS unexpected FROM (SELECT DISTINCT doc_id AS l FROM labels) FULL JOIN (SELECT DISTINCT doc_id * 2 AS d FROM documents) ON l = d""",
     "best_checkpoint": f"WITH {PREDICTIONS}, f AS (SELECT mode, id % 6 + 1 AS epoch, round({f1_sql()}, 1) AS score FROM pred GROUP BY 1, 2) SELECT mode, arg_max(epoch, row(score, -epoch)) AS epoch, max(score) AS score FROM f GROUP BY 1",
 }

@@ -35,7 +35,6 @@ class ReleaseConfig:
     folds: int = 8
     test_folds: tuple[int, ...] = (0, 1)
     validation_folds: tuple[int, ...] = (2,)
-    levels: tuple[tuple[str, ...], ...] = (("version",), ())
     seed: int = 42
 
 
@@ -75,7 +74,7 @@ def build_release(corpus: DataFrame, config: ReleaseConfig = ReleaseConfig(), to
     part = C.hash_partition(F.col("group_id"), config.folds, config.test_folds, config.validation_folds)
     rows = kept.join(groups.select(F.col("key").alias("path"), "group_id"), "path").withColumn("partition", part).withColumn("query_id", F.col("path"))
     rows = stored(rows.select("query_id", "partition", "collection", "label", "version", "group_id", "identity", F.size("tokens").cast("bigint").alias("source_tokens"), T.numbered(F.col("code")).alias("source")), "rows")
-    match = stored(C.balanced_greedy(rows, [list(level) for level in config.levels], config.seed).drop("partition", "collection"), "match")
+    match = stored(C.match_roles(rows, stored(C.balanced_ranks(rows, config.seed), "pairs")), "match")
     selected = rows.join(match.filter("match_role <> 'surplus'"), "query_id")
     surplus = rows.join(match.filter("match_role = 'surplus'"), "query_id", "left_semi")
     ledger = (
@@ -107,7 +106,7 @@ def build_training_records(rows: DataFrame, log: DataFrame, systems: dict[str, s
     return Fm.interleaved(kept, tuple(systems), seed), fate.filter("reason IS NOT NULL")
 
 
-def evaluate(predictions: DataFrame, gold: DataFrame, comparisons: list[tuple[str, str]] | None = None, draws: int = 2000) -> dict[str, DataFrame]:
+def evaluate(predictions: DataFrame, gold: DataFrame, comparisons: list[tuple[str, str]] | None = None, draws: int = 20_000, replicates: int = 2000) -> dict[str, DataFrame]:
     """scores, by_collection, intervals of long predictions (mode, id, predicted) against gold (id, gold, collection, group_id).
 
     Every mode must cover the gold ids exactly; otherwise it is an error.
@@ -119,4 +118,4 @@ def evaluate(predictions: DataFrame, gold: DataFrame, comparisons: list[tuple[st
     if gap.missing or gap.unexpected:
         raise ValueError(f"predictions miss {gap.missing} rows and have {gap.unexpected} that gold has not")
     both = stored(predictions.join(gold, "id"), "predictions")
-    return {"scores": M.scores(both, "mode"), "by_collection": M.scores_with_total(both), "intervals": M.bootstrap(both, draws, "4242", comparisons)}
+    return {"scores": M.scores(both, "mode"), "by_collection": M.scores_with_total(both), "intervals": M.bootstrap(both, draws, "4242", comparisons, replicates)}

@@ -101,7 +101,7 @@ def attempt_terminal(spark, d) -> DataFrame:
 
 
 def attempt_pending(spark, d) -> DataFrame:
-    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id")).filter("query_id <= 300")
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
     return A.pending(keys, log(spark, d), "query_id", "event_id", 60)
 
 
@@ -155,7 +155,7 @@ SQL = {
     "attempt_latest": LAST + " SELECT query_id, event_id, status, attempts FROM last",
     "attempt_terminal": LAST + " SELECT query_id, status, attempts, status <> 'invalid' OR attempts >= 60 AS terminal FROM last",
     "attempt_pending": LAST
-    + " SELECT c_custkey AS query_id, CAST(coalesce(attempts, 0) + 1 AS BIGINT) AS next_attempt FROM customer LEFT JOIN last ON query_id = c_custkey WHERE c_custkey <= 300 AND NOT coalesce(status <> 'invalid' OR attempts >= 60, FALSE)",
+    + " SELECT c_custkey AS query_id, CAST(coalesce(attempts, 0) + 1 AS BIGINT) AS next_attempt FROM customer LEFT JOIN last ON query_id = c_custkey WHERE NOT coalesce(status <> 'invalid' OR attempts >= 60, FALSE)",
     "attempt_summary": "SELECT count(*) AS invocations, CAST(count_if(event_id % 3 > 0) AS BIGINT) AS retries, count(DISTINCT user_id) AS keys FROM events",
     "attempt_stream": LAST + " SELECT query_id, event_id, status, attempts, status <> 'invalid' OR attempts >= 60 AS terminal FROM last",
 }

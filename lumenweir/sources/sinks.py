@@ -71,5 +71,5 @@ def markdown(scores: DataFrame, columns: list[str], title: str) -> str:
     """A Markdown table of a small result (one row a mode): numbers to three digits, an em dash for null."""
     kinds = dict(scores.dtypes)
     cells = [number_text(F.col(c)) if kinds[c] == "double" else F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns]
-    rows = scores.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).orderBy("line").limit(1000).collect()
+    rows = scores.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).orderBy("line").collect()
     return "\n".join([f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *(r.line for r in rows)]) + "\n"

@@ -20,35 +20,43 @@ def order(seed, i):
     return hashlib.sha256(f'[{seed},"{i}"]'.encode()).hexdigest()
 
 
-def greedy(rows, levels, seed):
-    """The sequential matching rule, over plain tuples."""
-    out, cells = set(), defaultdict(list)
-    for r in rows:
-        cells[r[1], r[2]].append(r)
-    for cell in cells.values():
-        by = {v: sorted((r for r in cell if r[3] == v), key=lambda r: order(seed, r[0])) for v in C.LABELS}
-        few, many = sorted(C.LABELS, key=lambda v: (len(by[v]), v))
-        free, use, got = list(by[many]), Counter(), {}
-        for depth, level in enumerate(levels):
-            for case in by[few]:
-                if case[0] in got:
-                    continue
-                pool = [c for c in free if all(c[k] == case[k] for k in level)]
-                if pool:
-                    best = min(pool, key=lambda c: (use[c[5]], order(seed, c[0])))
-                    free.remove(best)
-                    use[best[5]] += 1
-                    got[case[0]] = best[0]
-                    out |= {(case[0], "case", best[0], depth), (best[0], "control", case[0], depth)}
-        out |= {(c[0], "surplus", None, None) for c in free}
-    return out
-
-
 @pytest.mark.parametrize("seed", [1, 2])
-def test_greedy_balance_equals_the_rule(spark, seed):
+def test_greedy_balance_follows_the_rule(spark, seed):
+    """Matches replayed by level and seeded order: every case took the best of what was free, and who went without had nothing free."""
     rows = sample(seed)
+    by = {r[0]: r for r in rows}
     got = C.balanced_greedy(spark.createDataFrame(rows, ROWS), [["version"], []], 42).collect()
-    assert {(r.query_id, r.match_role, r.match_partner, r.match_level) for r in got} == greedy(rows, [[4], []], 42)
+    assert sorted(r.query_id for r in got) == sorted(by)
+    for cell in {r[1:3] for r in rows}:
+        count = Counter(r[3] for r in rows if r[1:3] == cell)
+        rare = "PRESENT" if count["PRESENT"] < count["ABSENT"] else "ABSENT"
+        own = [r for r in got if (r.partition, r.collection) == cell]
+        match = {r.query_id: (r.match_level, r.match_partner) for r in own if r.match_role == "case"}
+        assert {r.match_partner: r.query_id for r in own if r.match_role == "control"} == {i: p for i, (_, p) in match.items()}
+        assert set(match) == {r[0] for r in rows if r[1:3] == cell and r[3] == rare}
+        free, used = {r[0] for r in rows if r[1:3] == cell and r[3] != rare}, Counter()
+        for level in (0, 1):
+            for i in sorted((i for i, (at, _) in match.items() if at >= level), key=lambda i: order(42, i)):
+                fit = [j for j in free if level or by[j][4] == by[i][4]]
+                if match[i][0] > level:
+                    assert not fit
+                    continue
+                best = min(fit, key=lambda j: (used[by[j][5]], order(42, j)))
+                assert match[i][1] == best
+                free.discard(best)
+                used[by[best][5]] += 1
+        assert {r.query_id for r in own if r.match_role == "surplus"} == free
+
+
+def test_roles_of_rank_balance(spark):
+    df = spark.createDataFrame(sample(4), ROWS)
+    pairs = C.balanced_ranks(df, 42)
+    got = {r.query_id: r for r in C.match_roles(df, pairs).collect()}
+    assert len(got) == 120
+    want = {r.case_id: r.control_id for r in pairs.collect()}
+    assert {i: r.match_partner for i, r in got.items() if r.match_role == "case"} == want
+    assert {r.match_partner: i for i, r in got.items() if r.match_role == "control"} == want
+    assert all(r.match_partner is None and r.match_level is None for r in got.values() if r.match_role == "surplus")
 
 
 def test_rank_balance_is_one_to_one(spark):
@@ -70,22 +78,23 @@ def test_equal_counts_make_absent_the_cases(spark):
     assert {r.match_role for r in got if r.query_id % 2} == {"case"}
 
 
-def test_pilot_equals_the_rule(spark):
+def test_pilot_by_hand(spark):
+    """Labels with two collections: both collections first, whatever the order, then by order; a group serves once."""
+    at = lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest()
+    first = sorted(range(40), key=at)
+    rows = [(i, "t", "b" if k in (30, 31) else "a", "PRESENT" if k % 2 else "ABSENT", "4", "same" if k in (2, 3, 5) else f"g{i}", 1) for k, i in enumerate(first)]
+    got = {r.query_id for r in C.pilot_sample(spark.createDataFrame(rows, ROWS), 4, 42).collect()}
+    # PRESENT: 1 of a, 31 of b, then 3 (group same) and 7, as 5 is of its group; ABSENT: 0, 30, then 4 and 6, as 2 is of it
+    assert got == {first[k] for k in (1, 31, 3, 7, 0, 30, 4, 6)}
+
+
+def test_pilot_on_random_rows(spark):
     rows = sample(7, 200)
-    key = lambda r: hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()
-    chosen = []
-    for v in C.LABELS:
-        ranked, picked = sorted((r for r in rows if r[3] == v), key=key), []
-        for fresh in (True, False):
-            for r in ranked:
-                if len(picked) == 5:
-                    break
-                if r in picked or r[5] in {x[5] for x in chosen + picked} or fresh and r[2] in {x[2] for x in picked}:
-                    continue
-                picked.append(r)
-        chosen += picked
     got = C.pilot_sample(spark.createDataFrame(rows, ROWS), 5, 42).collect()
-    assert {r.query_id for r in got} == {r[0] for r in chosen}
+    assert Counter(r.label for r in got) == {"PRESENT": 5, "ABSENT": 5}
+    assert len({r.group_id for r in got}) == 10
+    assert all(len({r.collection for r in got if r.label == v}) == 2 for v in C.LABELS)
+    assert C.pilot_sample(spark.createDataFrame([], ROWS), 5, 42).count() == 0
 
 
 def test_duplicates_and_families(spark):
@@ -97,10 +106,10 @@ def test_duplicates_and_families(spark):
 
 
 def test_pair_removal(spark):
-    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "left bigint, right bigint")
-    state = spark.createDataFrame([(1, "accepted", False), (2, "disagreed", False), (3, "accepted", True), (4, "accepted", False), (5, "accepted", False), (6, "accepted", False)], "query_id bigint, status string, too_long boolean")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (7, 8), (9, 10)], "left bigint, right bigint")
+    state = spark.createDataFrame([(1, "accepted", False), (2, "disagreed", False), (3, "accepted", True), (4, "accepted", False), (5, "accepted", False), (6, "accepted", False), (8, "accepted", False), (9, None, False), (10, "invalid", None)], "query_id bigint, status string, too_long boolean")
     got = {r.query_id: r.reason for r in C.pair_removal(pairs, state).collect()}
-    assert got == {1: "partner_removed", 2: "teacher_disagreed", 3: "overlength_sequence", 4: "partner_removed", 5: None, 6: None}
+    assert got == {1: "partner_removed", 2: "teacher_disagreed", 3: "overlength_sequence", 4: "partner_removed", 5: None, 6: None, 7: "teacher_missing", 8: "partner_removed", 9: "teacher_missing", 10: "teacher_invalid"}
 
 
 def test_split_keeps_groups_whole_and_passes_gates(spark):
