@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweir.llm.common import documents
-from lumenweir.llm.ranks import parts_for, ranked
+from lumenweir.operators.ranks import parts_for, ranked
 
 BLOCK_ROWS = 32
 PERIOD = 1000

@@ -1,8 +1,11 @@
 """Best-fit packing of token pieces into sequences, by a configuration linear program over the length histogram.
 
-A configuration is a multiset of lengths that fits one sequence. Multiplicative weights price the lengths that are still
-uncovered; a knapsack dynamic program finds the configuration of the greatest price and, from the same table, further ones
-within a tolerance of it; each is taken as often as the remaining lengths allow, which keeps multiplicities whole numbers.
+A configuration is a multiset of lengths that fits one sequence; the program covers every length's pieces by as few
+configurations, in fractions, as it can. Multiplicative weights price the lengths: a knapsack dynamic program finds, for each
+length that lags behind, the configuration of greatest price that holds it; lengths that no configuration near the best
+price holds become dearer, lengths that are covered beyond their share cheaper, down to being left out. Any prices bound the program
+from below (their worth over the greatest price of a configuration), which proves how good a plan is. The fractional solution
+is rounded down to whole numbers of sequences, and what that leaves of each length is packed by best fit, longest first.
 The plan depends on the histogram alone, at most `capacity` numbers; the pieces are dealt to it by their rank within their length.
 """
 
@@ -16,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.llm.common import documents, stored
-from lumenweir.llm.ranks import parts_for, ranked
+from lumenweir.operators.ranks import parts_for, ranked
 from lumenweir.llm.tokens import token_pieces
 
 CAPACITY = 2048
-#: Step of the multiplicative weights, and how far below the best price a configuration may lie.
-STEP, TOLERANCE = 0.5, 0.004
+#: Rounds and step of the multiplicative weights; how far below the best price a configuration may lie; shares of the
+#: fractional solution of which whole numbers are tried (the rest leaves short pieces for the best fit).
+ROUNDS, STEP, TOLERANCE, SHARES = 24, 0.2, 0.002, (0.95, 0.85, 0.7, 0.5, 0.3)
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest price of a multiset of lengths for each size up to capacity, and the index of its last length (-1: none)."""
+    """Greatest price of a multiset of lengths for each size up to capacity, and the index of its last length (-1: none, -2: as one size less)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -38,48 +42,112 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     return best, last
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(multiset of lengths, times) that together cover the histogram exactly, each within capacity."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    total = dict(left)
-    weight = dict.fromkeys(left, 1.0)
+def taken(lengths: list[int], last: list[int], size: int) -> dict[int, int]:
+    """index of length -> times, of the best multiset for a size."""
+    out: dict[int, int] = {}
+    while size > 0 and last[size] != -1:
+        if (i := last[size]) == -2:
+            size -= 1
+        else:
+            out[i] = out.get(i, 0) + 1
+            size -= lengths[i]
+    return out
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """configuration ((index, times), ...) -> how often, covering each length about ROUNDS times over; and a lower bound on
+    the sequences of any packing."""
+    size, need = lengths.tolist(), counts.tolist()
+    prices = lengths / capacity
+    cover, bound, use, moved = np.zeros(len(size)), 0.0, {}, False
+    for t in range(1, ROUNDS + 1):
+        best, _ = knapsack(lengths, prices, capacity)
+        top = best[capacity]
+        bound = max(bound, float(prices @ counts) / top)
+        # of configurations of one price those of lagging lengths are preferred; together this weighs less than one token
+        open_ = cover <= t + 1
+        weight = np.where(open_, prices * (1 + np.exp(np.minimum(t - 1 - cover, 0)) * 0.8 / capacity), 0.0)
+        steps = knapsack(lengths, weight, capacity)[1].tolist()
+        dearer = []
+        for i in range(len(size) - 1, -1, -1):  # the longest first, which leaves the short ones to fill up
+            if cover[i] >= t:
+                continue
+            config = taken(size, steps, capacity - size[i])
+            config[i] = config.get(i, 0) + 1
+            worth = sum(prices[j] * m for j, m in config.items())
+            if (gap := top - prices[i] - best[capacity - size[i]]) > TOLERANCE * top:
+                dearer.append((i, gap))
+            # while all lengths fill sequences at the prices of their tokens, only full ones count
+            if worth < (1 - (8 * TOLERANCE if moved else 0.5 / capacity)) * top:
+                continue
+            times = need[i] * (t - cover[i]) / config[i]
+            for j, m in config.items():
+                cover[j] += times * m / need[j]
+            key = tuple(sorted(config.items()))
+            use[key] = use.get(key, 0.0) + times
+        for i, gap in dearer:
+            prices[i] *= min(1 + gap / (2 * prices[i]), 1.5)
+        if dearer:  # lengths that can't fill a sequence: prices of tokens aren't the program's
+            moved = True
+        if moved:
+            prices *= np.exp(-STEP * np.clip(cover / t - 1, 0, 1))
+    return use, bound
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, for all pieces of a length at once: equal sequences are one entry with a count."""
+    bins: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for n in sorted(left, reverse=True):
+        k = left[n]
+        while k:
+            free = min((f for f in bins if f >= n), default=None)
+            if free is None:
+                each = capacity // n
+                full, rest = divmod(k, each)
+                for times, m in ((full, each), (1 if rest else 0, rest)):
+                    if times:
+                        bins.setdefault(capacity - m * n, []).append(({n: m}, times))
+                break
+            config, times = bins[free].pop()
+            each = free // n
+            use = min(times, k // each)
+            if use < times:
+                if not use:  # fewer pieces than one sequence has room for
+                    each, use = k, 1
+                if times > use:
+                    bins[free].append((config, times - use))
+            k -= each * use
+            if not bins[free]:
+                del bins[free]
+            bins.setdefault(free - each * n, []).append((config | {n: config.get(n, 0) + each}, use))
+    return [x for many in bins.values() for x in many]
+
+
+def rounded(use: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of sequences of a share of the fractional solution, within what there is of each length, and the best fit of the rest."""
+    left = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    spare = {n: c - int(share * c) for n, c in left.items()}
     plan: list[tuple[dict[int, int], int]] = []
+    for key, times in use.items():
+        if (whole := int(times * share / ROUNDS)) > 0:
+            config = {int(lengths[j]): m for j, m in key}
+            whole = min(whole, *((left[n] - spare[n]) // m for n, m in config.items()))
+            if whole > 0:
+                plan.append((config, whole))
+                for n, m in config.items():
+                    left[n] -= m * whole
+    return plan + best_fit({n: c for n, c in left.items() if c}, capacity)
 
-    def take(config: dict[int, int]) -> None:
-        free = capacity - sum(n * m for n, m in config.items())
-        for n in sorted((x for x in left if x <= free), reverse=True):  # what a clipped configuration leaves goes to the longest that fit
-            if m := min(free // n, left[n] - config.get(n, 0)):
-                config[n] = config.get(n, 0) + m
-                free -= m * n
-        times = min(left[n] // m for n, m in config.items())
-        plan.append((config, times))
-        for n, m in config.items():
-            weight[n] *= float(np.exp(-STEP * m * times / total[n]))
-            left[n] -= m * times
-            if not left[n]:
-                del left[n]
-
-    while left:
-        lengths = np.array(sorted(left))
-        # a length's price is its share of a sequence, times its weight; long ones are dearer, as they are harder to place
-        prices = np.array([(n / capacity) * (1 + 0.02 * n / capacity) * weight[n] for n in lengths])
-        best, last = knapsack(lengths, prices, capacity)
-        for size in range(capacity, max(0, capacity - 16), -1):
-            if best[size] < (1 - TOLERANCE) * best[capacity]:
-                break
-            config: dict[int, int] = {}
-            c = size
-            while c > 0 and last[c] != -1:
-                if last[c] == -2:
-                    c -= 1
-                    continue
-                n = int(lengths[last[c]])
-                config[n] = config.get(n, 0) + 1
-                c -= n
-            clipped = {n: min(m, left[n]) for n, m in config.items() if n in left}
-            if clipped and (size == capacity or clipped == config):
-                take(clipped)
-    return plan
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(multiset of lengths, times) that together cover the histogram exactly, each within capacity: the least of some roundings."""
+    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
+    if not len(lengths):
+        return []
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    use, _ = fractional(lengths, counts, capacity)
+    use = dict(sorted(use.items(), key=lambda x: (-x[1], x[0])))
+    return min((rounded(use, lengths, counts, share, capacity) for share in SHARES), key=lambda plan: sum(times for _, times in plan))
 
 
 def intervals(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

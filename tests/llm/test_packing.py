@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -44,6 +45,47 @@ def test_no_worse_than_first_fit_decreasing_where_lengths_do_not_fill():
     assert sum(t for _, t in K.configurations(dict(Counter(items)))) <= len(free) * 1.02
 
 
+def least_sequences(items, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(free)
+            return
+        for f in sorted({f for f in free if f >= items[i]}):
+            k = free.index(f)
+            place(i + 1, [*free[:k], f - items[i], *free[k + 1 :]])
+        place(i + 1, [*free, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_an_exact_solver_and_the_bound(seed):
+    rnd = random.Random(seed)
+    items = [rnd.randint(3, 16) for _ in range(rnd.randint(1, 11))]
+    hist, least = Counter(items), least_sequences(items, 20)
+    got = sum(t for _, t in K.configurations(dict(hist), 20))
+    assert got == least
+    lengths = np.array(sorted(hist))
+    _, bound = K.fractional(lengths, np.array([hist[n] for n in lengths.tolist()]), 20)
+    assert bound <= least + 1e-9
+
+
+@pytest.mark.parametrize("low, high", [(600, 1100), (400, 800), (1, 2048)])
+def test_not_more_than_best_fit_decreasing(low, high):
+    rnd = random.Random(low)
+    hist = Counter(rnd.randint(low, high) for _ in range(30_000))
+    got, fit = (sum(t for _, t in p) for p in (K.configurations(dict(hist)), K.best_fit(dict(hist), 2048)))
+    lengths = np.array(sorted(hist))
+    _, bound = K.fractional(lengths, np.array([hist[n] for n in lengths.tolist()]), 2048)
+    assert bound <= got <= fit * 1.0001
+
+
 def check(rows, capacity):
     by = defaultdict(list)
     for r in rows:
