@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweir.sources.tables import dropped, stored  # noqa: F401
+from lumenweir.sources.tables import CLEANUP, dropped, shared_dir, stored  # noqa: F401
 
 #: Rows of an Arrow batch of texts. Spark's default of 10,000 rows would put ten thousand long documents in one batch.
 BATCH_ROWS = 500
@@ -26,6 +27,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sorted_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write df into the shared folder as a table bucketed and sorted by key, and return a scan of it: two such tables of as
+    many buckets are merge-joined on the key without a shuffle."""
+    spark = df.sparkSession
+    called = f"lumenweir_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumenweir/{called}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(called)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(called)
+    out._lumenweir_path, out._lumenweir_table = path, called
+    return out
+
+
+def dropped_table(df: DataFrame) -> None:
+    """Delete a table made by sorted_table()."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._lumenweir_table}")
+    dropped(df)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text (null: empty), and further columns by name; all other columns are pruned at the scan."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -2,14 +2,16 @@
 
 A log-structured index holds fingerprints of windows: a window's fingerprint is the least hash of the SEED-word runs in it,
 so equal windows have equal fingerprints, and a text has about one distinct fingerprint for each dozen of its windows. Each
-batch of documents becomes an immutable run sorted by fingerprint; the run is merge-joined with the runs before it, and
-runs are compacted into one when there are too many. Fingerprints that came once can't belong to a repeated window. The
-windows of the others are verified on hashes of all their words, and only exact repeats are removed.
+batch of documents becomes an immutable run, a table bucketed and sorted by fingerprint; the run is merge-joined with the
+runs before it, without a shuffle, and runs are compacted into one when there are too many. What the joins find, and what
+repeats within a batch, is all that can belong to a repeated window. The windows of those fingerprints are verified on
+hashes of all their words, and only exact repeats are removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -19,13 +21,17 @@ from pyspark.sql import functions as F
 
 from lumenweir.llm import words
 from lumenweir.llm.bitmap import bitmap_of
-from lumenweir.llm.common import chunked, documents, dropped, stored, whole_texts
+from lumenweir.llm.common import chunked, documents, dropped, dropped_table, sorted_table, stored, whole_texts
 
 WINDOW = 35
 SEED = 12
 #: Batches that the query cuts the corpus into, and runs that an index holds before it compacts them.
-BATCHES = 2
+BATCHES = 6
 MOST_RUNS = 4
+#: Fingerprints that a bucket of a run is meant to hold, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 8
+#: Repeated fingerprints that are broadcast as a bitmap, at most; more are joined with the documents' own fingerprints.
+MOST_SHIPPED = 1 << 21
 
 
 def _slide(x: np.ndarray, size: int, pick) -> np.ndarray:
@@ -52,66 +58,90 @@ def fingerprints(word_hashes: np.ndarray, first: np.ndarray, size: int) -> tuple
     return at, least[at], runs[_slide(whole, span, np.maximum) == runs]
 
 
-def window_counts(docs: DataFrame, size: int) -> DataFrame:
-    """fp, n: how many places of docs have each fingerprint; summed within a task before it leaves it."""
+def window_counts(docs: DataFrame, size: int, batch: Column | None = None) -> DataFrame:
+    """batch, fp, n: how many places of docs have each fingerprint, summed within each Arrow batch; a fingerprint has several rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for _, _, buf, offs in chunked(b.column("text")):
+            parts, of = [], []
+            own = b.column("batch").to_numpy()
+            for at, end, buf, offs in chunked(b.column("text")):
                 starts, ends, first = words.spans(buf, offs)
-                parts.append(fingerprints(words.hashes(buf, starts, ends), first, size)[2])
-            fp, n = np.unique(np.concatenate(parts) if parts else np.empty(0, words.U), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], ["fp", "n"])
-
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "fp bigint, n bigint")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n"))
+                h = words.hashes(buf, starts, ends)
+                for k in np.unique(own[at:end]):
+                    whole = own[at:end] == k
+                    if whole.all():
+                        _, _, fp = fingerprints(h, first, size)
+                    else:
+                        inside = np.repeat(whole, np.diff(first))
+                        _, _, fp = fingerprints(h[inside], np.concatenate([[0], np.cumsum(np.where(whole, np.diff(first), 0))]), size)
+                    parts.append(fp)
+                    of.append(np.full(len(fp), k, np.int32))
+            if not parts:
+                continue
+            fp, k = np.concatenate(parts), np.concatenate(of)
+            order = np.lexsort((fp, k))
+            fp, k = fp[order], k[order]
+            new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (k[1:] != k[:-1])])) if len(fp) else np.empty(0, np.int64)
+            n = np.diff(np.append(new, len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(fp[new].view(np.int64)), pa.array(n.astype(np.int64))], ["batch", "fp", "n"])
+
+    batch = F.lit(0) if batch is None else batch
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), batch.cast("int").alias("batch"))
+    return rows.mapInArrow(count, "batch int, fp bigint, n bigint")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in the shared folder.
+    """Sorted immutable runs of window fingerprints in the shared folder, bucketed alike so that two of them merge in place.
 
     append() makes a run of a batch and returns the fingerprints of the batch that repeat within it or occur in earlier
     runs; repeated() gives those of all batches so far. Runs are never changed: compact() writes a new one.
     """
 
-    def __init__(self, size: int = WINDOW, most_runs: int = MOST_RUNS) -> None:
-        self.size, self.most_runs, self.runs = size, most_runs, []
+    def __init__(self, size: int = WINDOW, most_runs: int = MOST_RUNS, buckets: int = LEAST_BUCKETS) -> None:
+        self.size, self.most_runs, self.buckets = size, most_runs, buckets
+        self.runs: list[DataFrame] = []
+        self.found: list[DataFrame] = []
 
-    @staticmethod
-    def _run(counts: DataFrame) -> DataFrame:
-        return stored(counts.sortWithinPartitions("fp"), "run")
+    def _run(self, rows: DataFrame) -> DataFrame:
+        """A run of rows (fp, n) that are dealt by fp into the index's buckets already."""
+        return sorted_table(rows.sortWithinPartitions("fp"), "run", "fp", self.buckets)
 
     def append(self, docs: DataFrame) -> DataFrame:
-        run = self._run(window_counts(docs, self.size))
+        return self.append_counts(window_counts(docs, self.size))
+
+    def append_counts(self, counts: DataFrame) -> DataFrame:
+        """append() of what window_counts() gives for a batch."""
+        run = self._run(counts.select("fp", "n").repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n")))
         found = run.filter("n > 1").select("fp")
         for old in self.runs:
-            found = found.unionByName(run.hint("merge").join(old.select("fp"), "fp").select("fp"))
+            found = found.unionByName(run.select("fp").hint("merge").join(old.select("fp"), "fp"))
+        found = stored(found, "found")
         self.runs.append(run)
-        found = stored(found.distinct(), "found")
+        self.found.append(found)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return found
-
-    def merged(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("fp").agg(F.sum("n").alias("n"))
+        return found.distinct()
 
     def compact(self) -> None:
-        if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._run(self.merged())]
-            for run in old:
-                dropped(run)
+        """All runs into one, by merges of two."""
+        while len(self.runs) > 1:
+            a, b = self.runs[:2]
+            both = a.hint("merge").join(b.withColumnRenamed("n", "m"), "fp", "full")
+            self.runs[:2] = [self._run(both.select("fp", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))]
+            for run in (a, b):
+                dropped_table(run)
 
     def repeated(self) -> DataFrame:
-        return self.merged().filter("n > 1").select("fp")
+        """fp, once each: what append() has returned so far."""
+        return reduce(DataFrame.unionByName, self.found).distinct()
 
     def drop(self) -> None:
         for run in self.runs:
-            dropped(run)
-        self.runs = []
+            dropped_table(run)
+        for found in self.found:
+            dropped(found)
+        self.runs, self.found = [], []
 
 
 def row_key() -> Column:
@@ -119,6 +149,28 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text").alias("key")
 
 
+def of_documents(docs: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """docs (key, text) with fps, the repeated fingerprints of each text, for texts that have some.
+
+    The texts' fingerprints are joined with the repeated ones and gathered by text; a text's list is shorter than the text.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("key").to_numpy()
+            for at, _, buf, offs in chunked(b.column("text")):
+                starts, ends, first = words.spans(buf, offs)
+                w, fp, _ = fingerprints(words.hashes(buf, starts, ends), first, size)
+                of = key[at + np.searchsorted(first, w, "right") - 1]
+                new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])]) if len(fp) else np.empty(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(of[new]), pa.array(fp[new].view(np.int64))], ["key", "fp"])
+
+    own = stored(docs.mapInArrow(each, "key bigint, fp bigint"), "postings")
+    lists = stored(own.join(repeated, "fp").groupBy("key").agg(F.collect_set("fp").alias("fps")), "lists")
+    dropped(own)
+    return docs.join(lists, "key")
+
+
 def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     """key, n_bytes, starts array<int>: the words at which windows start that occur at least twice in docs.
 
@@ -127,17 +179,23 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     """
     spark, size = docs.sparkSession, index.size
     repeated = stored(index.repeated(), "repeated")
-    shipped = spark.sparkContext.broadcast(bitmap_of(repeated, F.col("fp"), repeated.count()))
+    rows = repeated.count()
+    if rows <= MOST_SHIPPED:
+        shipped = spark.sparkContext.broadcast(bitmap_of(repeated, F.col("fp"), rows))
+        docs = docs.select("key", "text", F.lit(None).cast("array<bigint>").alias("fps"))
+    else:
+        shipped = None
+        docs = of_documents(docs, repeated, size).select("key", "text", "fps")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = shipped.value
         for b in batches:
-            key = b.column("key").to_numpy()
-            for at, _, buf, offs in chunked(b.column("text")):
+            key, fps = b.column("key").to_numpy(), b.column("fps")
+            for at, end, buf, offs in chunked(b.column("text")):
                 starts, ends, first = words.spans(buf, offs)
                 h = words.hashes(buf, starts, ends)
                 w, fp, _ = fingerprints(h, first, size)
-                w = w[sieve.has(fp)]
+                hit = shipped.value.has(fp) if shipped else np.isin(fp, fps.slice(at, end - at).flatten().to_numpy().view(np.uint64))
+                w = w[hit]
                 if not len(w):
                     continue
                 text = np.searchsorted(first, w, "right") - 1
@@ -165,9 +223,11 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES)
     spark = docs.sparkSession
     whole_texts(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", row_key())
-    index = FingerprintIndex(size)
+    counts = stored(window_counts(docs, size, F.pmod("key", F.lit(batches))), "counts")
+    index = FingerprintIndex(size, buckets=max(LEAST_BUCKETS, 1 << (counts.count() // (batches * BUCKET_ROWS)).bit_length()))
     for i in range(batches):
-        dropped(index.append(docs.filter(F.pmod("key", F.lit(batches)) == i)))
+        index.append_counts(counts.filter(F.col("batch") == i))
+    dropped(counts)
     starts = repeated_windows(docs.select("key", "text"), index)
     index.drop()
 

@@ -58,3 +58,20 @@ def test_index_finds_history_and_compacts(spark, make_docs):
     assert index.append(make_docs([first])).count() > 0
     assert index.repeated().count() >= 2
     index.drop()
+
+
+def test_more_repeats_than_are_broadcast(spark, make_docs, odd_texts, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SHIPPED", 0)
+    texts = odd_texts[:8] + corpus(0)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in S.without_repeats(make_docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 35)
+
+
+def test_runs_merge_without_a_shuffle(spark, make_docs):
+    index = S.FingerprintIndex(35)
+    for k in range(2):
+        index.append(make_docs([" ".join(f"w{k}.{i}" for i in range(80))]))
+    a, b = index.runs
+    plan = a.select("fp").hint("merge").join(b.select("fp"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
