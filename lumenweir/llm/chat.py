@@ -23,7 +23,6 @@ KINDS = {
     "array": "ARRAY<",
     "null": "VOID$",
 }
-MOST_LEVELS = 1000
 
 
 def canonical(json: Column) -> Column:
@@ -69,7 +68,7 @@ def levels(calls: DataFrame) -> DataFrame:
     if pending.isEmpty():
         return done
     pending, done = stored(pending, "pending"), stored(done, "ordered")
-    for _ in range(MOST_LEVELS):
+    while True:  # each round places a call at least
         need = pending.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
         met = done.filter("result_turn IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("id").alias("need"), F.col("level").alias("l"), F.greatest("ready", "result_turn").alias("r"))
         have = need.join(met, need["conv_id"].eqNullSafe(met["c"]) & (need["need"] == met["need"])).groupBy("conv_id", "id").agg(F.count("*").alias("have"), F.max("l").alias("l"), F.max("r").alias("r"))
@@ -161,15 +160,19 @@ def linked(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
 
 #: The conversations table has no tool messages, so the query reads a user's turn as a call of `reply` and the assistant's
-#: next turn as its result.
-TOOLS = {"reply": {"properties": {"chars": "integer", "text": "string", "turn": "integer"}, "required": ["text", "turn"]}}
+#: next turn as its result. Calls of turns 4k + 2 and 4k + 3 need the result of the user's turn before, conversations 7k + 3
+#: leave out the text and conversations 11k + 5 spell the turn as a string, so that order and validation have work to do.
+TOOLS = {"reply": {"properties": {"after": "string", "chars": "integer", "text": "string", "turn": "integer"}, "required": ["text", "turn"]}}
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     id_of = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     t = F.col("turn").cast("bigint")
-    arguments = F.to_json(F.struct(t.alias("turn"), F.col("text").alias("text"), F.length("text").alias("chars")))
-    call = F.array(F.struct(id_of(t).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments")))
+    after = F.when(F.pmod(t, F.lit(4)) >= 2, F.concat(F.lit("$ref:"), id_of(t - 2))).alias("after")
+    text = F.when(~F.coalesce(F.pmod("conv_id", F.lit(7)) == 3, F.lit(False)), F.col("text")).alias("text")
+    arguments = lambda turn: F.to_json(F.struct(turn.alias("turn"), text, F.length("text").alias("chars"), after))
+    spelled = F.when(F.pmod("conv_id", F.lit(11)) == 5, arguments(t.cast("string"))).otherwise(arguments(t))
+    call = F.array(F.struct(id_of(t).alias("id"), F.lit("reply").alias("name"), spelled.alias("arguments")))
     return conversations.select("conv_id", "turn", "role", "text", F.when(F.col("role") == "user", call).alias("calls"), F.when(F.col("role") == "assistant", id_of(t - 1)).alias("answers"))
 
 
@@ -185,17 +188,22 @@ SQL = {
         u AS (SELECT *, 'c' || conv_id || '-' || turn AS id FROM m WHERE role = 'user'),
         a AS (SELECT *, 'c' || conv_id || '-' || (turn - 1) AS id FROM m WHERE role = 'assistant'),
         fc AS (SELECT conv_id, id, min(turn) AS turn, min(text) AS text FROM u GROUP BY ALL),
-        fr AS (SELECT conv_id, id, min(turn) AS turn, min(text) AS text FROM a GROUP BY ALL)
-        SELECT u.conv_id, u.turn, u.role, 'call' AS kind, u.id AS call_id, fr.id IS NOT NULL AS linked, fr.turn AS peer_turn,
-               CAST(0 AS BIGINT) AS level, u.turn AS ready, '' AS problems,
-               '{"content":' || q || ',"role":"user","tool_call":{"arguments":{"chars":' || length(u.text) || ',"text":' || q || ',"turn":' || u.turn
+        fr AS (SELECT conv_id, id, min(turn) AS turn, min(text) AS text FROM a GROUP BY ALL),
+        known AS (SELECT fc.conv_id, fc.id, fc.turn, fr.turn AS result_turn, fr.text AS result_text, fc.turn % 4 >= 2 AS needs, 'c' || fc.conv_id || '-' || (fc.turn - 2) AS need FROM fc LEFT JOIN fr ON fc.conv_id = fr.conv_id AND fc.id = fr.id),
+        placed AS (SELECT k.*, CASE WHEN NOT k.needs THEN 0 WHEN n.result_turn IS NOT NULL AND NOT n.needs THEN 2 END AS level,
+            CASE WHEN NOT k.needs THEN k.turn WHEN n.result_turn IS NOT NULL AND NOT n.needs THEN greatest(k.turn, n.turn, n.result_turn) END AS ready
+          FROM known k LEFT JOIN known n ON k.needs AND n.conv_id = k.conv_id AND n.id = k.need)
+        SELECT u.conv_id, u.turn, u.role, 'call' AS kind, u.id AS call_id, p.result_turn IS NOT NULL AS linked, p.result_turn AS peer_turn,
+               CAST(p.level AS BIGINT) AS level, p.ready, concat_ws(';', CASE WHEN u.conv_id % 7 = 3 THEN 'missing text' END, CASE WHEN u.conv_id % 11 = 5 THEN 'turn is no integer' END) AS problems,
+               '{"content":' || q || ',"role":"user","tool_call":{"arguments":{' || CASE WHEN u.turn % 4 >= 2 THEN '"after":"$ref:c' || u.conv_id || '-' || (u.turn - 2) || '",' ELSE '' END
+                 || '"chars":' || length(u.text) || CASE WHEN u.conv_id % 7 = 3 THEN '' ELSE ',"text":' || q END || ',"turn":' || CASE WHEN u.conv_id % 11 = 5 THEN '"' || u.turn || '"' ELSE CAST(u.turn AS VARCHAR) END
                  || '},"id":"' || u.id || '","name":"reply"}}' AS line
-        FROM u LEFT JOIN fr ON u.conv_id = fr.conv_id AND u.id = fr.id
+        FROM u JOIN placed p ON u.conv_id = p.conv_id AND u.id = p.id
         UNION ALL
-        SELECT a.conv_id, a.turn, a.role, 'result', a.id, fc.id IS NOT NULL AND a.text = fr.text, CASE WHEN a.text = fr.text THEN fc.turn END,
-               CASE WHEN fc.id IS NOT NULL AND a.text = fr.text THEN 1 END, CASE WHEN fc.id IS NOT NULL AND a.text = fr.text THEN greatest(fc.turn, a.turn) END, '',
+        SELECT a.conv_id, a.turn, a.role, 'result', a.id, p.id IS NOT NULL AND a.text = fr.text, CASE WHEN a.text = fr.text THEN p.turn END,
+               CASE WHEN p.id IS NOT NULL AND a.text = fr.text THEN p.level + 1 END, CASE WHEN p.id IS NOT NULL AND a.text = fr.text THEN greatest(p.ready, a.turn) END, '',
                '{"content":' || q || ',"role":"assistant","tool_call_id":"' || a.id || '"}'
-        FROM a JOIN fr ON a.conv_id = fr.conv_id AND a.id = fr.id LEFT JOIN fc ON a.conv_id = fc.conv_id AND a.id = fc.id
+        FROM a JOIN fr ON a.conv_id = fr.conv_id AND a.id = fr.id LEFT JOIN placed p ON a.conv_id = p.conv_id AND a.id = p.id
         UNION ALL
         SELECT conv_id, turn, role, 'plain', NULL, FALSE, NULL, 0, turn, '', '{"content":' || q || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}'
         FROM m WHERE role NOT IN ('user', 'assistant')

@@ -43,23 +43,35 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     both doc_id and text one is kept. Empty table: empty result. Other columns are not read. Groups are counted by partial
     aggregation, and the join back is a plain sort-merge join, which adaptive execution splits where a group is hot.
     """
+    rows, groups = _groups(docs)
+    each = rows.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_sha256, recipe, copies) of the distinct rows, and (recipe, keep_id, group_size) of the groups."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     salt = verified_salt(docs)
     recipes = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text")), lambda c: named(c, salt)).alias("recipe"))
     rows = stored(recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")), "recipes")
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    groups = stored(groups, "groups")  # else the join keeps the aggregate's partitions, which can't be split
-    each = rows.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return rows, stored(groups, "groups")  # stored, else a join keeps the aggregate's partitions, which can't be split
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_groups() keeps, with all their columns."""
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    found = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]) & (sha == keep["_sha"]), "left_semi")
-    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return found.groupBy(F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text")).agg(F.first(every).alias("_row")).select("_row.*")
+    """The rows of docs that exact_groups() keeps, with all their columns, whatever their names. Of rows that repeat doc_id
+    and text one stays, whichever its other columns are."""
+    rows, groups = _groups(docs)
+    keep = rows.join(groups, "recipe").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keep = stored(keep.select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s"), "copies"), "keep")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(every, F.col("doc_id").alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
+    found = own.join(keep, F.col("i").eqNullSafe(F.col("k")) & (F.col("t") == F.col("s")))
+    if keep.filter("copies > 1").isEmpty():
+        return found.select("row.*")
+    # whole rows are dealt again only where they repeat
+    once, many = found.filter("copies = 1").select("row"), found.filter("copies > 1")
+    return once.unionByName(many.groupBy("i", "t").agg(F.first("row").alias("row")).select("row")).select("row.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

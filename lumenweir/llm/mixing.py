@@ -38,8 +38,10 @@ def shares(docs: DataFrame, targets: dict[str, float] | None = None, period: int
     else:
         of = F.create_map(*(x for k, w in targets.items() for x in (F.lit("=" + k), F.lit(float(w))))) if targets else F.create_map()
         sizes = sizes.withColumn("w", F.coalesce(F.try_element_at(of, F.col("key")), F.lit(0.0)))
+    # counted before they are gathered: one more than the limit is enough to know
+    if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     one = sizes.agg(F.array_sort(F.collect_list(F.struct("key", "n", "w"))).alias("s"))
-    one = one.withColumn("s", F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
     one = one.withColumn("total", F.greatest(total, F.lit(1e-300))).withColumn("free", F.lit(period) - F.size("s"))
     exact = lambda x: x["w"] / F.col("total") * F.col("free")
@@ -95,8 +97,12 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, block_rows:
     no block left: up to there every source is less than one block from its weight; later rows are still given a slot, so
     no row is lost. Rows of a source follow the MD5 of their doc_id, then doc_id. Null sources form a source; null doc_ids
     sort together; repeated rows take places of their own; an empty table gives an empty result; other columns pass
-    through. The schedule has `period` rows and is broadcast; a source with a third of all rows is ranked in many parts.
+    through, but for one named mix, which is replaced. The schedule has `period` rows and is broadcast; a source with a third
+    of all rows is ranked in many parts.
     """
+    columns = [c for c in docs.columns if c.lower() != "mix"]
+    # the columns ride in one struct, so that none of them can clash with those of the ranks and the schedule
+    docs = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
     plan = schedule(shares(docs, targets, period, power), period, block_rows)
     bits = parts_for(docs.count()).bit_length() + 3
     rows = docs.withColumn("_key", source_key(F.col("source"))).withColumn("_order", spread(F.col("doc_id")))
@@ -117,7 +123,7 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, block_rows:
         F.pmod(F.col("_at"), b).alias("place"),
         (slot < F.col("_end")).alias("on_target"),
     )
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("mix"))
+    return rows.select("_row", mix.alias("mix")).select("_row.*", "mix")
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:

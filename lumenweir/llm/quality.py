@@ -166,7 +166,7 @@ def with_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Column:
-    """A column for the rows of docs: struct of the base counts, base_failed, score and kept.
+    """A column for the rows of docs: struct of the base counts, base_failed, kept and score.
 
     Fitting reads every document once, against a broadcast of the ids of all trusted documents (a join beyond MOST_SHIPPED
     of them, which alone moves texts); the column then needs one more pass. The model is BUCKETS numbers whatever the corpus. Null text: no words, so
@@ -190,9 +190,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             score[at:end] = mean_of(shipped.value, buf, offs)
         failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
         kept = ~failed & (score >= threshold)
-        return pa.StructArray.from_arrays([*(pa.array(out[k]) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)], [*COUNTS, "base_failed", "score", "kept"])
+        return pa.StructArray.from_arrays([*(pa.array(out[k]) for k in COUNTS), pa.array(failed), pa.array(kept), pa.array(score)], [*COUNTS, "base_failed", "kept", "score"])
 
-    kind = "struct<" + ", ".join(f"{k}: bigint" for k in COUNTS) + ", base_failed: boolean, score: double, kept: boolean>"
+    kind = "struct<" + ", ".join(f"{k}: bigint" for k in COUNTS) + ", base_failed: boolean, kept: boolean, score: double>"
     return F.arrow_udf(verdict, kind).asNondeterministic()(F.col("text"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,20 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _TERM = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 2))]
 
 
-def random_windows(text: str, bits: float) -> Iterator[tuple[int, int]]:
-    """Merged spans of the windows of WINDOW characters whose Shannon entropy reaches `bits`; counts slide by one character."""
+def explained(text: str, allowed: tuple[str, ...]) -> list[int]:
+    """For each place of text, how many characters before it lie in an allow-listed string; a text inside such a string is all explained."""
+    inside = [any(text in a for a in allowed)] * len(text)
+    for a in allowed:
+        at = text.find(a)
+        while at >= 0:
+            inside[at : at + len(a)] = [True] * len(a)
+            at = text.find(a, at + 1)
+    return [0, *accumulate(inside)]
+
+
+def random_windows(text: str, bits: float, known: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Merged spans of the windows of WINDOW characters whose Shannon entropy reaches `bits`, but for those that allow-listed
+    strings make up by half or more (known: see explained()); counts slide by one character."""
     counts: dict[str, int] = {}
     total, begin, end = 0.0, -1, -1
     for i, c in enumerate(text):
@@ -57,7 +70,7 @@ def random_windows(text: str, bits: float) -> Iterator[tuple[int, int]]:
             n = counts[old]
             total -= _TERM[n] - _TERM[n - 1]
             counts[old] = n - 1
-        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= bits - 1e-9:
+        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= bits - 1e-9 and not (known and 2 * (known[i + 1] - known[i - WINDOW + 1]) >= WINDOW):
             at = i - WINDOW + 1
             if at > end:
                 if begin >= 0:
@@ -69,14 +82,14 @@ def random_windows(text: str, bits: float) -> Iterator[tuple[int, int]]:
 
 
 def entropy_spans(text: str, allowed: tuple[str, ...] = ALLOWED) -> list[tuple[int, int]]:
-    """Spans of high-entropy windows in candidates that mix letters and digits, unless the allow-list explains them."""
+    """Spans of high-entropy windows in candidates that mix letters and digits, but for windows that the allow-list explains."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(a in s or s in a for a in allowed):
+        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
         bits = next(limit for _, kind, limit in CLASSES if kind.fullmatch(s))
-        out += [(m.start() + a, m.start() + b) for a, b in random_windows(s, bits)]
+        out += [(m.start() + a, m.start() + b) for a, b in random_windows(s, bits, explained(s, allowed) if any(a in s or s in a for a in allowed) else None)]
     return out
 
 

@@ -25,6 +25,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens whose result a worker remembers. Beyond that many it forgets them all and starts anew; counts don't change.
 REMEMBERED = 250_000
+#: Longer strings are made anew each time, so that a memo's size has a bound.
+LONGEST = 64
 
 
 @functools.cache
@@ -59,7 +61,8 @@ def read_vocabulary(path: str) -> str:
 
 
 class Memo(dict):
-    """Results by string, made on first sight. At REMEMBERED strings it forgets all but its seed; results don't change."""
+    """Results by string, made on first sight, of strings up to LONGEST characters. At REMEMBERED of them it forgets all but
+    its seed; results don't change."""
 
     def __init__(self, make, seed: dict | None = None) -> None:
         super().__init__(seed or {})
@@ -69,7 +72,9 @@ class Memo(dict):
         if len(self) > REMEMBERED:
             self.clear()
             self.update(self.seed)
-        got = self[key] = self.make(key)
+        got = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = got
         return got
 
 
