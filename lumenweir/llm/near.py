@@ -377,13 +377,13 @@ def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stays only for want of one with a doc_id of its own. Equal rows share their fate. Rows without words stay. An empty
     table gives an empty result; all columns pass through, whatever their names.
     """
-    unique = lambda names: "_near" + "_" * max(map(len, names))
-    key = unique(docs.columns)
-    shared = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key + "i"), F.lit(True).alias(key + "s"))
-    of = docs.join(shared, F.col("doc_id").eqNullSafe(F.col(key + "i")), "left")
-    # above all doc_ids: 62 bits of a hash
-    other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
-    own = of.withColumn(key, F.when(F.col(key + "s"), other).otherwise(F.col("doc_id").cast("bigint")))
+    key = "_near" + "_" * max(map(len, docs.columns))
+    own = docs.withColumn(key, F.col("doc_id").cast("bigint"))
+    shared = stored(docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key + "i")), "shared")
+    if not shared.isEmpty():  # else texts need not move to their names
+        other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)  # above all doc_ids: 62 bits of a hash
+        of = own.join(shared.withColumn(key + "s", F.lit(True)), F.col("doc_id").eqNullSafe(F.col(key + "i")), "left")
+        own = stored(of.withColumn(key, F.when(F.col(key + "s"), other).otherwise(F.col(key))).drop(key + "i", key + "s"), "named")
     gone = near_groups(own.select(F.col(key).alias("doc_id"), "text"), percent).filter("NOT kept").select(F.col("doc_id").alias(key + "g")).distinct()
     return own.join(stored(gone, "gone"), F.col(key) == F.col(key + "g"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
