@@ -70,3 +70,23 @@ def usage_sums(events: DataFrame, raw: str, keys: list[str], *by: str) -> DataFr
 def run_summary(log: DataFrame) -> DataFrame:
     """invocations, retries, keys: of an attempt log with its attempt numbers."""
     return log.agg(F.count("*").alias("invocations"), F.count_if(F.col("attempt") > 1).alias("retries"), F.countDistinct("query_id").alias("keys"))
+
+
+def capped(pending_keys: DataFrame, most: int, key: str) -> DataFrame:
+    """The keys that one session may call: at most `most`, by key."""
+    return pending_keys.orderBy(key).limit(most)
+
+
+def invocation_statuses(log: DataFrame) -> DataFrame:
+    """status, invocations, first_attempts: how the calls of a log ended; log has the attempt number."""
+    return log.groupBy("status").agg(F.count("*").alias("invocations"), F.count_if(F.col("attempt") == 1).alias("first_attempts"))
+
+
+def ceiling(gold: DataFrame, log: DataFrame, key: str, order: str) -> DataFrame:
+    """gold with predicted: the verdict of the last answer if that was accepted or disagreed, else INVALID.
+
+    log: key, order, status, verdict. A row without any answer is INVALID too.
+    """
+    last = latest(log.select(key, order, "status", "verdict"), key, order)
+    said = last.select(key, F.when(F.col("status").isin("accepted", "disagreed"), F.col("verdict")).alias("predicted"))
+    return gold.join(said, key, "left").withColumn("predicted", F.coalesce("predicted", F.lit("INVALID")))

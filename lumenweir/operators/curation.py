@@ -114,8 +114,8 @@ def gates(rows: DataFrame, least: dict[str, int], collections: int) -> DataFrame
     return cells.join(groups, "partition").select("partition", ((F.col("c") == collections) & (F.col("n") > 0) & (F.col("k") == len(LABELS)) & (F.col("g") >= gate)).alias("passed"))
 
 
-def stratified_group_split(rows: DataFrame, folds: int, seeds: range, least: dict[str, int], test: tuple[int, ...] = (0, 1), validation: tuple[int, ...] = (2,)) -> tuple[DataFrame, int]:
-    """rows with partition, and the first seed that passes the gates: groups are dealt to folds so that strata stay even.
+def stratified_group_split(rows: DataFrame, folds: int, seeds: range, least: dict[str, int], test: tuple[int, ...] = (0, 1), validation: tuple[int, ...] = (2,), attempts: list | None = None) -> tuple[DataFrame, int]:
+    """rows with partition, and the first seed that passes the gates (attempts gets what each seed tried passed): groups are dealt to folds so that strata stay even.
 
     One row a group and stratum is all that the greedy rule sees; it runs in one task for each seed. Groups with the widest
     spread over strata go first, ties by a seeded hash; a group goes to the fold where the strata's shares then differ least.
@@ -149,6 +149,8 @@ def stratified_group_split(rows: DataFrame, folds: int, seeds: range, least: dic
         name = F.when(F.col("fold").isin(*test), "test").when(F.col("fold").isin(*validation), "validation").otherwise("train")
         out = stored(rows.join(of.select("group_id", name.alias("partition")), "group_id"), "split")
         got = {r.partition: r.passed for r in gates(out, least, collections).collect()}
+        if attempts is not None:
+            attempts.append({"seed": seed, "passed": {p: bool(got.get(p)) for p in least}})
         if all(got.get(p) for p in least):
             return out, seed
     raise ValueError(f"no seed of {seeds} passes the gates on {spark.sparkContext.appName}")
@@ -279,3 +281,16 @@ def pilot_sample(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
 
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "label", "collection", "group_id"))
     return few.coalesce(1).mapInPandas(pick, kind)
+
+
+def cohort_gate(rows: DataFrame, least: int) -> DataFrame:
+    """label, groups, passed for both labels: distinct groups that are left, against the gate; a label without rows fails."""
+    groups = rows.groupBy("label").agg(F.countDistinct("group_id").alias("groups"))
+    every = rows.sparkSession.createDataFrame([(v,) for v in LABELS], "label string")
+    out = F.broadcast(every).join(groups, "label", "left").select("label", F.coalesce("groups", F.lit(0)).alias("groups"))
+    return out.withColumn("passed", F.col("groups") >= least)
+
+
+def first_occurrences(rows: DataFrame, value: str, position: str) -> DataFrame:
+    """value, position of its first occurrence; sorted by position these are the distinct values in order of appearance."""
+    return rows.groupBy(value).agg(F.min(position).alias(position))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweir.functions.identity import seeded
+from lumenweir.functions.identity import rounded, seeded
+from lumenweir.operators.ranks import ranked
 
 
 def messages(system: Column, user: Column, assistant: Column | None = None) -> Column:
@@ -40,14 +41,30 @@ def interleaved(records: DataFrame, tasks: tuple[str, ...], seed: int, key: str
 
 
 def cohort(rows: DataFrame, seed: int) -> DataFrame:
-    """partition, rank, id: the shared order of each partition's ids, for a cohort file."""
-    return rows.select("partition", seeded(seed, F.col("id")).alias("order"), "id")
+    """partition, order, rank, id: the shared order of each partition's ids, for a cohort file; rank counts from 0."""
+    own = rows.select("partition", seeded(seed, F.col("id")).alias("order"), "id")
+    return ranked(own, "partition", F.substring("order", 1, 2), ["order", "id"], "rank")
+
+
+def cohort_file(rows: DataFrame, exclusions: DataFrame, seed: int) -> DataFrame:
+    """partition, rank, id, reason: the cohort's ids in order, then the excluded ones (rank null) with their reasons.
+
+    exclusions: partition, id, reason."""
+    kept = cohort(rows, seed).select("partition", "rank", "id", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(exclusions.select("partition", F.lit(None).cast("bigint").alias("rank"), "id", "reason"))
+
+
+def evaluation_inputs(records: DataFrame, budget: int) -> DataFrame:
+    """records, all of them: a prompt over the budget of tokens is an error that names it, never a row left out."""
+    over = F.raise_error(F.concat(F.lit("prompt of "), F.col("id").cast("string"), F.lit(f" is over {budget} tokens")))
+    return records.withColumn("prompt_tokens", F.when(F.col("prompt_tokens") > budget, over.cast("bigint")).otherwise(F.col("prompt_tokens")))
 
 
 def exposure(records: DataFrame, *by: str) -> DataFrame:
-    """Totals, median and longest of token counts by condition."""
+    """Totals, means to one digit, medians and longest of token counts by condition."""
     return records.groupBy(*by).agg(
         F.sum("completion_tokens").alias("completion_total"),
+        rounded(F.avg("completion_tokens"), 1).alias("completion_mean"),
         F.percentile("completion_tokens", F.lit(0.5)).alias("completion_median"),
         F.max("sequence_tokens").alias("sequence_max"),
     )

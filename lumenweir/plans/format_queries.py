@@ -55,6 +55,11 @@ def manifest(spark, d, parts: str = "partition") -> DataFrame:
     return N.content_manifest(r, F.concat(F.col(parts), F.lit(".parquet")), F.concat_ws("|", F.col("query_id").cast("string"), "label", "group_id"))
 
 
+def evaluation_inputs(spark, d) -> DataFrame:
+    """Prompts of all rows and conditions, none left out."""
+    return M.evaluation_inputs(records(spark, d), 1_000_000).groupBy("condition").agg(F.count("*").alias("n"), F.max("prompt_tokens").alias("most"), F.sum("prompt_tokens").alias("total"))
+
+
 def manifest_digest(spark, d) -> DataFrame:
     return N.manifest_digest(manifest(spark, d), ("validation.parquet",))
 
@@ -70,7 +75,7 @@ def stale_rows(spark, d) -> DataFrame:
     return N.stale_rows(docs, F.col("text"), F.col("stored")).select("doc_id")
 
 
-_F = (chat_render, multitask_interleave, token_exposure, dry_run_estimate, acceptance_bias, cohort_order, manifest_digest, manifest_verify, stale_rows)
+_F = (chat_render, multitask_interleave, token_exposure, dry_run_estimate, acceptance_bias, cohort_order, evaluation_inputs, manifest_digest, manifest_verify, stale_rows)
 QUERIES = {f.__name__: f for f in _F}
 
 PARTS = """d AS (SELECT partition || '.parquet' AS name, sha256(query_id || '|' || label || '|' || group_id) AS d, query_id FROM r),
@@ -82,10 +87,11 @@ SQL = {
     "multitask_interleave": RECORDS
     + f""" SELECT id, condition, sha256('[42,"' || id || '"]') AS "order", CAST(CASE condition WHEN 'label' THEN 1 ELSE 2 END AS BIGINT) AS task_rank, prompt_tokens + completion_tokens AS sequence_tokens FROM rec
         WHERE id NOT IN (SELECT id FROM rec WHERE prompt_tokens + completion_tokens > {LIMIT})""",
-    "token_exposure": RECORDS + " SELECT condition, CAST(sum(completion_tokens) AS BIGINT) AS completion_total, quantile_cont(completion_tokens, 0.5) AS completion_median, max(prompt_tokens + completion_tokens) AS sequence_max FROM rec GROUP BY 1",
+    "token_exposure": RECORDS + " SELECT condition, CAST(sum(completion_tokens) AS BIGINT) AS completion_total, round(avg(completion_tokens), 1) AS completion_mean, quantile_cont(completion_tokens, 0.5) AS completion_median, max(prompt_tokens + completion_tokens) AS sequence_max FROM rec GROUP BY 1",
     "dry_run_estimate": RECORDS + " SELECT condition, CAST(sum(prompt_tokens) AS BIGINT) AS total, max(prompt_tokens) AS most, CAST(round(avg(prompt_tokens) * 1000) AS BIGINT) AS for_1000 FROM rec GROUP BY 1",
+    "evaluation_inputs": RECORDS + " SELECT condition, count(*) AS n, max(prompt_tokens) AS most, CAST(sum(prompt_tokens) AS BIGINT) AS total FROM rec GROUP BY 1",
     "acceptance_bias": f"WITH {ROWS} SELECT collection, label, count(*) AS all_rows, CAST(count_if(source_tokens <= 500) AS BIGINT) AS kept_rows, avg(source_tokens) AS all_tokens, avg(source_tokens) FILTER (source_tokens <= 500) AS kept_tokens FROM r GROUP BY ALL",
-    "cohort_order": f"""WITH {ROWS} SELECT partition, sha256('[42,"' || query_id || '"]') AS "order", query_id AS id FROM r""",
+    "cohort_order": f"""WITH {ROWS} SELECT partition, sha256('[42,"' || query_id || '"]') AS "order", row_number() OVER (PARTITION BY partition ORDER BY sha256('[42,"' || query_id || '"]')) - 1 AS rank, query_id AS id FROM r""",
     "manifest_digest": f"""WITH {ROWS}, {PARTS} SELECT sha256('{{' || string_agg('"' || name || '":"' || sha256 || '"', ',' ORDER BY name) || '}}') AS digest FROM m WHERE name <> 'validation.parquet'""",
     "manifest_verify": "SELECT * FROM (VALUES ('train.parquet', 'ok'), ('test.parquet', 'changed'), ('validation.parquet', 'missing'), ('extra.parquet', 'unexpected')) v(name, state)",
     "stale_rows": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND text IS NOT NULL",

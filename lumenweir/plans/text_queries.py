@@ -118,7 +118,9 @@ def benchmark_contamination(spark, d) -> DataFrame:
 
 
 def readable_sources(spark, d) -> DataFrame:
-    raw = table(spark, d, "documents").select("source", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    # every fifth document with a byte that no UTF-8 text has
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    raw = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 5 == 0, F.concat(raw, F.lit(b"\xff"))).otherwise(raw).alias("raw"))
     return raw.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.try_validate_utf8(F.col("raw").cast("string")).isNotNull()).alias("readable"), F.sum(F.octet_length("raw")).cast("bigint").alias("n_bytes"))
 
 
@@ -160,7 +162,7 @@ SQL = {
         s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS shingle FROM w WHERE len(w) >= 5)
         SELECT shingle, count(*) AS df FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
     "benchmark_contamination": "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "readable_sources": "SELECT source, count(*) AS n, count(*) AS readable, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1",
+    "readable_sources": "SELECT source, count(*) AS n, CAST(count_if(doc_id % 5 <> 0) AS BIGINT) AS readable, CAST(sum(octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_bytes FROM documents GROUP BY 1",
     "query_render": """SELECT item_id, 'Read this.' || chr(10) || 'check_id: check-1' || chr(10) || 'definition: repeats' || chr(10) || 'scope: '
           || CASE WHEN item_id % 2 = 0 THEN 'FILE the whole file' ELSE 'FUNCTION f' || item_id END || chr(10) || 'assumptions:' || chr(10) || '- first' || chr(10) || '- second' || chr(10)
           || 'source:' || chr(10) || text || chr(10) || 'Answer.' AS prompt,

@@ -84,3 +84,42 @@ def test_schemas_and_keys(spark):
 def test_command(capsys):
     assert cli.main(["--list"]) == 0 and "macro_f1" in capsys.readouterr().out
     assert cli.main(["nothing"]) == 1
+
+
+def test_commands_on_files(spark, corpus, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    corpus.write.parquet(at("corpus"))
+    (tmp_path / "config.json").write_text(json.dumps({"min_tokens": 20, "most_tokens": 400}))
+    assert cli.main(["build_release", "--data", at("corpus"), "--out", at("release"), "--config", at("config.json")]) == 0
+    rows = spark.read.parquet(at("release") + "/rows")
+    assert rows.count() and spark.read.parquet(at("release") + "/exclusions").count()
+    assert cli.main(["prompts", "--data", at("release") + "/rows", "--split", "train", "--pilot", "2", "--max-invocations", "3", "--out", at("pilot")]) == 0
+    assert spark.read.parquet(at("pilot")).count() <= 3
+    for wrong in (["--split", "test"], ["--split", "train", "--ceiling"], ["--split", "validation", "--pilot", "2"]):
+        with pytest.raises(ValueError):
+            cli.main(["prompts", "--data", at("release") + "/rows", "--out", at("none"), *wrong])
+    assert cli.main(["evaluate", "--data", at("gold")]) == 1 and "needs --out --predictions" in capsys.readouterr().err
+
+
+def test_sessions_gates_and_inputs(spark):
+    from lumenweir.functions import text as T
+    from lumenweir.operators import attempts as A
+    from lumenweir.operators import curation as C
+    from lumenweir.operators import formatting as Fm
+
+    gold = spark.createDataFrame([(1, "PRESENT"), (2, "ABSENT"), (3, "ABSENT"), (4, "PRESENT")], "q bigint, gold string")
+    log = spark.createDataFrame([(1, 1, "invalid", None), (1, 2, "accepted", "PRESENT"), (2, 1, "disagreed", "PRESENT"), (3, 1, "unsupported", None)], "q bigint, seq bigint, status string, verdict string")
+    assert {r.q: r.predicted for r in A.ceiling(gold, log, "q", "seq").collect()} == {1: "PRESENT", 2: "PRESENT", 3: "INVALID", 4: "INVALID"}
+    gate = C.cohort_gate(spark.createDataFrame([("PRESENT", "a"), ("PRESENT", "b"), ("PRESENT", "b")], "label string, group_id string"), 2)
+    assert {r.label: (r.groups, r.passed) for r in gate.collect()} == {"PRESENT": (2, True), "ABSENT": (0, False)}
+    names = spark.createDataFrame([("checkpoint-12",), ("checkpoint-9",), ("last",)], "n string")
+    assert [r.k for r in names.select(T.name_number(F.col("n")).alias("k")).collect()] == [12, 9, None]
+    records = spark.createDataFrame([(1, 10), (2, 20)], "id bigint, prompt_tokens bigint")
+    assert Fm.evaluation_inputs(records, 20).count() == 2
+    with pytest.raises(Exception, match="prompt of 2 is over 19"):
+        Fm.evaluation_inputs(records, 19).collect()
+    tried: list = []
+    rows = spark.createDataFrame([(i, "ab"[i % 2], ("PRESENT", "ABSENT")[i // 2 % 2], f"g{i}") for i in range(160)], "query_id bigint, collection string, label string, group_id string")
+    _, seed = C.stratified_group_split(rows.withColumn("stratum", F.concat_ws("|", "collection", "label")), 8, range(42, 45), {"train": 3, "validation": 1, "test": 2}, attempts=tried)
+    assert tried[-1] == {"seed": seed, "passed": {"train": True, "validation": True, "test": True}}
+    assert {r.reason for r in Fm.cohort_file(spark.createDataFrame([("t", 1), ("t", 2)], "partition string, id bigint"), spark.createDataFrame([("t", 3, "overlength_sequence")], "partition string, id bigint, reason string"), 42).collect()} == {None, "overlength_sequence"}
