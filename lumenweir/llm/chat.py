@@ -6,11 +6,13 @@ against the tools' schemas, and written as canonical JSON: keys sorted, no white
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.functions.strict_json import parsed
-from lumenweir.llm.common import dropped, stored
+from lumenweir.llm.common import stored
 
 #: A string argument "$ref:ID" stands for the result of call ID.
 REF = r'"\$ref:([^"\\]+)"'
@@ -63,27 +65,36 @@ def levels(calls: DataFrame) -> DataFrame:
     unknown, unanswered or part of a cycle is never met: level and ready are null. One round for each link of the longest
     chain in the table; without needs there is none.
     """
-    pending = calls.filter(F.size("needs") > 0)
-    done = calls.filter(F.size("needs") == 0).withColumn("level", F.lit(0).cast("bigint")).withColumn("ready", F.col("turn"))
-    if pending.isEmpty():
-        return done
-    pending, done = stored(pending, "pending"), stored(done, "ordered")
+    plain = calls.filter(F.size("needs") == 0).withColumn("level", F.lit(0).cast("bigint")).withColumn("ready", F.col("turn"))
+    waiting = calls.filter(F.size("needs") > 0)
+    if waiting.isEmpty():
+        return plain
+    # the rounds carry keys and turns alone; the other columns join the levels once at the end
+    narrow = ["conv_id", "id", "turn", "result_turn"]
+    pending = stored(waiting.select(*narrow, F.array_distinct("needs").alias("needs")), "pending")
+    fresh = plain.filter("result_turn IS NOT NULL").select(*narrow, "level", "ready")
+    met, placed = None, []
     while True:  # each round places a call at least
-        need = pending.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
-        met = done.filter("result_turn IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("id").alias("need"), F.col("level").alias("l"), F.greatest("ready", "result_turn").alias("r"))
-        have = need.join(met, need["conv_id"].eqNullSafe(met["c"]) & (need["need"] == met["need"])).groupBy("conv_id", "id").agg(F.count("*").alias("have"), F.max("l").alias("l"), F.max("r").alias("r"))
-        both = pending.alias("p").join(have.alias("h"), F.col("p.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("p.id") == F.col("h.id")), "left").select("p.*", "have", "l", "r")
-        both = stored(both.withColumn("now", F.coalesce(F.col("have") == F.size(F.array_distinct("needs")), F.lit(False))), "round")
-        new = both.filter("now")
-        if new.isEmpty():
+        found = fresh.select(F.col("conv_id").alias("c"), F.col("id").alias("need"), F.col("level").alias("l"), F.greatest("ready", "result_turn").alias("r"))
+        need = pending.select("conv_id", "id", F.explode("needs").alias("need"))
+        hits = need.join(found, need["conv_id"].eqNullSafe(found["c"]) & (need["need"] == found["need"])).groupBy("conv_id", "id").agg(F.count("*").alias("have"), F.max("l").alias("l"), F.max("r").alias("r"))
+        # what earlier rounds met of a call's needs counts on
+        hits = hits if met is None else met.unionByName(hits).groupBy("conv_id", "id").agg(F.sum("have").alias("have"), F.max("l").alias("l"), F.max("r").alias("r"))
+        hits = hits.select(F.col("conv_id").alias("hc"), F.col("id").alias("hid"), "have", "l", "r")
+        both = stored(pending.join(hits, pending["conv_id"].eqNullSafe(F.col("hc")) & (pending["id"] == F.col("hid")), "left").withColumn("now", F.coalesce(F.col("have") == F.size("needs"), F.lit(False))), "round")
+        fresh = both.filter("now").select(*narrow, (F.col("l") + 2).alias("level"), F.greatest("turn", "r").alias("ready"))
+        if fresh.isEmpty():
+            break
+        placed.append(fresh)
+        pending = both.filter("NOT now").select(*narrow, "needs")
+        met = both.filter("NOT now AND have IS NOT NULL").select("conv_id", "id", "have", "l", "r")
+        if pending.isEmpty():
             break
-        new = new.withColumn("level", F.col("l") + 2).withColumn("ready", F.greatest("turn", "r")).select(done.columns)
-        more, less = stored(done.unionByName(new), "ordered"), stored(both.filter("NOT now").select(pending.columns), "pending")
-        for t in (done, pending, both):
-            dropped(t)
-        done, pending = more, less
-    none = pending.withColumn("level", F.lit(None).cast("bigint")).withColumn("ready", F.lit(None).cast("bigint"))
-    return done.unionByName(none)
+        fresh = fresh.filter("result_turn IS NOT NULL")
+    if not placed:
+        return plain.unionByName(waiting.withColumn("level", F.lit(None).cast("bigint")).withColumn("ready", F.lit(None).cast("bigint")))
+    of = reduce(DataFrame.unionByName, placed).select(F.col("conv_id").alias("pc"), F.col("id").alias("pid"), "level", "ready")
+    return plain.unionByName(waiting.join(of, waiting["conv_id"].eqNullSafe(F.col("pc")) & (waiting["id"] == F.col("pid")), "left").drop("pc", "pid"))
 
 
 def linked(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
