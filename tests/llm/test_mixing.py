@@ -61,6 +61,37 @@ def test_mix_is_whole_and_on_target(spark, make_docs):
     assert {r.doc_id for r in rows if r.mix.on_target} == {r.doc_id for r in rows if r.mix.slot < min(ends.values())}
 
 
+def test_more_sources_than_a_schedule_takes_share_lanes(spark, make_docs, monkeypatch):
+    for name, value in {"MOST_SOURCES": 12, "LANE_SOURCES": 4}.items():
+        monkeypatch.setattr(M, name, value)
+    sizes = {f"s{i}": 12 + i % 7 for i in range(60)} | {"large": 900, None: 30, "": 5}
+    docs = some_docs(make_docs, sizes)
+    rows = M.mixed(docs, block_rows=2).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(docs.count()))
+    places = defaultdict(set)
+    for r in rows:
+        assert r.mix.release <= r.mix.slot < r.mix.deadline
+        places[r.mix.slot].add(r.source)
+    assert all(len(v) == 1 for v in places.values())
+    assert len({(r.mix.slot, r.mix.place) for r in rows}) == len(rows)
+    weight = {s: n**M.POWER for s, n in sizes.items()}
+    total = sum(weight.values())
+    end = min(r.mix.slot for r in rows if not r.mix.on_target)
+    assert end > 100 and set(range(end)) <= set(places)
+    run = Counter()
+    for slot in range(end):
+        (source,) = places[slot]
+        run[source] += 1
+        # two blocks by the schedules, and what whole slots of the two periods differ from the weights
+        assert all(abs(run[s] - (slot + 1) * w / total) < 2 + 0.06 * (slot + 1) * w / total for s, w in weight.items())
+
+
+def test_period_grows_with_the_sources(spark, make_docs):
+    sizes = {f"s{i}": 1 for i in range(99)} | {"large": 300}
+    share = {r.source: r.mix.share for r in M.mixed(some_docs(make_docs, sizes), {"large": 1.0}).collect()}
+    assert share["large"] == 40 * 100 - 99 and set(share.values()) == {1, 3901}
+
+
 def test_edges(spark, make_docs):
     docs = make_docs([(None, None, None), (None, None, None), (1, "", "a"), (1, "", "a")])
     assert M.mixed(docs).count() == 4
