@@ -85,11 +85,16 @@ def schedule(one: DataFrame, period: int | Column = PERIOD, block_rows: int = BL
             state["k"],
             lambda x, k: F.when(F.expr("true") & (k < x["p"]) & (F.floor(k * q / x["p"]) <= t), F.ceil((k + 1) * q / x["p"])).otherwise(never),
         )
-        first = F.array_position(window, F.array_min(window)).cast("int")
-        return F.struct(
-            F.transform(state["k"], lambda k, i: F.when(i == first - 1, k + 1).otherwise(k)).alias("k"),
-            F.concat(state["run"], F.array(first)).alias("run"),
+        # window and first are bound as the items of arrays, so that each is evaluated once a slot and not once a source
+        first = F.transform(F.array(window), lambda w: F.array_position(w, F.array_min(w)).cast("int"))
+        after = F.transform(
+            first,
+            lambda f: F.struct(
+                F.transform(state["k"], lambda k, i: F.when(i == f - 1, k + 1).otherwise(k)).alias("k"),
+                F.concat(state["run"], F.array(f)).alias("run"),
+            ),
         )
+        return F.element_at(after, 1)
 
     start = F.struct(F.transform(src, lambda _: F.lit(0).cast("bigint")).alias("k"), F.array().cast("array<int>").alias("run"))
     run = F.aggregate(F.sequence(F.lit(0).cast("bigint"), q - 1), start, step, lambda s: s["run"])
