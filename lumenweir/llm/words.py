@@ -55,12 +55,14 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each text boundary the number of words before it (n + 1 values)."""
+def spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text boundary the number of words before it (n + 1 values).
+
+    space: a flag for each byte value, of ASCII characters that are part of no word."""
     if not len(buf):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[offs[:-1][offs[:-1] < len(buf)]] = False
