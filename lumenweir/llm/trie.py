@@ -144,6 +144,8 @@ def nodes_of_part(part: int, merged: Iterator[tuple], lower: bytes | None, upper
         if node.key is not None:
             if node.ids:
                 yield ids(node, depth)
+            if stack:
+                stack[-1].add(node.convs, node.least)
             yield (OPEN, node.key, node_key(path, depth - 1) if depth else None, node.least, None, depth, node.chars, node.convs, node.children, node.leaves, node.saved, part, 0, "")
             return
         above = stack[-1]
