@@ -69,8 +69,12 @@ class Tokens:
             gap[1:] = (breaks[self.starts[1:]] != breaks[self.ends[:-1]]) | (self.lang[1:] != self.lang[:-1])
         self.at = np.arange(len(gap)) + np.cumsum(gap)
 
-    def word(self, i: int) -> bytes:
-        return self.buf[self.starts[i] : self.ends[i]].tobytes()
+    def words_at(self, i: np.ndarray) -> pa.Array:
+        """The words of these indices as strings."""
+        sizes = (self.ends - self.starts)[i]
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        inside = np.arange(offs[-1]) + np.repeat(self.starts[i] - offs[:-1], sizes)
+        return pa.StringArray.from_buffers(len(i), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(self.buf[inside]))
 
 
 def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Tokens]]:
@@ -86,13 +90,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, t in tokens_of(batches):
             _, first, n = np.unique(t.ids, return_index=True, return_counts=True)
-            text = [t.word(i).decode() for i in first.tolist()]
-            of = [lang[i] for i in t.lang[first].tolist()]
-            total: dict[str, int] = {}
-            for x, k in zip(of, n.tolist(), strict=True):
-                total[x] = total.get(x, 0) + k
+            totals = np.bincount(t.lang, minlength=len(lang))
+            langs = pa.array(lang, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(of + list(total), pa.string()), pa.array(text + [None] * len(total), pa.string()), pa.concat_arrays([signed(t.ids[first]), pa.array([0] * len(total), pa.int64())]), pa.array(n.tolist() + list(total.values()), pa.int64())],
+                [pa.concat_arrays([langs.take(pa.array(t.lang[first])), langs]), pa.concat_arrays([t.words_at(first), pa.nulls(len(lang), pa.string())]), pa.concat_arrays([signed(t.ids[first]), pa.array(np.zeros(len(lang), np.int64))]), pa.array(np.concatenate([n, totals]))],
                 ["lang", "word", "id", "n"],
             )
 
