@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.llm import words
-from lumenweir.llm.common import batches_of, documents, dropped, stored
+from lumenweir.llm.common import batches_of, documents, dropped, dropped_table, sorted_table, stored
 
 SIZE = 50
 #: Text bytes of a block, and names that a bucket is meant to hold.
@@ -30,6 +30,8 @@ BLOCK_BYTES = 1 << 22
 BUCKET_NAMES = 1 << 21
 #: Documents of an Arrow batch.
 DOC_ROWS = 200
+#: Blocks of a bucket of the stored table of blocks, and its fewest and most buckets.
+BUCKET_BLOCKS, LEAST_BUCKETS, MOST_BUCKETS = 2, 8, 100_000
 
 #: Difference covers by their moduli: every difference modulo v is one of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -161,6 +163,16 @@ def blocked(docs: DataFrame) -> DataFrame:
     return docs.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id")).mapInArrow(assign, BLOCKED)
 
 
+def block_table(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs as a table that is bucketed by block, so that what buckets return meets the texts where they are; and their bytes."""
+    flat = stored(docs.withColumn("n_bytes", F.octet_length("body")), "blocked")
+    n_bytes = flat.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n_bytes // (BUCKET_BLOCKS * BLOCK_BYTES)))
+    out = sorted_table(flat.drop("n_bytes").repartition(buckets, "block"), "blocks", "block", buckets)
+    dropped(flat)
+    return out, n_bytes
+
+
 def bits_for(names: int) -> int:
     """Buckets as a power of 2, so that each has about BUCKET_NAMES."""
     return max(4, (names // BUCKET_NAMES).bit_length())
@@ -330,15 +342,15 @@ def without_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     with batches_of(spark, DOC_ROWS):
         # null doc_ids are made the least ones, as min() skips nulls
         least = F.coalesce("doc_id", F.lit(-(1 << 63)))
-        whole = stored(blocked(first_copies(rows.withColumn("doc_id", least))), "blocked")
         v, members = cover_of(size)
-        n_bytes = whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        whole, n_bytes = block_table(blocked(first_copies(rows.withColumn("doc_id", least))))
         bits, wide = bits_for(n_bytes * len(members) // v), bits_for(n_bytes // 3)
         tied = stored(tied_places(whole, size, bits), "tied")
         earlier = stored(earlier_names(whole, tied, size, bits, wide), "earlier")
         cuts = stored(removed_spans(whole, tied, earlier, size, bits, wide), "cuts")
         copies = stored(whole.filter(F.col("body").isNull()).select("key").distinct(), "copies")
-        for t in (whole, tied, earlier):
+        dropped_table(whole)
+        for t in (tied, earlier):
             dropped(t)
     return kept_bytes(rows, cuts, copies, size).withColumn("doc_id", F.col("doc_id").cast(kind))
 

@@ -82,3 +82,13 @@ def test_query_equals_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
     want = [(i, n, sum(z - a for a, z in s), len(s), sha256(k).hexdigest()) for (i, _), (n, s, k) in zip(rows, brute(rows, 50), strict=True)]
     assert sorted(tuple(r) for r in S.op13_suffix_dedup(spark, d).collect()) == want
+
+
+def test_texts_stay_where_they_are(spark, make_docs):
+    docs = make_docs(["a" * 60, "b" * 70]).select("doc_id", "doc_id", "text").toDF("doc_id", "key", "text")
+    whole, n = S.block_table(S.blocked(S.first_copies(docs)))
+    assert n == 130
+    tied = S.tied_places(whole, 50, 4)
+    plan = whole.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(lambda k, a, b: a, whole.schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1
+    S.dropped_table(whole)
