@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweir.functions.identity import rounded
 from lumenweir.sources.tables import stored
 
 
@@ -13,37 +14,63 @@ def runs(tokens: Column, size: int, by: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, F.lit(size)), by)))
 
 
-def shingles(tokens: Column, size: int = 5) -> Column:
-    """Distinct hashed runs of `size` tokens; none if there are fewer tokens. Tokens are joined by U+001F."""
-    return F.when(F.size(tokens) >= size, F.array_distinct(runs(tokens, size, "\x1f"))).otherwise(F.array().cast("array<bigint>"))
+def shingles(tokens: Column, size: int = 5, by: str = "\x1f") -> Column:
+    """Distinct hashed runs of `size` tokens; none if there are fewer tokens. Tokens are joined by `by`."""
+    return F.when(F.size(tokens) >= size, F.array_distinct(runs(tokens, size, by))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Words of 64 bits of a unit's parity sketch.
+SKETCH = 4
+
+
+def clone_candidates(units: DataFrame, threshold: float = 0.85, length_ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(candidates, sets): left, right, ma, mb of the pairs that may have this similarity, and key, grams that other units have too.
+
+    units (key, n, grams) must be a stored table of units with grams. Each unit is indexed under its rarest grams only, m -
+    ceil(threshold * m) + 1 of its m; similar sets must share one of them. Grams of one unit alone are the rarest, so they
+    only shorten its index. Pairs that meet are counted, and three bounds on what they can share are taken before any set
+    moves: by sizes; by the grams left after the last one that they meet at; and by a parity sketch of the grams, whose
+    differing bits are no more than the grams that differ.
+    """
+    t = F.lit(float(threshold))
+    sized = units.select("key", "n", F.size("grams").alias("m"), "grams")
+    each = sized.select("key", "n", "m", F.explode("grams").alias("g"))
+    frequency = each.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    word, bit = F.shiftright("g", 6).bitwiseAND(SKETCH - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("g").bitwiseAND(63).cast("int"))
+    sketch = [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("bigint")).alias(f"s{i}") for i in range(SKETCH)]
+    ranked = each.join(frequency, "g").groupBy("key", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("order"), *sketch)
+    ranked = stored(ranked.select("key", "n", "m", F.size("order").alias("k"), F.col("order.g").alias("grams"), *(f"s{i}" for i in range(SKETCH))), "ranked")
+    alone = F.col("m") - F.col("k")
+    indexed = F.col("m") - F.ceil(t * F.col("m")).cast("int") + 1 - alone
+    prefix = ranked.filter(indexed > 0).select("key", "n", "m", "k", *(f"s{i}" for i in range(SKETCH)), F.posexplode(F.slice("grams", F.lit(1), indexed)).alias("at", "g"))
+    prefix = stored(prefix.withColumn("at", F.col("at") + 1), "prefix")
+    fields = ["key", "n", "m", "k", "at", *(f"s{i}" for i in range(SKETCH))]
+    a, b = (prefix.select("g", *(F.col(c).alias(f"{c}{x}") for c in fields)) for x in "ab")
+    ratio = lambda x, y, least: F.least(x, y) >= F.lit(float(least)) * F.greatest(x, y)
+    met = a.join(b, "g").filter((F.col("keya") < F.col("keyb")) & ratio("ma", "mb", threshold) & ratio("na", "nb", length_ratio))
+    whole = [f"{c}{x}" for x in "ab" for c in fields if c != "at"]
+    met = met.groupBy(*whole).agg(F.count("*").alias("shared"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
+    left = F.col("shared") + F.least(F.col("ka") - F.col("ata"), F.col("kb") - F.col("atb"))
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
+    most = F.least(left, F.floor((F.col("ka") + F.col("kb") - differ) / 2))
+    may = met.filter(most / (F.col("ma") + F.col("mb") - most) >= t)
+    return may.select(F.col("keya").alias("left"), F.col("keyb").alias("right"), "ma", "mb"), ranked.select("key", "grams")
 
 
 def near_clone_pairs(units: DataFrame, threshold: float = 0.85, length_ratio: float = 0.8) -> DataFrame:
     """left, right, shared, score for all pairs of units (key, n, grams) whose grams have this Jaccard similarity or more.
 
-    A unit is indexed under its rarest grams only, m - ceil(threshold * m) + 1 of m; no pair is lost, since similar sets
-    must share one of them. Rare grams have short lists, so the candidate join stays near the result's size; adaptive
-    execution splits what is still hot. Candidates are verified on their whole sets. n: token counts, compared by
-    length_ratio. Units with equal sets should be one unit (see groups.leakage_edges). Units without grams pair with none.
+    No pair is lost; see clone_candidates() for what is compared. Of candidates, only grams that several units have move. n: token
+    counts, compared by length_ratio. Units with equal sets should be one unit (see curation.leakage_edges). Units without
+    grams pair with none.
     """
-    t = F.lit(float(threshold))
-    units = stored(units.filter(F.size("grams") > 0).select("key", "n", "grams", F.size("grams").alias("m")), "units")
-    each = units.select("key", "m", F.explode("grams").alias("g"))
-    frequency = each.groupBy("g").agg(F.count("*").alias("df"))
-    # a gram of one unit alone can't make a pair, but it counts for the order
-    ranked = each.join(frequency, "g").groupBy("key", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("order"))
-    prefix = ranked.select("key", "m", F.explode(F.slice("order", F.lit(1), F.col("m") - F.ceil(t * F.col("m")).cast("int") + 1)).alias("p"))
-    prefix = stored(prefix.filter("p.df > 1").select("key", "m", F.col("p.g").alias("g")), "prefix")
-    a, b = prefix.select(F.col("key").alias("left"), F.col("m").alias("ma"), "g"), prefix.select(F.col("key").alias("right"), F.col("m").alias("mb"), "g")
-    fits = (F.col("left") < F.col("right")) & (F.least("ma", "mb") >= t * F.greatest("ma", "mb"))
-    pairs = a.join(b, "g").filter(fits).select("left", "right").distinct()
-    x = units.select(F.col("key").alias("left"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    y = units.select(F.col("key").alias("right"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.join(x, "left").join(y, "right").filter(F.least("na", "nb") >= F.lit(float(length_ratio)) * F.greatest("na", "nb"))
+    units = stored(units.select("key", "n", "grams"), "units")  # stored first: a filter would be pushed below what makes the grams
+    pairs, sets = clone_candidates(units.filter(F.size("grams") > 0), threshold, length_ratio)
+    x, y = sets.select(F.col("key").alias("left"), F.col("grams").alias("ga")), sets.select(F.col("key").alias("right"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
-    both = both.select("left", "right", shared.alias("shared"), (F.size("ga") + F.size("gb") - shared).alias("union"))
-    scored = both.withColumn("score", F.col("shared") / F.col("union")).filter(F.col("score") >= t)
-    return scored.select("left", "right", F.col("shared").cast("bigint").alias("shared"), F.round("score", 4).alias("score"))
+    both = pairs.join(x, "left").join(y, "right").select("left", "right", "ma", "mb", shared.alias("shared"))
+    scored = both.withColumn("score", F.col("shared") / (F.col("ma") + F.col("mb") - F.col("shared"))).filter(F.col("score") >= F.lit(float(threshold)))
+    return scored.select("left", "right", F.col("shared").cast("bigint").alias("shared"), rounded(F.col("score"), 4).alias("score"))
 
 
 def contained_passages(docs: DataFrame, passages: DataFrame, anchor: int = 8) -> DataFrame:

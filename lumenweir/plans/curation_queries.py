@@ -43,8 +43,8 @@ def family_inheritance(spark, d) -> DataFrame:
 def near_duplicate_pairs(spark, d) -> DataFrame:
     """Pairs between the first documents of each shingle set and length, and each further document with the first one of its own."""
     docs = table(spark, d, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    docs = docs.select("doc_id", F.size("w").alias("n"), F.array_sort(shingles(F.col("w"))).alias("grams")).filter(F.size("grams") > 0)
-    docs = stored(docs.withColumn("s", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), "grams").alias("b"), "n")), "shingles")
+    docs = stored(docs.select("doc_id", F.size("w").alias("n"), F.array_sort(shingles(F.col("w"))).alias("grams")), "shingles").filter(F.size("grams") > 0)
+    docs = docs.withColumn("s", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), "grams").alias("b"), "n"))
     first = stored(docs.groupBy("s").agg(F.min("doc_id").alias("left_doc")), "classes")
     one = docs.join(first, (docs["s"] == first["s"]) & (F.col("doc_id") == F.col("left_doc")), "left_semi")
     pairs = near_clone_pairs(one.select(F.col("doc_id").alias("key"), "n", "grams")).withColumnRenamed("left", "left_doc").withColumnRenamed("right", "right_doc")
@@ -153,7 +153,7 @@ SQL = {
     "exclusion_cascade": CASCADE + " SELECT reason, collection, label, count(*) AS n FROM x GROUP BY ALL",
     "exclusion_pivot": CASCADE + " SELECT reason, CAST(count_if(label = 'PRESENT') AS BIGINT) AS present, CAST(count_if(label = 'ABSENT') AS BIGINT) AS absent FROM x GROUP BY ALL",
     "family_inheritance": f"""WITH {CORPUS} SELECT min(path) AS path, identity, string_agg(DISTINCT origin, ',' ORDER BY origin) FILTER (collection = 'en') AS families FROM corpus GROUP BY identity HAVING count_if(collection = 'en') > 0""",
-    "near_duplicate_pairs": f"WITH {PAIRS} SELECT l AS left_doc, r AS right_doc, shared, round(score, 4) AS score FROM pairs UNION ALL SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY s, n) AS left_doc, doc_id AS right_doc, m AS shared, CAST(1 AS DOUBLE) AS score FROM m) WHERE left_doc < right_doc",
+    "near_duplicate_pairs": f"WITH {PAIRS} SELECT l AS left_doc, r AS right_doc, shared, round_even(score, 4) AS score FROM pairs UNION ALL SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY s, n) AS left_doc, doc_id AS right_doc, m AS shared, CAST(1 AS DOUBLE) AS score FROM m) WHERE left_doc < right_doc",
     "leakage_groups": f"WITH RECURSIVE {GROUPS} SELECT doc_id, root, group_id, members FROM roots JOIN names USING (root)",
     "group_members_hist": f"WITH RECURSIVE {GROUPS} SELECT members, count(*) AS n_groups FROM names GROUP BY 1",
     "hash_group_split": f"""WITH {ROWS}, e AS (SELECT DISTINCT partition, collection FROM r), l AS (SELECT unnest(['PRESENT', 'ABSENT']) AS label)

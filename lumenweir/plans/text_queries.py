@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenweir.functions import identity as I
 from lumenweir.functions import text as T
-from lumenweir.operators.similarity import contained_passages
-from lumenweir.sources.tables import table
+from lumenweir.operators.similarity import contained_passages, shingles
+from lumenweir.sources.tables import stored, table
 
 NUMBERED = r"""list_transform(lines, lambda x, i: printf('%04d', i) || CASE WHEN x = '' THEN ' |' ELSE ' | ' || x END)"""
 LINES = r"""
@@ -107,10 +107,15 @@ def last_sentence_verdict(spark, d) -> DataFrame:
 
 
 def shingle_frequency_topk(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select(T.words(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") >= 5)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    each = docs.select(F.explode(runs).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
-    return each.orderBy(F.desc("df"), "shingle").limit(20)
+    """The 20 shingles that most documents have: counted by hash; only those that can be among them are counted as strings."""
+    top = 20
+    docs = table(spark, d, "documents").select(T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    counts = stored(docs.select(F.explode(shingles(F.col("w"), by=" ")).alias("h")).groupBy("h").agg(F.count("*").alias("df")), "shingle_counts")
+    least = counts.orderBy(F.desc("df")).limit(top).agg(F.min("df")).first()[0] or 0
+    few = counts.filter(F.col("df") >= least).select("h")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
+    named = docs.select(F.explode(runs).alias("shingle")).withColumn("h", F.xxhash64("shingle")).join(few, "h")
+    return named.groupBy("shingle").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "shingle").limit(top)
 
 
 def benchmark_contamination(spark, d) -> DataFrame:

@@ -1,12 +1,17 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweir.operators import curation, similarity
 from lumenweir.operators import curation as C
 from lumenweir.operators.components import components
+from lumenweir.operators.similarity import clone_candidates, near_clone_pairs
+from lumenweir.plans import catalogue, curation_queries, text_queries
+from lumenweir.sources import tables
 
 ROWS = "query_id bigint, partition string, collection string, label string, version string, group_id string, source_tokens bigint"
 
@@ -139,3 +144,58 @@ def test_reason_order(spark):
     df = spark.createDataFrame([(1,), (5,), (9,)], "x int")
     got = [r.reason for r in C.with_reason(df, [("small", F.col("x") < 2), ("odd", F.col("x") % 2 == 1)]).orderBy("x").collect()]
     assert got == ["small", "odd", "odd"]
+
+
+def brute_pairs(sets, threshold, ratio):
+    out = set()
+    for a, (na, x) in sets.items():
+        for b, (nb, y) in sets.items():
+            if a < b and x and y and min(na, nb) >= ratio * max(na, nb) and len(x & y) / len(x | y) >= threshold:
+                out.add((a, b, len(x & y)))
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "seed"), [(0.85, 0), (0.6, 1), (0.3, 2), (1.0, 3)])
+def test_near_clones_equal_brute_force(spark, threshold, seed):
+    rnd = random.Random(seed)
+    families = [[rnd.getrandbits(63) - (1 << 62) for _ in range(rnd.choice([3, 20, 120, 900]))] for _ in range(12)]
+    sets = {}
+    for key in range(140):
+        own = [g for g in rnd.choice(families) if rnd.random() < rnd.choice([1, 0.97, 0.9, 0.6])]
+        sets[key] = (len(own) + rnd.randint(0, 4), {*own, *(rnd.getrandbits(63) for _ in range(rnd.randint(0, 3)))})
+    sets[140] = (3, set())
+    units = spark.createDataFrame([(k, n, sorted(x)) for k, (n, x) in sets.items()], "key bigint, n int, grams array<bigint>")
+    got = {(r.left, r.right, r.shared) for r in near_clone_pairs(units, threshold).collect()}
+    assert got == brute_pairs(sets, threshold, 0.8)
+    pairs, grams = clone_candidates(units.filter("key < 140"), threshold)
+    found = pairs.count()
+    assert len(got) <= found < 140 * 139 / 2
+    assert grams.count() <= 140
+
+
+def test_words_are_cut_once(spark, monkeypatch):
+    """A filter on what words make must not put the pattern into a plan twice: it would run again for each run of words."""
+    plans = []
+
+    def seen(df, name, plain=tables.stored):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    for module in (similarity, curation, curation_queries, text_queries):
+        monkeypatch.setattr(module, "stored", seen)
+    for name in ("near_duplicate_pairs", "leakage_groups", "benchmark_contamination", "shingle_frequency_topk"):
+        df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("regexp_extract_all" in p for p in plans) >= 4
+    for p in plans:
+        assert not any("lambdafunction" in x and "regexp_extract_all" in x for x in p.splitlines()), p
+
+
+def test_near_duplicates_of_long_texts_take_linear_time(spark, tmp_path):
+    rnd = random.Random(1)
+    long = [f"w{rnd.randint(0, 5000)}" for _ in range(40_000)]
+    rows = [(i, " ".join(long[: 20_000 * (1 + i % 2)] + [f"x{i}"])) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = catalogue.QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).count()
+    assert got == 2 * (8 * 7 // 2) and time.monotonic() - began < 60
