@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from heapq import heappop, heappush, heapreplace
 
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lumenweir.functions.identity import group_id, seeded
 from lumenweir.operators.components import components
+from lumenweir.operators.ranks import parts_for, prefix_sums
 from lumenweir.operators.similarity import near_clone_pairs, shingles
-from lumenweir.sources.tables import stored
+from lumenweir.sources.tables import dropped, stored
 
 LABELS = ("PRESENT", "ABSENT")
 
@@ -71,26 +72,31 @@ def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Edges in order of (reason rank, left, right) that join two parts; a sequential rule, for tables of one driver's size."""
-    rank = F.when(F.col("reason") == "declared_family", 0).when(F.col("reason") == "exact_skeleton", 1).otherwise(2)
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        keep = []
-        for a, b in zip(pdf["left"], pdf["right"], strict=True):
-            x, y = sorted((find(a), find(b)))
-            keep.append(x != y)
-            root[y] = x
-        return pdf[keep].drop(columns=["rank", "all"])
+    """The edges (left, right, reason, ...) that join two parts when all are taken in order of (reason rank, left, right).
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields)
-    return edges.withColumn("rank", rank).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: forest(pdf.sort_values(["rank", "left", "right"])), kind)
+    These are the edges of the least spanning forest in that order, whatever the order in which they are found: in each round
+    every part takes its least edge to another part, as a partial aggregate, and parts that an edge joins become one. There
+    are at most log2(nodes) rounds, and edges within a part leave the table. Repeated edges and self-loops are allowed.
+    """
+    rank = F.when(F.col("reason") == "declared_family", 0).when(F.col("reason") == "exact_skeleton", 1).otherwise(2)
+    edge = F.struct(rank.alias("rank"), "left", "right", "reason").alias("e")
+    rows = stored(edges.filter("left != right").select(edge, F.col("left").alias("a"), F.col("right").alias("b")).distinct(), "forest_edges")
+    taken: list[DataFrame] = []
+    while not rows.isEmpty():
+        ends = rows.select("e", F.explode(F.array(F.struct(F.col("a").alias("part"), F.col("b").alias("other")), F.struct(F.col("b").alias("part"), F.col("a").alias("other")))).alias("x"))
+        least = ends.groupBy("x.part").agg(F.min(F.struct("e", "x.other")).alias("least")).select("part", "least.e", "least.other")
+        least = stored(least, "least_edges")
+        taken.append(least.select("e.left", "e.right", "e.reason").distinct())
+        whole = stored(components(least.select(F.col("part").alias("a"), F.col("other").alias("b"))), "parts")
+        merged = rows
+        for end in "ab":  # every part has an edge, so it has a label
+            merged = merged.join(whole.withColumnRenamed("node", end).withColumnRenamed("label", f"new_{end}"), end)
+        merged = stored(merged.filter("new_a != new_b").select("e", F.col("new_a").alias("a"), F.col("new_b").alias("b")), "forest_edges")
+        for t in (rows, whole):
+            dropped(t)
+        rows = merged
+    kept = reduce(DataFrame.unionByName, taken) if taken else edges.limit(0).select("left", "right", "reason")
+    return edges.dropDuplicates(["left", "right", "reason"]).join(kept.distinct(), ["left", "right", "reason"], "left_semi")
 
 
 def hash_partition(key: Column, folds: int = 8, test: tuple[int, ...] = (0, 1), validation: tuple[int, ...] = (2,), salt: str = "") -> Column:
@@ -114,46 +120,56 @@ def gates(rows: DataFrame, least: dict[str, int], collections: int) -> DataFrame
     return cells.join(groups, "partition").select("partition", ((F.col("c") == collections) & (F.col("n") > 0) & (F.col("k") == len(LABELS)) & (F.col("g") >= gate)).alias("passed"))
 
 
-def stratified_group_split(rows: DataFrame, folds: int, seeds: range, least: dict[str, int], test: tuple[int, ...] = (0, 1), validation: tuple[int, ...] = (2,), attempts: list | None = None) -> tuple[DataFrame, int]:
-    """rows with partition, and the first seed that passes the gates (attempts gets what each seed tried passed): groups are dealt to folds so that strata stay even.
+def fold_groups(cells: DataFrame, folds: int, seeds: Iterable[int]) -> DataFrame:
+    """seed, group_id, fold for each seed and group of cells (group_id, stratum, n: its rows in a stratum).
 
-    One row a group and stratum is all that the greedy rule sees; it runs in one task for each seed. Groups with the widest
-    spread over strata go first, ties by a seeded hash; a group goes to the fold where the strata's shares then differ least.
+    A group counts for the stratum that most of its rows are in (the first of those by name). A stratum's groups stand in the
+    order of SHA-256 of "seed:group_id", end to end by their rows, and the line is cut into even folds; a group goes to the
+    fold that its middle lies in. So in each fold a stratum has its share of rows but for one group at most. Prefix sums
+    are taken in parts of the hash order, so that no task holds a stratum.
+    """
+    own = cells.groupBy("group_id").agg(F.max(F.struct("n", F.struct("stratum"))).alias("most"), F.sum("n").alias("rows"), F.collect_list(F.struct("n", "stratum")).alias("all"))
+    first = F.array_min(F.transform(F.filter("all", lambda x: x["n"] == F.col("most.n")), lambda x: x["stratum"]))
+    own = stored(own.select("group_id", first.alias("stratum"), "rows"), "groups")
+    each = own.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    each = each.withColumn("order", F.sha2(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("group_id").cast("string")), 256))
+    parts = parts_for(own.count())
+    bucket = F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("bigint") * parts / (1 << 28))
+    placed = prefix_sums(each, ["seed", "stratum"], bucket, ["order", "group_id"], "rows", "before", "total")
+    fold = F.expr(f"(2 * before + rows) * {int(folds)} div (2 * total)")
+    return placed.select("seed", "group_id", F.least(fold, F.lit(folds - 1)).cast("int").alias("fold"))
+
+
+def seed_attempts(rows: DataFrame, folds: int, seeds: Iterable[int], least: dict[str, int], test: tuple[int, ...] = (0, 1), validation: tuple[int, ...] = (2,)) -> tuple[DataFrame, DataFrame]:
+    """(placed, attempts), stored: seed, group_id, partition of each group; and seed, partition, label, groups, collections,
+    least_rows (of a collection), passed, all seeds in one plan over a row for each group and stratum.
+
+    rows: group_id, collection, label, ...; strata are collection and label, dealt by fold_groups(). A label passes in a partition
+    if it has the groups that `least` asks for, and rows of every collection.
+    """
+    cells = stored(rows.groupBy("group_id", "collection", "label").agg(F.count("*").alias("n")), "strata")
+    name = F.when(F.col("fold").isin(*test), "test").when(F.col("fold").isin(*validation), "validation").otherwise("train")
+    placed = fold_groups(cells.select("group_id", F.concat_ws("|", "collection", "label").alias("stratum"), "n"), folds, list(seeds))
+    placed = stored(placed.select("seed", "group_id", name.alias("partition")), "placed")
+    collections = cells.select("collection").distinct().count()
+    by, dealt = ["seed", "partition", "label"], cells.join(placed, "group_id")
+    strata = dealt.groupBy(*by, "collection").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.count("*").alias("collections"), F.min("n").alias("least_rows"))
+    groups = dealt.select(*by, "group_id").distinct().groupBy(*by).agg(F.count("*").alias("groups"))
+    gate = F.coalesce(*(F.when(F.col("partition") == p, F.lit(n)) for p, n in least.items()))
+    attempts = groups.join(strata, by).withColumn("passed", (F.col("groups") >= gate) & (F.col("collections") == collections))
+    return placed, stored(attempts, "attempts")
+
+
+def stratified_group_split(rows: DataFrame, folds: int, seeds: Iterable[int], least: dict[str, int], **where) -> tuple[DataFrame, int, DataFrame]:
+    """rows with partition, the first seed that passes the gates in every partition and label, and the attempts of all seeds.
+
+    See seed_attempts(). If no seed passes, that is an error.
     """
-    spark = rows.sparkSession
-    table = stored(rows.groupBy("group_id").pivot("stratum").count().na.fill(0), "strata")
-    names = [c for c in table.columns if c != "group_id"]
-    collections = rows.select("collection").distinct().count()
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        import numpy as np
-
-        seed = int(pdf["seed"].iloc[0])
-        x = pdf[names].to_numpy(float)
-        order = sorted(range(len(x)), key=lambda i: (-x[i].std(), hashlib.sha256(f"{seed}:{pdf['group_id'].iloc[i]}".encode()).hexdigest()))
-        total, have, out = np.maximum(x.sum(axis=0), 1), np.zeros((folds, len(names))), np.zeros(len(x), int)
-        for i in order:
-            cost = []
-            for f in range(folds):
-                have[f] += x[i]
-                cost.append(((have / total).std(axis=0).mean(), have[f].sum(), f))
-                have[f] -= x[i]
-            out[i] = min(cost)[2]
-            have[out[i]] += x[i]
-        return pd.DataFrame({"group_id": pdf["group_id"], "fold": out})
-
-    for seed in seeds:
-        of = table.withColumn("seed", F.lit(seed)).groupBy("seed").applyInPandas(deal, "group_id string, fold bigint")
-        name = F.when(F.col("fold").isin(*test), "test").when(F.col("fold").isin(*validation), "validation").otherwise("train")
-        out = stored(rows.join(of.select("group_id", name.alias("partition")), "group_id"), "split")
-        got = {r.partition: r.passed for r in gates(out, least, collections).collect()}
-        if attempts is not None:
-            attempts.append({"seed": seed, "passed": {p: bool(got.get(p)) for p in least}})
-        if all(got.get(p) for p in least):
-            return out, seed
-    raise ValueError(f"no seed of {seeds} passes the gates on {spark.sparkContext.appName}")
+    placed, attempts = seed_attempts(rows, folds, seeds, least, **where)
+    good = attempts.filter("passed").groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") == len(least) * len(LABELS)).agg(F.min("seed")).first()[0]
+    if good is None:
+        raise ValueError("no seed passes the gates")
+    return rows.join(placed.filter(F.col("seed") == good).select("group_id", "partition"), "group_id"), good, attempts
 
 
 def balanced_ranks(rows: DataFrame, seed: int) -> DataFrame:

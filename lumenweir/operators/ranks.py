@@ -28,3 +28,17 @@ def ranked(df: DataFrame, group: str, bucket: Column, order: list, name: str) ->
     inner = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
     out = df.withColumn("_rank", inner).join(offsets, [group, "_bucket"])
     return out.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_bucket", "_before", "_rank")
+
+
+def prefix_sums(df: DataFrame, by: list[str], bucket: Column, order: list, weight: str, before: str, total: str) -> DataFrame:
+    """df with `before`, the sum of `weight` over the rows ahead within `by`, by (bucket, order), and `total`, that of all rows.
+
+    bucket must rise with order. As with ranked(), a part of a group is a task's work, never the group.
+    """
+    df = df.withColumn("_bucket", bucket)
+    sums = df.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_sum"))
+    group = Window.partitionBy(*by)
+    ahead = F.coalesce(F.sum("_sum").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_bucket", ahead.alias("_ahead"), F.sum("_sum").over(group).alias(total))
+    inner = F.coalesce(F.sum(weight).over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_inner", inner).join(sums, [*by, "_bucket"]).withColumn(before, F.col("_ahead") + F.col("_inner")).drop("_bucket", "_ahead", "_inner")

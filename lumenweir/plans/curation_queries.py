@@ -13,6 +13,8 @@ from lumenweir.plans.corpus import CORPUS, ROWS, corpus, rows
 from lumenweir.sources.tables import stored, table
 
 LEAST = {"train": 3, "validation": 1, "test": 2}
+#: Gates of the seed search, which some seeds miss on the driver's tables.
+SPLIT_LEAST = {"train": 28, "validation": 6, "test": 11}
 
 
 def exact_dedup_conflict(spark, d) -> DataFrame:
@@ -72,7 +74,7 @@ def group_members_hist(spark, d) -> DataFrame:
 
 def edge_forest(spark, d) -> DataFrame:
     r = stored(group_rows(spark, d), "group_rows")
-    return C.spanning_forest(C.leakage_edges(r, min_tokens=5)).groupBy("reason").agg(F.count("*").alias("n"))
+    return C.spanning_forest(stored(C.leakage_edges(r, min_tokens=5), "edges")).select("left", "right", "reason")
 
 
 def hash_group_split(spark, d) -> DataFrame:
@@ -87,10 +89,20 @@ def split_gates(spark, d) -> DataFrame:
     return C.gates(rows(spark, d), LEAST, 4)
 
 
+def split_rows(spark, d) -> DataFrame:
+    """rows() in groups of about eight texts, without their partition."""
+    return rows(spark, d).drop("partition").withColumn("group_id", F.substring("group_id", 1, 2))
+
+
 def stratified_group_split(spark, d) -> DataFrame:
-    r = stored(rows(spark, d).drop("partition").withColumn("stratum", F.concat_ws("|", "collection", "label")), "strata_rows")
-    out, seed = C.stratified_group_split(r, 8, range(42, 62), LEAST)
-    return out.groupBy("partition", "collection", "label").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups")).withColumn("seed", F.lit(seed))
+    r = stored(split_rows(spark, d), "strata_rows")
+    out, seed, _ = C.stratified_group_split(r, 8, range(42, 62), SPLIT_LEAST)
+    return out.groupBy("partition", "collection", "label").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups")).withColumn("seed", F.lit(seed).cast("int"))
+
+
+def split_attempts(spark, d) -> DataFrame:
+    r = stored(split_rows(spark, d), "strata_rows")
+    return C.seed_attempts(r, 8, range(42, 62), SPLIT_LEAST)[1]
 
 
 def balanced_match_rank(spark, d) -> DataFrame:
@@ -116,7 +128,7 @@ def pilot_sample(spark, d) -> DataFrame:
     return C.pilot_sample(rows(spark, d).filter("partition = 'train'"), 6, 42)
 
 
-_F = (exact_dedup_conflict, exclusion_cascade, exclusion_pivot, family_inheritance, near_duplicate_pairs, leakage_groups, group_members_hist, edge_forest, hash_group_split, partition_summary, split_gates, stratified_group_split, balanced_match_rank, match_level_hist, balanced_match_greedy, pair_removal, pilot_sample)
+_F = (exact_dedup_conflict, exclusion_cascade, exclusion_pivot, family_inheritance, near_duplicate_pairs, leakage_groups, group_members_hist, edge_forest, hash_group_split, partition_summary, split_gates, stratified_group_split, split_attempts, balanced_match_rank, match_level_hist, balanced_match_greedy, pair_removal, pilot_sample)
 QUERIES = {f.__name__: f for f in _F}
 
 CASCADE = f"""WITH {CORPUS}, x AS (SELECT collection, label, CASE WHEN origin = 'src3' THEN 'excluded_origin' WHEN trim(text) = '' THEN 'unreadable_source' WHEN contains(text, '###') THEN 'label_leaking_identifiers'
@@ -140,6 +152,26 @@ GROUPS = PAIRS + r""",
     reach(n, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.v = both_ways.a),
     roots AS (SELECT n AS doc_id, min(v) AS root FROM reach GROUP BY 1),
     names AS (SELECT root, sha256('[' || string_agg('"' || doc_id || '"', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']') AS group_id, count(*) AS members FROM roots GROUP BY 1)"""
+CLONES = PAIRS.replace("one AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY s, n)", "one AS (SELECT min(doc_id) AS doc_id FROM w WHERE len(w) >= 5 GROUP BY array_to_string(w, chr(31)))")
+FOREST = CLONES + r""",
+    fam AS (SELECT doc_id, CASE WHEN source IN ('src7', 'src11') THEN source END AS f, w FROM documents JOIN w USING (doc_id)),
+    edges AS (SELECT min(doc_id) OVER (PARTITION BY f) AS l, doc_id AS r, 0 AS rank, 'declared_family' AS reason FROM fam WHERE f IS NOT NULL
+      UNION SELECT min(doc_id) OVER (PARTITION BY array_to_string(w, chr(31))), doc_id, 1, 'exact_skeleton' FROM fam
+      UNION SELECT l, r, 2, 'near_clone' FROM pairs),
+    e AS (SELECT *, row_number() OVER (ORDER BY rank, l, r) AS k FROM edges WHERE l <> r),
+    ways AS (SELECT k, l AS a, r AS b FROM e UNION ALL SELECT k, r, l FROM e),
+    reach(k, v) AS (SELECT k, l FROM e UNION SELECT reach.k, ways.b FROM reach JOIN ways ON ways.a = reach.v AND ways.k < reach.k)"""
+SPLIT = f"""WITH {ROWS}, x AS (SELECT * EXCLUDE (group_id, partition), substr(group_id, 1, 2) AS group_id FROM r),
+    cells AS (SELECT group_id, collection, label, collection || '|' || label AS stratum, count(*) AS n FROM x GROUP BY ALL),
+    own AS (SELECT group_id, arg_min(stratum, (-n, stratum)) AS stratum, sum(n) AS w FROM cells GROUP BY 1),
+    each_seed AS (SELECT *, unnest(range(42, 62)) AS seed FROM own), o AS (SELECT *, sha256(seed || ':' || group_id) AS h FROM each_seed),
+    line AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY seed, stratum ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (PARTITION BY seed, stratum) AS total FROM o),
+    placed AS (SELECT seed, group_id, CASE WHEN fold IN (0, 1) THEN 'test' WHEN fold = 2 THEN 'validation' ELSE 'train' END AS partition FROM (SELECT *, (2 * before + w) * 8 // (2 * total) AS fold FROM line)),
+    dealt AS (SELECT * FROM cells JOIN placed USING (group_id)),
+    strata AS (SELECT seed, partition, label, count(*) AS collections, min(n) AS least_rows FROM (SELECT seed, partition, label, collection, sum(n) AS n FROM dealt GROUP BY ALL) GROUP BY ALL),
+    groups AS (SELECT seed, partition, label, count(DISTINCT group_id) AS groups FROM dealt GROUP BY ALL),
+    attempts AS (SELECT CAST(seed AS INTEGER) AS seed, partition, label, groups, collections, CAST(least_rows AS BIGINT) AS least_rows, groups >= CASE partition WHEN 'train' THEN 28 WHEN 'validation' THEN 6 ELSE 11 END AND collections = (SELECT count(DISTINCT collection) FROM cells) AS passed FROM groups JOIN strata USING (seed, partition, label)),
+    good AS (SELECT min(seed) AS seed FROM (SELECT seed FROM attempts WHERE passed GROUP BY 1 HAVING count(*) = 6))"""
 RANKS = f"""WITH {ROWS}, c AS (SELECT *, count_if(label = 'PRESENT') OVER w AS p, count_if(label = 'ABSENT') OVER w AS a, sha256('[42,"' || query_id || '"]') AS o FROM r WINDOW w AS (PARTITION BY partition, collection)),
     x AS (SELECT *, label = CASE WHEN p < a THEN 'PRESENT' ELSE 'ABSENT' END AS is_case FROM c),
     k0 AS (SELECT *, row_number() OVER (PARTITION BY partition, collection, version, is_case ORDER BY o) AS k FROM x),
@@ -156,6 +188,9 @@ SQL = {
     "near_duplicate_pairs": f"WITH {PAIRS} SELECT l AS left_doc, r AS right_doc, shared, round_even(score, 4) AS score FROM pairs UNION ALL SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY s, n) AS left_doc, doc_id AS right_doc, m AS shared, CAST(1 AS DOUBLE) AS score FROM m) WHERE left_doc < right_doc",
     "leakage_groups": f"WITH RECURSIVE {GROUPS} SELECT doc_id, root, group_id, members FROM roots JOIN names USING (root)",
     "group_members_hist": f"WITH RECURSIVE {GROUPS} SELECT members, count(*) AS n_groups FROM names GROUP BY 1",
+    "edge_forest": f"WITH RECURSIVE {FOREST} SELECT l AS left, r AS right, reason FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = e.k AND reach.v = e.r)",
+    "stratified_group_split": f"{SPLIT} SELECT partition, collection, label, count(*) AS n, count(DISTINCT group_id) AS groups, seed FROM x JOIN placed USING (group_id) JOIN good USING (seed) GROUP BY ALL",
+    "split_attempts": f"{SPLIT} SELECT * FROM attempts",
     "hash_group_split": f"""WITH {ROWS}, e AS (SELECT DISTINCT partition, collection FROM r), l AS (SELECT unnest(['PRESENT', 'ABSENT']) AS label)
         SELECT e.partition, e.collection, l.label, count(query_id) AS n, count(DISTINCT group_id) AS groups FROM e CROSS JOIN l LEFT JOIN r ON r.partition = e.partition AND r.collection = e.collection AND r.label = l.label GROUP BY ALL""",
     "partition_summary": f"WITH {ROWS} SELECT partition, label, count(*) AS n, count(DISTINCT group_id) AS groups, count(DISTINCT collection) AS collections FROM r GROUP BY ALL",

@@ -36,17 +36,42 @@ class ReleaseConfig:
     test_folds: tuple[int, ...] = (0, 1)
     validation_folds: tuple[int, ...] = (2,)
     seed: int = 42
+    #: First and last seed of a split search, and the groups of each label that train, validation and test need; empty: groups are dealt by their hash.
+    split_seeds: tuple[int, ...] = ()
+    least_groups: tuple[int, ...] = (1, 1, 1)
 
 
 @dataclass
 class Release:
-    """rows: selected rows with partition and match; exclusions: path, collection, label, reason; groups; statistics."""
+    """rows: selected rows with partition and match; exclusions: path, collection, label, reason; groups; statistics; and of a
+    split search split_attempts: seed, partition, label, groups, collections, least_rows, passed (before balancing), chosen."""
 
     rows: DataFrame
     exclusions: DataFrame
     edges: DataFrame
     statistics: DataFrame
     names: list[str] = field(default_factory=lambda: ["rows", "exclusions", "edges", "statistics"])
+    split_attempts: DataFrame | None = None
+
+
+def searched_split(rows: DataFrame, config: ReleaseConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with partition, their match roles, attempts) of the first seed whose partitions pass the gates when balanced.
+
+    What balancing leaves of a partition passes only if the whole of it does, so only such seeds are balanced, in order.
+    """
+    least = dict(zip(("train", "validation", "test"), config.least_groups, strict=True))
+    first, last = config.split_seeds
+    placed, attempts = C.seed_attempts(rows, config.folds, range(first, last + 1), least, test=config.test_folds, validation=config.validation_folds)
+    collections = rows.select("collection").distinct().count()
+    whole = attempts.filter("passed").groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") == 2 * len(least))
+    for seed in [r.seed for r in whole.orderBy("seed").collect()]:
+        out = stored(rows.join(placed.filter(F.col("seed") == seed).select("group_id", "partition"), "group_id"), "rows")
+        match = stored(C.match_roles(out, stored(C.balanced_ranks(out, config.seed), "pairs")), "match")
+        selected = out.join(match.filter("match_role <> 'surplus'").select("query_id"), "query_id", "left_semi")
+        passed = {r.partition: r.passed for r in C.gates(selected, least, collections).collect()}
+        if all(passed.get(p) for p in least):
+            return out, match, attempts.withColumn("chosen", F.col("seed") == seed)
+    raise ValueError(f"no seed from {first} to {last} passes the gates")
 
 
 def build_release(corpus: DataFrame, config: ReleaseConfig = ReleaseConfig(), tokens: Column | None = None) -> Release:
@@ -72,9 +97,14 @@ def build_release(corpus: DataFrame, config: ReleaseConfig = ReleaseConfig(), to
     edges = stored(C.leakage_edges(units, config.min_tokens, config.jaccard, config.length_ratio), "edges")
     groups = C.grouped(units, edges)
     part = C.hash_partition(F.col("group_id"), config.folds, config.test_folds, config.validation_folds)
-    rows = kept.join(groups.select(F.col("key").alias("path"), "group_id"), "path").withColumn("partition", part).withColumn("query_id", F.col("path"))
-    rows = stored(rows.select("query_id", "partition", "collection", "label", "version", "group_id", "identity", F.size("tokens").cast("bigint").alias("source_tokens"), T.numbered(F.col("code")).alias("source")), "rows")
-    match = stored(C.match_roles(rows, stored(C.balanced_ranks(rows, config.seed), "pairs")), "match")
+    rows = kept.join(groups.select(F.col("key").alias("path"), "group_id"), "path").withColumn("query_id", F.col("path"))
+    rows = rows.select("query_id", "collection", "label", "version", "group_id", "identity", F.size("tokens").cast("bigint").alias("source_tokens"), T.numbered(F.col("code")).alias("source"))
+    attempts = None
+    if config.split_seeds:
+        rows, match, attempts = searched_split(stored(rows, "ungrouped"), config)
+    else:
+        rows = stored(rows.withColumn("partition", part), "rows")
+        match = stored(C.match_roles(rows, stored(C.balanced_ranks(rows, config.seed), "pairs")), "match")
     selected = rows.join(match.filter("match_role <> 'surplus'"), "query_id")
     surplus = rows.join(match.filter("match_role = 'surplus'"), "query_id", "left_semi")
     ledger = (
@@ -82,7 +112,10 @@ def build_release(corpus: DataFrame, config: ReleaseConfig = ReleaseConfig(), to
         .unionByName(usable.filter("reason IS NOT NULL").select("path", "collection", "label", "reason"))
         .unionByName(surplus.select(F.col("query_id").alias("path"), "collection", "label", F.lit("surplus").alias("reason")))
     )
-    return Release(selected, ledger, edges, C.split_cells(selected))
+    out = Release(selected, ledger, edges, C.split_cells(selected), split_attempts=attempts)
+    if attempts is not None:
+        out.names.append("split_attempts")
+    return out
 
 
 def build_training_records(rows: DataFrame, log: DataFrame, systems: dict[str, str], most_tokens: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweir.operators import curation, similarity
+from lumenweir.operators import curation, ranks, similarity
 from lumenweir.operators import curation as C
 from lumenweir.operators.components import components
 from lumenweir.operators.similarity import clone_candidates, near_clone_pairs
@@ -118,9 +118,9 @@ def test_pair_removal(spark):
 
 
 def test_split_keeps_groups_whole_and_passes_gates(spark):
-    rows = spark.createDataFrame(sample(9, 400), ROWS).drop("partition").withColumn("stratum", F.concat_ws("|", "collection", "label"))
+    rows = spark.createDataFrame(sample(9, 400), ROWS).drop("partition")
     least = {"train": 5, "validation": 1, "test": 2}
-    out, seed = C.stratified_group_split(rows, 8, range(42, 50), least)
+    out, seed, attempts = C.stratified_group_split(rows, 8, range(42, 62), least)
     got = out.collect()
     assert len(got) == 400 and seed >= 42
     of = defaultdict(set)
@@ -128,6 +128,65 @@ def test_split_keeps_groups_whole_and_passes_gates(spark):
         of[r.group_id].add(r.partition)
     assert all(len(v) == 1 for v in of.values())
     assert all(r.passed for r in C.gates(out, least, 2).collect())
+    tried = defaultdict(set)
+    for r in attempts.collect():
+        tried[r.seed].add(r.passed)
+    assert seed == min(s for s, v in tried.items() if v == {True}) and len(tried) == 20
+    with pytest.raises(ValueError, match="no seed"):
+        C.stratified_group_split(rows, 8, range(42, 44), least | {"test": 400})
+
+
+def test_folds_have_their_share_of_each_stratum(spark):
+    """Groups of one stratum: a fold's rows differ from an eighth by a group at each end."""
+    rnd = random.Random(3)
+    cells = [(f"g{i}", rnd.choice("xy"), rnd.randint(1, 9)) for i in range(600)]
+    got = C.fold_groups(spark.createDataFrame(cells, "group_id string, stratum string, n bigint"), 8, [1, 2]).collect()
+    size, of = {g: n for g, _, n in cells}, {g: s for g, s, _ in cells}
+    have = Counter()
+    for r in got:
+        have[r.seed, of[r.group_id], r.fold] += size[r.group_id]
+    assert len(got) == 1200 and len(have) == 32
+    for (_, stratum, _), n in have.items():
+        assert abs(n - sum(size[g] for g in size if of[g] == stratum) / 8) <= 9
+    assert len({frozenset(r.group_id for r in got if r.seed == s and r.fold == 0) for s in (1, 2)}) == 2
+
+
+def kruskal(edges):
+    rank, root, out = {"declared_family": 0, "exact_skeleton": 1, "near_clone": 2}, {}, set()
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, why in sorted(edges, key=lambda e: (rank[e[2]], e[0], e[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            out.add((a, b, why))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_equals_the_sequential_rule(spark, seed):
+    rnd = random.Random(seed)
+    edges = []
+    for _ in range(rnd.choice([5, 60, 300])):
+        a, b = rnd.sample(range(80), 2)
+        edges.append((min(a, b), max(a, b), rnd.choice(["declared_family", "exact_skeleton", "near_clone"])))
+    edges += [(100, 100 + i, "declared_family") for i in range(1, 40)] + [(200 + i, 201 + i, "near_clone") for i in range(40)] + edges[:3] + [(7, 7, "near_clone")]
+    df = spark.createDataFrame([(*e, 0.9) for e in edges], "left bigint, right bigint, reason string, score double")
+    got = C.spanning_forest(df).collect()
+    assert sorted((r.left, r.right, r.reason) for r in got) == sorted(kruskal([e for e in edges if e[0] != e[1]]))
+    assert C.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_prefix_sums(spark):
+    rows = [(i % 3, (i * 37) % 101, i % 7 + 1) for i in range(101)]
+    df = spark.createDataFrame(rows, "g int, x int, w bigint")
+    got = ranks.prefix_sums(df, ["g"], F.floor(F.col("x") / 10), ["x"], "w", "before", "total").collect()
+    for r in got:
+        own = [w for g, x, w in rows if g == r.g and x < r.x]
+        assert r.before == sum(own) and r.total == sum(w for g, _, w in rows if g == r.g)
 
 
 def test_forest_and_components(spark):

@@ -48,6 +48,23 @@ def test_release(spark, corpus):
     assert rows[0].source.startswith("0001 | pragma") and "note" not in rows[0].source
 
 
+def test_release_with_a_split_search(spark, corpus):
+    from dataclasses import replace
+
+    config = replace(CONFIG, split_seeds=(42, 61), least_groups=(5, 1, 4))
+    r = L.build_release(corpus, config)
+    rows, tried = r.rows.collect(), r.split_attempts.collect()
+    chosen = {x.seed for x in tried if x.chosen}
+    assert "split_attempts" in r.names and len(chosen) == 1 and {x.seed for x in tried} == set(range(42, 62))
+    assert all(x.passed for x in tried if x.chosen)
+    groups, cells = {}, Counter((x.partition, x.collection, x.label) for x in rows)
+    for x in rows:
+        groups.setdefault((x.partition, x.label), set()).add(x.group_id)
+    assert len(cells) == 12 and all(len(v) >= dict(train=5, validation=1, test=4)[p] for (p, _), v in groups.items())
+    with pytest.raises(ValueError, match="no seed from 42 to 43"):
+        L.build_release(corpus, replace(config, split_seeds=(42, 43), least_groups=(5, 1, 400)))
+
+
 def test_training_records(spark, corpus):
     rows = L.build_release(corpus, CONFIG).rows
     report = lambda v: F.concat(F.lit('{"analysis":"why","verdict":"'), v, F.lit('","location":'), F.when(v == "PRESENT", '{"start_line":1,"end_line":1,"function":null}').otherwise("null"), F.lit("}"))
@@ -118,8 +135,7 @@ def test_sessions_gates_and_inputs(spark):
     assert Fm.evaluation_inputs(records, 20).count() == 2
     with pytest.raises(Exception, match="prompt of 2 is over 19"):
         Fm.evaluation_inputs(records, 19).collect()
-    tried: list = []
     rows = spark.createDataFrame([(i, "ab"[i % 2], ("PRESENT", "ABSENT")[i // 2 % 2], f"g{i}") for i in range(160)], "query_id bigint, collection string, label string, group_id string")
-    _, seed = C.stratified_group_split(rows.withColumn("stratum", F.concat_ws("|", "collection", "label")), 8, range(42, 45), {"train": 3, "validation": 1, "test": 2}, attempts=tried)
-    assert tried[-1] == {"seed": seed, "passed": {"train": True, "validation": True, "test": True}}
+    _, seed, tried = C.stratified_group_split(rows, 8, range(42, 45), {"train": 3, "validation": 1, "test": 2})
+    assert {r.partition for r in tried.filter(F.col("seed") == seed).filter("passed").collect()} == {"train", "validation", "test"}
     assert {r.reason for r in Fm.cohort_file(spark.createDataFrame([("t", 1), ("t", 2)], "partition string, id bigint"), spark.createDataFrame([("t", 3, "overlength_sequence")], "partition string, id bigint, reason string"), 42).collect()} == {None, "overlength_sequence"}
