@@ -2,10 +2,11 @@
 
 A configuration is a multiset of lengths that fits one sequence; the program covers every length's pieces by as few
 configurations, in fractions, as it can. Multiplicative weights price the lengths: a knapsack dynamic program finds, for each
-length that lags behind, the configuration of greatest price that holds it; lengths that no configuration near the best
-price holds become dearer, lengths that are covered beyond their share cheaper, down to being left out. Any prices bound the program
-from below (their worth over the greatest price of a configuration), which proves how good a plan is. The fractional solution
-is rounded down to whole numbers of sequences, and what that leaves of each length is packed by best fit, longest first.
+length, the configuration of greatest price that holds it, and lengths that are behind in their cover become dearer than others.
+A configuration is used as often as the scarcest of its lengths allows, so no length is covered more than once, and only
+if its price is near the greatest one. Any prices bound the program from below (their worth over the greatest price of a
+configuration), which proves how good a plan is. The fractional solution is rounded, in order, to whole numbers of
+sequences, and what that leaves of each length is packed by best fit, longest first; so is all of it, and the least plan counts.
 The plan depends on the histogram alone, at most `capacity` numbers; the pieces are dealt to it by their rank within their length.
 """
 
@@ -23,9 +24,13 @@ from lumenweir.operators.ranks import parts_for, ranked
 from lumenweir.llm.tokens import token_pieces
 
 CAPACITY = 2048
-#: Rounds and step of the multiplicative weights; how far below the best price a configuration may lie; shares of the
-#: fractional solution of which whole numbers are tried (the rest leaves short pieces for the best fit).
-ROUNDS, STEP, TOLERANCE, SHARES = 24, 0.2, 0.002, (0.95, 0.85, 0.7, 0.5, 0.3)
+#: Knapsacks of a solution; the share of the material that it may leave uncovered.
+ROUNDS, LEFT = 80, 0.01
+#: Two ways to solve: step of the multiplicative weights, how far below the greatest price a configuration may lie, and the
+#: share of a length that one knapsack may cover.
+WAYS = ((1.0, 0.01, 1.0), (4.0, 0.004, 0.5))
+#: Shares of the fractional solution, from its beginning, that are rounded.
+SHARES = (1.0, 0.9, 0.75)
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,43 +59,41 @@ def taken(lengths: list[int], last: list[int], size: int) -> dict[int, int]:
     return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
-    """configuration ((index, times), ...) -> how often, covering each length about ROUNDS times over; and a lower bound on
-    the sequences of any packing."""
-    size, need = lengths.tolist(), counts.tolist()
-    prices = lengths / capacity
-    cover, bound, use, moved = np.zeros(len(size)), 0.0, {}, False
-    for t in range(1, ROUNDS + 1):
-        best, _ = knapsack(lengths, prices, capacity)
-        top = best[capacity]
-        bound = max(bound, float(prices @ counts) / top)
-        # of configurations of one price those of lagging lengths are preferred; together this weighs less than one token
-        open_ = cover <= t + 1
-        weight = np.where(open_, prices * (1 + np.exp(np.minimum(t - 1 - cover, 0)) * 0.8 / capacity), 0.0)
-        steps = knapsack(lengths, weight, capacity)[1].tolist()
-        dearer = []
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, way: tuple[float, float, float] = WAYS[0]) -> tuple[dict[tuple, float], float]:
+    """configuration ((index, times), ...) -> how often, covering no length more than once and all but about LEFT of the
+    material (less after ROUNDS knapsacks), and a lower bound on the sequences of any packing."""
+    step, tolerance, share = way
+    need = counts.astype(float)
+    rest, material = need.copy(), float(need @ lengths)
+    bound, use = 0.0, {}
+    for _ in range(ROUNDS):
+        behind = float(rest @ lengths) / material
+        open_ = np.flatnonzero(rest)
+        if behind <= LEFT or not len(open_):
+            break
+        own, allowed = lengths[open_], np.minimum(rest[open_], share * need[open_])
+        prices = own / capacity * np.exp(step * (rest[open_] / need[open_] - behind))
+        best, last = knapsack(own, prices, capacity)
+        top, size, last = best[capacity], own.tolist(), last.tolist()
+        bound = max(bound, float(prices @ need[open_]) / top)
+        covered = 0.0
         for i in range(len(size) - 1, -1, -1):  # the longest first, which leaves the short ones to fill up
-            if cover[i] >= t:
+            if allowed[i] <= 0 or prices[i] + best[capacity - size[i]] < (1 - tolerance) * top:
                 continue
-            config = taken(size, steps, capacity - size[i])
+            config = taken(size, last, capacity - size[i])
             config[i] = config.get(i, 0) + 1
-            worth = sum(prices[j] * m for j, m in config.items())
-            if (gap := top - prices[i] - best[capacity - size[i]]) > TOLERANCE * top:
-                dearer.append((i, gap))
-            # while all lengths fill sequences at the prices of their tokens, only full ones count
-            if worth < (1 - (8 * TOLERANCE if moved else 0.5 / capacity)) * top:
+            times = min(allowed[j] / m for j, m in config.items())
+            if times <= 0:
                 continue
-            times = need[i] * (t - cover[i]) / config[i]
             for j, m in config.items():
-                cover[j] += times * m / need[j]
-            key = tuple(sorted(config.items()))
+                allowed[j] = max(allowed[j] - times * m, 0)
+                rest[open_[j]] = max(rest[open_[j]] - times * m, 0)
+                covered += times * m * size[j]
+            key = tuple(sorted((int(open_[j]), m) for j, m in config.items()))
             use[key] = use.get(key, 0.0) + times
-        for i, gap in dearer:
-            prices[i] *= min(1 + gap / (2 * prices[i]), 1.5)
-        if dearer:  # lengths that can't fill a sequence: prices of tokens aren't the program's
-            moved = True
-        if moved:
-            prices *= np.exp(-STEP * np.clip(cover / t - 1, 0, 1))
+        rest[rest < 1e-9 * need] = 0
+        if covered < 0.01 * behind * material:  # what is left can't fill sequences at these prices
+            tolerance *= 2
     return use, bound
 
 
@@ -123,31 +126,45 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [x for many in bins.values() for x in many]
 
 
-def rounded(use: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of sequences of a share of the fractional solution, within what there is of each length, and the best fit of the rest."""
+def rounded(use: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, share: float, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Whole numbers of sequences of the first part of a fractional solution, within what there is of each length, and the best
+    fit of the rest; and how many are of the solution. What rounding takes from one configuration the next ones get."""
     left = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    spare = {n: c - int(share * c) for n, c in left.items()}
     plan: list[tuple[dict[int, int], int]] = []
+    most, total = share * sum(use.values()), 0.0
     for key, times in use.items():
-        if (whole := int(times * share / ROUNDS)) > 0:
-            config = {int(lengths[j]): m for j, m in key}
-            whole = min(whole, *((left[n] - spare[n]) // m for n, m in config.items()))
-            if whole > 0:
-                plan.append((config, whole))
-                for n, m in config.items():
-                    left[n] -= m * whole
-    return plan + best_fit({n: c for n, c in left.items() if c}, capacity)
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(multiset of lengths, times) that together cover the histogram exactly, each within capacity: the least of some roundings."""
+        if total + times > most * (1 + 1e-9):
+            break
+        config = {int(lengths[j]): m for j, m in key}
+        whole = min(int(total + times) - int(total), *(left[n] // m for n, m in config.items()))
+        total += times
+        if whole > 0:
+            plan.append((config, whole))
+            for n, m in config.items():
+                left[n] -= m * whole
+    return plan + best_fit({n: c for n, c in left.items() if c}, capacity), sum(times for _, times in plan)
+
+
+def solved(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """(plan, sequences of it that are configurations of the program, lower bound): the plan has (multiset of lengths, times), each
+    within capacity, covers the histogram exactly, and is the least of the roundings and of best fit alone."""
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
     if not len(lengths):
-        return []
+        return [], 0, 0.0
     counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    use, _ = fractional(lengths, counts, capacity)
-    use = dict(sorted(use.items(), key=lambda x: (-x[1], x[0])))
-    return min((rounded(use, lengths, counts, share, capacity) for share in SHARES), key=lambda plan: sum(times for _, times in plan))
+    plans, bound = [], 0.0
+    for way in WAYS:
+        use, below = fractional(lengths, counts, capacity, way)
+        bound = max(bound, below)
+        plans += [rounded(use, lengths, counts, share, capacity) for share in SHARES]
+    plans.append((best_fit(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity), 0))
+    plan, own = min(plans, key=lambda x: (sum(times for _, times in x[0]), -x[1]))
+    return plan, own, bound
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """The plan of solved()."""
+    return solved(histogram, capacity)[0]
 
 
 def intervals(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

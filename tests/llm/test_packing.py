@@ -76,14 +76,51 @@ def test_against_an_exact_solver_and_the_bound(seed):
     assert bound <= least + 1e-9
 
 
-@pytest.mark.parametrize("low, high", [(600, 1100), (400, 800), (1, 2048)])
-def test_not_more_than_best_fit_decreasing(low, high):
-    rnd = random.Random(low)
-    hist = Counter(rnd.randint(low, high) for _ in range(30_000))
-    got, fit = (sum(t for _, t in p) for p in (K.configurations(dict(hist)), K.best_fit(dict(hist), 2048)))
+def histogram(kind, n=20_000):
+    rnd = random.Random(1)
+    if kind == "lognormal":
+        return Counter(min(2048, int(rnd.lognormvariate(5.7, 1)) + 1) for _ in range(n))
+    return Counter(rnd.randint(*kind) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["lognormal", (600, 1100), (400, 800), (1, 2048), (1000, 1000), (1025, 2048)])
+def test_never_more_than_best_fit_nor_less_than_the_bound(kind):
+    hist = histogram(kind)
+    plan, own, bound = K.solved(dict(hist))
+    n = sum(t for _, t in plan)
+    assert bound <= n + 1e-6 and own <= n <= sum(t for _, t in K.best_fit(dict(hist), 2048))
+    have = Counter()
+    for config, times in plan:
+        assert times > 0 and sum(k * m for k, m in config.items()) <= 2048
+        for k, m in config.items():
+            have[k] += m * times
+    assert have == hist
+
+
+@pytest.mark.parametrize("kind", ["lognormal", (400, 800)])
+def test_sequences_that_fill_come_from_the_program(kind):
+    plan, own, bound = K.solved(dict(histogram(kind)))
+    n = sum(t for _, t in plan)
+    assert n <= 1.01 * bound and own > n / 2
+
+
+@pytest.mark.parametrize("kind", ["lognormal", (600, 1100), (400, 800)])
+@pytest.mark.parametrize("way", K.WAYS)
+def test_fractions_cover_no_length_more_than_once(kind, way):
+    hist = histogram(kind)
     lengths = np.array(sorted(hist))
-    _, bound = K.fractional(lengths, np.array([hist[n] for n in lengths.tolist()]), 2048)
-    assert bound <= got <= fit * 1.0001
+    counts = np.array([hist[n] for n in lengths.tolist()])
+    use, bound = K.fractional(lengths, counts, 2048, way)
+    cover = np.zeros(len(lengths))
+    for key, times in use.items():
+        assert times > 0 and sum(int(lengths[j]) * m for j, m in key) <= 2048
+        for j, m in key:
+            cover[j] += times * m
+    assert (cover <= counts * (1 + 1e-6)).all()
+    # the fractions' sequences and the room that the uncovered rest needs at least are no fewer than the bound, and near it where sequences fill
+    left = float((counts - cover) @ lengths) / 2048
+    if kind == "lognormal":
+        assert bound * (1 - 1e-6) <= sum(use.values()) + left <= 1.01 * bound
 
 
 def check(rows, capacity):
