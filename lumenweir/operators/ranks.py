@@ -42,3 +42,17 @@ def prefix_sums(df: DataFrame, by: list[str], bucket: Column, order: list, weigh
     sums = sums.select(*by, "_bucket", ahead.alias("_ahead"), F.sum("_sum").over(group).alias(total))
     inner = F.coalesce(F.sum(weight).over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("_inner", inner).join(sums, [*by, "_bucket"]).withColumn(before, F.col("_ahead") + F.col("_inner")).drop("_bucket", "_ahead", "_inner")
+
+
+def next_in_ring(df: DataFrame, group: str, key: str, value: str, name: str) -> DataFrame:
+    """df with `name`: the `value` of the next row of the group by `key` (a bigint, once in a group), of the last row that of the first.
+
+    The order is global, its parts are ranges of the key; the next row is joined by position, so that no task holds a group.
+    """
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("z"), F.count("*").alias("n")).first()
+    width = max(1, ((ends.z or 0) - (ends.a or 0)) // parts_for(ends.n) + 1)
+    placed = ranked(df, group, F.floor((F.col(key) - F.lit(ends.a or 0)) / width), [key], "_at")
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    after = placed.select(F.col(group).alias("_group"), F.col("_at").alias("_next"), F.col(value).alias(name))
+    placed = placed.join(sizes, group).withColumn("_next", F.pmod(F.col("_at") + 1, F.col("_size"))).withColumnRenamed(group, "_group")
+    return placed.join(after, ["_group", "_next"]).withColumnRenamed("_group", group).drop("_next", "_at", "_size")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.functions import identity as I
 from lumenweir.functions import text as T
 from lumenweir.operators import manifest as N
 from lumenweir.operators import metrics as M
+from lumenweir.operators.ranks import next_in_ring
 from lumenweir.plans.corpus import CORPUS, PREDICTIONS, ROWS, corpus, predictions, rows
 from lumenweir.sources.tables import table
 
@@ -64,10 +65,7 @@ def tfidf_logreg(spark, d) -> DataFrame:
 
 def interventions(spark, d) -> DataFrame:
     p = main_seed(spark, d).select("mode", "id", "gold", F.col("predicted").alias("original"))
-    w = Window.partitionBy("mode", "part").orderBy("id")
-    ring = p.withColumn("part", F.col("id") % 64)
-    donor = F.coalesce(F.lead("original").over(w), F.first("original").over(w))
-    ring = ring.withColumn("donor", donor)
+    ring = next_in_ring(p, "mode", "id", "original", "donor")
     pick = I.drawn(F.concat_ws(":", F.lit("f"), "mode", F.col("id").cast("string")), 4)
     return ring.select("mode", "gold", "original", "donor", F.when(pick == 0, "INVALID").otherwise(F.col("original")).alias("own"), F.when(pick <= 1, "PRESENT").otherwise("ABSENT").alias("empty"), F.when(pick <= 2, F.col("donor")).otherwise(F.col("original")).alias("swapped"))
 
@@ -148,7 +146,7 @@ SQL = {
         x AS (SELECT id, term, tf, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
         SELECT id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS n, arg_max(term, row(tf, term)) AS most, round(max(w) / sqrt(sum(w * w)), 6) AS max_weight FROM x GROUP BY 1""",
     "faithfulness_rates": P42
-    + """, q AS (SELECT mode, id, gold, predicted AS original, coalesce(lead(predicted) OVER w, first(predicted) OVER w) AS donor, ('0x' || substr(sha256('f:' || mode || ':' || id), 1, 8))::BIGINT % 4 AS k FROM p WINDOW w AS (PARTITION BY mode, id % 64 ORDER BY id)),
+    + """, q AS (SELECT mode, id, gold, predicted AS original, coalesce(lead(predicted) OVER w, first(predicted) OVER w) AS donor, ('0x' || substr(sha256('f:' || mode || ':' || id), 1, 8))::BIGINT % 4 AS k FROM p WINDOW w AS (PARTITION BY mode ORDER BY id)),
         z AS (SELECT *, CASE WHEN k = 0 THEN 'INVALID' ELSE original END AS own, CASE WHEN k <= 1 THEN 'PRESENT' ELSE 'ABSENT' END AS empty, CASE WHEN k <= 2 THEN donor ELSE original END AS swapped, donor <> original AS dif FROM q)
         SELECT mode, count(*) AS contracts, count_if(own = original) / count(*) AS own_reproduces, count_if(empty = gold) / count(*) AS empty_accuracy, count_if(empty = 'PRESENT') / count(*) AS empty_present_share,
           CAST(count_if(dif) AS BIGINT) AS swap_pairs, count_if(dif AND swapped = donor) / nullif(count_if(dif), 0) AS swapped_follows_donor, count_if(dif AND swapped = original) / nullif(count_if(dif), 0) AS swapped_keeps_own FROM z GROUP BY 1""",

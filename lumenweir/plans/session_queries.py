@@ -16,6 +16,7 @@ from lumenweir.operators import curation as C
 from lumenweir.operators import metrics as M
 from lumenweir.plans.corpus import LOG, ROWS, log, rows
 from lumenweir.plans.metric_queries import f1_sql
+from lumenweir.sources import sinks
 from lumenweir.sources.tables import shared_dir, table
 from lumenweir.streaming import retry as R
 
@@ -85,8 +86,16 @@ def retry_rounds(spark, d) -> DataFrame:
     return calls.groupBy("round", "status").agg(F.count("*").alias("n"), F.min("query_id").alias("first_query"))
 
 
-QUERIES = {f.__name__: f for f in (retry_episodes, retry_rounds, call_cap, invocation_statuses, teacher_ceiling, cohort_gate, first_sources, checkpoint_order, mode_order, version_by_label, number_formats)}
+def published_rows(spark, d) -> DataFrame:
+    """Cells of rows that were published as a version, read again through the pointer and held against the manifest."""
+    at = f"{shared_dir(spark)}/lumenweir/published-{uuid.uuid4().hex}"
+    sinks.commit_version(spark, at, {"rows": rows(spark, d)})
+    return sinks.read_version(spark, at, "rows").groupBy("partition", "label").agg(F.count("*").alias("n"), F.sum("source_tokens").alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in (published_rows, retry_episodes, retry_rounds, call_cap, invocation_statuses, teacher_ceiling, cohort_gate, first_sources, checkpoint_order, mode_order, version_by_label, number_formats)}
 SQL = {
+    "published_rows": f"WITH {ROWS} SELECT partition, label, count(*) AS n, CAST(sum(source_tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL",
     "retry_episodes": f"""WITH RECURSIVE {LOG}, e AS (SELECT query_id, event_id, status, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY query_id ORDER BY event_id) AS k FROM log JOIN (SELECT event_id, ts FROM events) USING (event_id)),
         s AS (SELECT query_id, k, ms, event_id, event_id AS first_event, 1 AS attempts, status, status <> 'invalid' AS ended FROM e WHERE k = 1
           UNION ALL SELECT e.query_id, e.k, e.ms, e.event_id, CASE WHEN s.ended OR e.ms - s.ms > 43200000 THEN e.event_id ELSE s.first_event END,

@@ -6,14 +6,17 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweir.functions.text import number_text
+from lumenweir.operators.manifest import verified
 
 
 def parquet_by(df: DataFrame, path: str, *by: str) -> None:
@@ -67,6 +70,67 @@ def publish(path: str, write: Callable[[str], None]) -> None:
         shutil.rmtree(stage, ignore_errors=True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commit_version(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
+    """Publish tables as one new version of a folder on any file system that Spark writes to, and return its name.
+
+    The tables go into a folder of the version's own, with a manifest of the digests of their files; then a pointer is replaced by one
+    atomic rename. A reader sees the version before or this one whole, whatever fails on the way; old versions stay readable.
+    """
+    name = f"v-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{name}/{table}")
+    _digests(spark, f"{folder}/{name}", list(tables)).write.parquet(f"{folder}/{name}/_manifest")
+    jvm, pointer, fs = _hadoop(spark, f"{folder}/current")
+    _, fresh, _ = _hadoop(spark, f"{folder}/.current-{name}")
+    out = fs.create(fresh)
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), how)
+    return name
+
+
+def _digests(spark: SparkSession, version: str, tables: list[str]) -> DataFrame:
+    """name (table/file), sha256 of the Parquet files of a version."""
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{version}/{t}").select(F.lit(t).alias("t"), "path", "content") for t in tables]
+    every = reduce(DataFrame.unionByName, files)
+    return every.select(F.concat("t", F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    """The name of the version that the pointer names."""
+    _, pointer, fs = _hadoop(spark, f"{folder}/current")
+    if not fs.exists(pointer):
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    return spark.read.text(f"{folder}/current").first()[0]
+
+
+def read_version(spark: SparkSession, folder: str, table: str, version: str | None = None, check: bool = True) -> DataFrame:
+    """A table of the current version, or of one that was; its files are held against the manifest first, unless check is off."""
+    at = f"{folder}/{version or current_version(spark, folder)}"
+    if check:
+        stated = spark.read.parquet(f"{at}/_manifest").filter(F.startswith("name", F.lit(f"{table}/")))
+        bad = verified(stated, _digests(spark, at, [table])).filter("state <> 'ok'").orderBy("name").limit(3).collect()
+        if bad:
+            raise ValueError(f"{at}: " + ", ".join(f"{r['name']} is {r['state']}" for r in bad))
+    return spark.read.parquet(f"{at}/{table}")
+
+
+def copy_manifest(spark: SparkSession, folder: str, to: str) -> None:
+    """The manifest of the current version as one JSON lines file in a folder `to`, in order of names, to keep beside the code."""
+    manifest = spark.read.parquet(f"{folder}/{current_version(spark, folder)}/_manifest")
+    manifest.orderBy("name").coalesce(1).write.mode("overwrite").json(to)
+
+
 def markdown(scores: DataFrame, columns: list[str], title: str) -> str:
     """A Markdown table of a small result (one row a mode): numbers to three digits, an em dash for null."""
     kinds = dict(scores.dtypes)

@@ -87,3 +87,35 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_sessions(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "user_id int, t string").select("user_id", F.to_timestamp_ntz("t").alias("ts"))
     assert sorted(r.attempts for r in L.sessions(e).collect()) == [1, 2]
+
+
+def test_versions_are_whole_and_checked(spark, tmp_path):
+    at = str(tmp_path / "published")
+    with pytest.raises(FileNotFoundError):
+        S.current_version(spark, at)
+    one = S.commit_version(spark, at, {"a": spark.range(5), "b": spark.range(3)})
+    two = S.commit_version(spark, at, {"a": spark.range(7), "b": spark.range(2)})
+    assert S.current_version(spark, at) == two
+    assert [S.read_version(spark, at, t).count() for t in "ab"] == [7, 2]
+    assert S.read_version(spark, at, "a", one).count() == 5
+
+    with pytest.raises(Exception, match="assert_true|went wrong|USER_RAISED"):  # a version that fails on the way is never seen
+        S.commit_version(spark, at, {"a": spark.range(1), "b": spark.range(1).select(F.raise_error(F.lit("went wrong")).alias("x"))})
+    assert S.current_version(spark, at) == two and S.read_version(spark, at, "a").count() == 7
+    S.copy_manifest(spark, at, str(tmp_path / "copy"))
+    names = [r.name for r in spark.read.json(str(tmp_path / "copy")).collect()]
+    assert names == sorted(names) and {n[0] for n in names} == {"a", "b"}
+    gone = next((tmp_path / "published" / two / "a").glob("part-*.parquet"))
+    gone.rename(str(gone).replace("part-", "port-"))
+    with pytest.raises(ValueError, match="missing|unexpected"):
+        S.read_version(spark, at, "a")
+
+
+def test_ring_over_the_whole_order(spark):
+    from lumenweir.operators.ranks import next_in_ring
+
+    rows = [("m", k, f"v{k}") for k in (5, 900, -3, 44, 10**12)] + [("one", 1, "x")]
+    got = {(r.g, r.k): r.d for r in next_in_ring(spark.createDataFrame(rows, "g string, k bigint, v string"), "g", "k", "v", "d").collect()}
+    order = sorted(k for g, k, _ in rows if g == "m")
+    assert got == {("m", k): f"v{order[(i + 1) % 5]}" for i, k in enumerate(order)} | {("one", 1): "x"}
+    assert next_in_ring(spark.createDataFrame([], "g string, k bigint, v string"), "g", "k", "v", "d").count() == 0
