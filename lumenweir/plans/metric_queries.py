@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.functions import identity as I
+from lumenweir.functions import reports as R
 from lumenweir.functions import text as T
+from lumenweir.operators import generation as G
 from lumenweir.operators import manifest as N
 from lumenweir.operators import metrics as M
 from lumenweir.operators.ranks import next_in_ring
@@ -63,6 +65,18 @@ def tfidf_logreg(spark, d) -> DataFrame:
     return M.tfidf_classifier(c.filter("fold > 0"), c.filter("fold = 0"))
 
 
+def stand_in(prompts: list[str]) -> list[str]:
+    """A model whose answer follows from a prompt's length."""
+    return [("PRESENT", " ABSENT\n", "perhaps")[len(p) % 3] for p in prompts]
+
+
+def generated_predictions(spark, d) -> DataFrame:
+    """Predictions of a stand-in model for all labelled texts, in batches of at most 25,000 padded tokens."""
+    text = F.col("text")
+    records = corpus(spark, d).select(F.col("path").alias("id"), text.alias("prompt"), F.size(T.word_tokens(text)).cast("bigint").alias("tokens"), F.col("label").alias("gold"), "collection", F.col("identity").alias("group_id"), F.col("version").alias("pragma_minor"), F.size(F.split(text, "\n")).alias("line_count"))
+    return G.predictions(G.generated(records, stand_in, 25_000), R.label_verdict(F.col("raw")))
+
+
 def interventions(spark, d) -> DataFrame:
     p = main_seed(spark, d).select("mode", "id", "gold", F.col("predicted").alias("original"))
     ring = next_in_ring(p, "mode", "id", "original", "donor")
@@ -91,7 +105,7 @@ def best_checkpoint(spark, d) -> DataFrame:
     return M.best_checkpoint(f1.select("mode", "epoch", F.round("macro_f1", 1).alias("score")), "mode")
 
 
-_F = (confusion_matrix, macro_f1, scores_by_collection, seed_summary, bootstrap_macro_f1, bootstrap_in_collection, majority_baselines, tfidf_terms, tfidf_logreg, faithfulness_rates, grounding_totals, coverage_antijoin, best_checkpoint)
+_F = (confusion_matrix, macro_f1, scores_by_collection, seed_summary, bootstrap_macro_f1, bootstrap_in_collection, majority_baselines, tfidf_terms, tfidf_logreg, faithfulness_rates, grounding_totals, coverage_antijoin, best_checkpoint, generated_predictions)
 QUERIES = {f.__name__: f for f in _F}
 
 
@@ -125,6 +139,9 @@ def boot_sql(within: str, comparisons: bool) -> str:
 
 
 SQL = {
+    "generated_predictions": f"""WITH {CORPUS}, a AS (SELECT *, CASE length(text) % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN ' ABSENT' || chr(10) ELSE 'perhaps' END AS raw FROM corpus)
+        SELECT path AS id, label AS gold, CASE length(text) % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'ABSENT' ELSE 'INVALID' END AS predicted, raw, collection, identity AS group_id, version AS pragma_minor,
+        CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count FROM a""",
     "confusion_matrix": P42 + " SELECT mode, gold, CAST(count_if(predicted = 'PRESENT') AS BIGINT) AS present, CAST(count_if(predicted = 'ABSENT') AS BIGINT) AS absent, CAST(count_if(predicted = 'INVALID') AS BIGINT) AS invalid FROM p GROUP BY ALL",
     "macro_f1": P42
     + f""" SELECT mode, count(*) AS n, CAST(count_if(predicted = 'INVALID') AS BIGINT) AS invalid, avg(CAST(gold = predicted AS DOUBLE)) AS accuracy,
