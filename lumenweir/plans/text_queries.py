@@ -51,23 +51,20 @@ def markup_comment_blank(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(gone).cast("bigint").alias("n_blanked"), F.length(out).cast("bigint").alias("n_chars"), I.sha(out).alias("blanked_sha256"))
 
 
-CODES = [
-    'a="//x";//y',
-    "/*a\nb*/c",
-    "/* x",
-    "/*/",
-    '"abc',
-    "pragma solidity ^0.8.1; contract A { uint256 x = 0x1F; string s = 'a\\'b'; } // end",
-    "a+ +b",
-    "a++ +b",
-    "function f(uint a, uint b) returns (uint) { return a ** b >>= 2; }",
-]
+def commented(w, i):
+    """The i-th word as a piece of code: a statement, a line comment, a block comment, a string that looks like one, or a call."""
+    put = lambda before, after: F.concat(F.lit(before), w, F.lit(after))
+    k = i % 5
+    return F.when(k == 0, put("", " = 1; ")).when(k == 1, put("// ", "\n")).when(k == 2, put("/* ", "\n*/ ")).when(k == 3, put('"// ', '" ')).otherwise(put("", "();\n"))
 
 
 def source_comment_blank(spark, d) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(CODES)), "id bigint, code string")
-    tokens = T.code_tokens(F.col("code"))
-    return rows.select("id", T.strip_comments(F.col("code")).alias("blanked"), F.size(tokens).alias("n_tokens"), I.code_identity(tokens).alias("identity"), I.list_digest(T.skeleton(tokens)).alias("skeleton"))
+    """The words of each document as code with comments, and that code with its comments blanked."""
+    w = T.word_tokens(F.coalesce("text", F.lit("")))
+    docs = table(spark, d, "documents").select("doc_id", w.alias("w"))
+    docs = docs.select("doc_id", F.array_join(F.transform("w", commented), "").alias("code"))
+    blank = T.strip_comments(F.col("code"))
+    return docs.select("doc_id", F.length("code").cast("bigint").alias("n_chars"), F.sha2("code", 256).alias("code_sha256"), F.sha2(blank, 256).alias("blanked_sha256"))
 
 
 def skeleton_classes(spark, d) -> DataFrame:
@@ -141,7 +138,12 @@ QUERIES = {
     for f in (fingerprint_sha, seeded_sample, line_numbers, line_roundtrip, normalise_lines, markup_comment_blank, source_comment_blank, skeleton_classes, token_counts, overlength, version_extract_hist, citation_extract, last_sentence_verdict, shingle_frequency_topk, benchmark_contamination, readable_sources, query_render)
 }
 CITED = r"""'See lines ' || (doc_id % 7 + 1) || '-' || (doc_id % 90 + 1) || ', ' || (doc_id % 11 + 1) || ' and ' || (doc_id % 13 + 1) || '; line ' || (doc_id % 5 + 1) || '. Deadlines 12 stay. It is PRESENT at line ' || (doc_id % 3 + 1) || '.'"""
+COMMENTED = """array_to_string(list_transform(w, lambda x, i: CASE (i - 1) % 5 WHEN 0 THEN x || ' = 1; ' WHEN 1 THEN {line} || chr(10) WHEN 2 THEN {block} WHEN 3 THEN '"// ' || x || '" ' ELSE x || '();' || chr(10) END), '')"""
 SQL = {
+    "source_comment_blank": f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents),
+        c AS (SELECT doc_id, {COMMENTED.format(line="'// ' || x", block="'/* ' || x || chr(10) || '*/ '")} AS code,
+          {COMMENTED.format(line="repeat(' ', 3 + length(x))", block="repeat(' ', 3 + length(x)) || chr(10) || '   '")} AS blanked FROM t)
+        SELECT doc_id, length(code) AS n_chars, sha256(code) AS code_sha256, sha256(blanked) AS blanked_sha256 FROM c""",
     "fingerprint_sha": """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, sha256('["' || lang || '","' || source || '"]') AS key_sha256,
         sha256('[42,"' || doc_id || '"]') AS seeded_order FROM documents""",
     "seeded_sample": """SELECT doc_id, sha256('[42,"' || doc_id || '"]') AS seeded_order FROM documents ORDER BY 2 LIMIT 25""",
