@@ -2,7 +2,8 @@
 
     python -m lumenweir NAME --data DIR [--out DIR]             a registered query (--list names them)
     python -m lumenweir build_release --data CORPUS --out DIR [--config JSON]
-    python -m lumenweir prompts --data ROWS --out DIR --split S [--pilot N] [--ceiling] [--log LOG] [--max-invocations N]
+    python -m lumenweir schemas --out DIR                       the JSON Schemas of reports and answers
+    python -m lumenweir prompts --data ROWS --out DIR --split S [--pilot N] [--ceiling] [--log LOG] [--max-invocations N] [--schema FILE]
     python -m lumenweir build_records --data ROWS --log LOG --out DIR [--most-tokens N]
     python -m lumenweir evaluate --data GOLD --predictions PREDICTIONS --out DIR
 """
@@ -29,13 +30,30 @@ def build_release(spark, o) -> None:
         (df.write.partitionBy("partition") if name == "rows" else df.write).mode("overwrite").parquet(f"{o.out}/{name}")
 
 
+def schemas(spark, o) -> None:
+    from pathlib import Path
+
+    from lumenweir.functions import json_schema as S
+    from lumenweir.functions import reports as R
+
+    Path(o.out).mkdir(parents=True, exist_ok=True)
+    for name, schema in {"answer": R.answer_schema(), **{f"report_{k}": R.report_schema(k) for k in R.ORDERS}}.items():
+        Path(o.out, f"{name}.json").write_text(S.schema_text(schema), encoding="utf-8")
+
+
 def prompts(spark, o) -> None:
-    """The rows whose answers a session still needs. The test split needs --ceiling, which excludes --pilot; a pilot is of train."""
+    """The rows whose answers a session still needs. The test split needs --ceiling, which excludes --pilot; a pilot is of train.
+    A --schema file that isn't the schema of answers any more is an error: the session would ask for another form."""
     from pyspark.sql import functions as F
 
+    from lumenweir.functions import json_schema as S
+    from lumenweir.functions.reports import answer_schema
     from lumenweir.operators import attempts as A
     from lumenweir.operators import curation as C
+    from lumenweir.sources.readers import whole_text
 
+    if o.schema and S.stale(whole_text(spark, o.schema), answer_schema()):
+        raise ValueError(f"stale schema: {o.schema}")
     if (o.split == "test") != o.ceiling:
         raise ValueError("the test split and --ceiling go together")
     if o.pilot and (o.ceiling or o.split != "train"):
@@ -65,7 +83,7 @@ def evaluate(spark, o) -> None:
         df.write.mode("overwrite").json(f"{o.out}/{name}")
 
 
-COMMANDS = {f.__name__: (f, needs) for f, needs in ((build_release, ("out",)), (prompts, ("out", "split")), (build_records, ("out", "log")), (evaluate, ("out", "predictions")))}
+COMMANDS = {f.__name__: (f, needs) for f, needs in ((build_release, ("out",)), (schemas, ("out",)), (prompts, ("out", "split")), (build_records, ("out", "log")), (evaluate, ("out", "predictions")))}
 
 
 def main(args: list[str] | None = None) -> int:
@@ -74,7 +92,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--data", default="/root/testdata/sf0.001")
     p.add_argument("--out", help="write here instead of showing rows")
     p.add_argument("--list", action="store_true")
-    for name in ("--config", "--log", "--predictions"):
+    for name in ("--config", "--log", "--predictions", "--schema"):
         p.add_argument(name)
     p.add_argument("--split", choices=("train", "validation", "test"))
     p.add_argument("--ceiling", action="store_true")

@@ -50,6 +50,11 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def whole_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, such as a published schema; null if it is missing."""
+    return spark.read.text(path, wholetext=True).first()[0] if _exists(spark, path) else None
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """raw, event (variant) of each line that is JSON; other lines are skipped."""
     lines = spark.read.text(path).select(F.col("value").alias("raw"))

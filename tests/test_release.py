@@ -115,6 +115,12 @@ def test_commands_on_files(spark, corpus, tmp_path, capsys):
     for wrong in (["--split", "test"], ["--split", "train", "--ceiling"], ["--split", "validation", "--pilot", "2"]):
         with pytest.raises(ValueError):
             cli.main(["prompts", "--data", at("release") + "/rows", "--out", at("none"), *wrong])
+    assert cli.main(["schemas", "--out", at("schemas")]) == 0
+    asked = ["prompts", "--data", at("release") + "/rows", "--split", "train", "--out", at("asked"), "--schema"]
+    assert cli.main([*asked, at("schemas") + "/answer.json"]) == 0
+    for wrong in ("report_analysis_first.json", "none.json"):
+        with pytest.raises(ValueError, match="stale"):
+            cli.main([*asked, f"{at('schemas')}/{wrong}"])
     assert cli.main(["evaluate", "--data", at("gold")]) == 1 and "needs --out --predictions" in capsys.readouterr().err
 
 
