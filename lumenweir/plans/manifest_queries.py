@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweir.operators import merkle as K
+from lumenweir.sources.stages import multiset_digest
 from lumenweir.sources.tables import stored, table
 
 FIELDS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
@@ -38,7 +39,14 @@ def digest_changes(spark, d) -> DataFrame:
     return K.changed_values(stored(item_digests(items), "digests"), stored(item_digests(later), "digests"))
 
 
-_F = (digest_tree_items, digest_tree_sources, digest_changes)
+def multiset_digests(spark, d) -> DataFrame:
+    """One digest for each source's texts, and one for each lang's, without sorting or gathering them."""
+    docs = table(spark, d, "documents")
+    by = lambda c: docs.groupBy(F.coalesce(c, F.lit("")).alias("name")).agg(F.count("*").alias("n"), multiset_digest(F.col("text")).alias("sha256")).withColumn("field", F.lit(c))
+    return by("source").unionByName(by("lang"))
+
+
+_F = (digest_tree_items, digest_tree_sources, digest_changes, multiset_digests)
 QUERIES = {f.__name__: f for f in _F}
 
 TREE = """dep AS (SELECT name, CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <= 16384 THEN 1 WHEN count(*) <= 4194304 THEN 2 ELSE 3 END AS depth FROM dig GROUP BY 1),
@@ -49,6 +57,9 @@ TREE = """dep AS (SELECT name, CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <=
     l0 AS (SELECT * FROM leaf WHERE depth = 0 UNION ALL SELECT name, depth, '', sum(n), sha256(string_agg(prefix || ':' || sha256, ',' ORDER BY prefix)) FROM l1 GROUP BY ALL)"""
 ITEM = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, {}, l_returnflag, l_linestatus)"
 SQL = {
+    "multiset_digests": """WITH x AS (SELECT coalesce(sha256(text), repeat('0', 64)) AS d, unnest([{'field': 'source', 'name': coalesce(source, '')}, {'field': 'lang', 'name': coalesce(lang, '')}]) AS k FROM documents),
+        p AS (SELECT k.field AS field, k.name AS name, count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::HUGEINT) AS s{i}" for i in range(4)) + """ FROM x GROUP BY ALL)
+        SELECT name, n, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS sha256, field FROM p""",
     "digest_tree_items": f"""WITH dig AS (SELECT l_returnflag AS name, sha256({ITEM.format('l_suppkey')}) AS d, count(*) AS n FROM lineitem GROUP BY ALL), {TREE},
         nodes AS (SELECT *, 0 AS level FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)
         SELECT name, depth, level, prefix, CAST(n AS BIGINT) AS n, sha256 FROM nodes""",

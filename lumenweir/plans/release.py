@@ -6,7 +6,7 @@ small reports reaches the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from lumenweir.operators import curation as C
 from lumenweir.operators import formatting as Fm
 from lumenweir.operators import manifest as N
 from lumenweir.operators import metrics as M
+from lumenweir.sources.stages import Stages
 from lumenweir.sources.tables import stored
 
 
@@ -118,6 +119,18 @@ def build_release(corpus: DataFrame, config: ReleaseConfig = ReleaseConfig(), to
     return out
 
 
+def staged_release(spark, folder: str, corpus: DataFrame, config: ReleaseConfig = ReleaseConfig()) -> dict[str, DataFrame]:
+    """The tables of build_release() in a folder of the run's own: built once, read on a rerun, and refused for another
+    corpus or configuration."""
+    stages = Stages(spark, folder, asdict(config), {"corpus": corpus})
+
+    def build() -> dict[str, DataFrame]:
+        out = build_release(corpus, config)
+        return {name: getattr(out, name) for name in out.names}
+
+    return stages.stage("release", build)
+
+
 def build_training_records(rows: DataFrame, log: DataFrame, systems: dict[str, str], most_tokens: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(records, exclusions) of the train partition: rows of a release with a match, and a log (query_id, seq, status, report).
 
