@@ -41,8 +41,8 @@ def _any(checks: list[Column]) -> Column:
 
 
 def _bound_once(value: Column, body: Check) -> Column:
-    """body of a value that is computed once, however often body names it: a Column that is merely named twice is computed
-    twice within conditions and lambdas, and a parse so repeated would cost more than all the checks."""
+    """body of a value that is computed once, however often body names it: a Column that is merely named twice may be computed
+    twice within conditions and lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
