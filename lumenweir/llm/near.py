@@ -122,7 +122,8 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = classes.select("cid", "sig", trees).select("tree", branch(F.col("tree"), F.lit(0).cast("bigint"), 0, lambda i: F.element_at("sig", i)).alias("node"), "cid")
     rows = stored(rows, "nodes")
     sizes = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    both = stored(rows.join(sizes, ["tree", "node"]), "sized")
+    # sizes has one row a node, so each row comes out once; rows alone in their node come out without a size
+    both = stored(rows.join(sizes, ["tree", "node"], "left"), "sized")
     small = both.filter(F.col("size") <= LEAF).select("tree", F.col("node").alias("leaf"), "cid")
     large = both.filter(F.col("size") > LEAF).withColumn("blocks", blocks_of(F.col("size")))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))

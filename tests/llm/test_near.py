@@ -100,3 +100,20 @@ def test_components(spark, edges):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_nodes_give_one_row_a_class_whatever_their_sizes(spark, monkeypatch):
+    """A crowd in one node and classes alone in theirs: sizes are joined to as many rows, not to those that share a node."""
+    counts, stored = {}, N.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    rows = [(i, [7 if i < 300 else i] * N.COORDINATES) for i in range(600)]
+    met, crowds = N.leaves(spark.createDataFrame(rows, "cid bigint, sig array<int>"))
+    assert counts["sized"] == counts["nodes"] == 600 * N.TREES
+    assert crowds.count() == 300 * N.TREES
+    assert {r.cid for r in met.select("cid").distinct().collect()} == set(range(300))
