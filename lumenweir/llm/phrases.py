@@ -26,7 +26,7 @@ LEAST = 30
 TOP = 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in percent.
 HELD = 80
-#: Text bytes of a block, and blocks that a Python worker takes at once.
+#: Text bytes of a block, and blocks that a Python worker takes at once and a row group of their table holds.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 8
 #: Hash parts in which the first rows of a language are sought before they meet.
 PARTS = 64
@@ -208,7 +208,7 @@ def phrase_tables(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame,
                 phrases = phrases.kept(keep)
                 yield block_row(adjacent(phrases, postings, 2), phrases, head[keep], tail[keep])
 
-        blocks = stored(docs.mapInArrow(lists, LISTS), "lists")
+        blocks = stored(docs.mapInArrow(lists, LISTS), "lists", BLOCK_ROWS)
     with batches_of(spark, BLOCK_ROWS):
         for length in range(2, longest):
             blocks = longer(blocks, tables[-1] if length > 2 else None, length)
@@ -229,7 +229,7 @@ def longer(blocks: DataFrame, frequent: DataFrame | None, length: int) -> DataFr
             more, head, tail = extended(phrases, postings, length)
             yield block_row(adjacent(more, postings, length + 1), more, head, tail)
 
-    out = stored(blocks.mapInArrow(extend, LISTS), "lists")
+    out = stored(blocks.mapInArrow(extend, LISTS), "lists", BLOCK_ROWS)
     dropped(blocks)
     return out
 

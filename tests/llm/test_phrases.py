@@ -1,8 +1,10 @@
+import glob
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,22 @@ def test_empty_table(spark, make_docs):
 def test_phrases_give_parts_and_longer(spark, make_docs):
     rows = P.phrases(make_docs(["x y z"] * 4 + ["x y"]), 3, 4).withColumn("f", F.col("firsts")).collect()
     assert sorted((r.phrase, r.length, r.a, tuple(r.firsts), tuple(r.rests), r.longer, r.n) for r in rows) == [("x y", 2, 5, (5,), (5,), 4, 14), ("x y z", 3, 4, (5, 5), (4, 4), 0, 14), ("y z", 2, 4, (5,), (4,), 4, 14)]
+
+
+def test_row_groups_of_blocks_stay_small(spark, make_docs, monkeypatch):
+    """A task of many blocks writes and reads a few at a time: rows of megabytes would else fill a row group of 100 or more."""
+    monkeypatch.setattr(P, "BATCH_ROWS", 1)  # a block of each
+    sizes, stored = [], P.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        if name == "lists":
+            files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{out._lumenweir_path}/*.parquet")]
+            sizes.append([m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)])
+        return out
+
+    monkeypatch.setattr(P, "stored", counted)
+    rows = [(i, "one two three four " * 50) for i in range(120)]
+    assert P.phrases(make_docs(rows).coalesce(1), least=30).filter("length = 4").count() > 0
+    assert [sum(s) for s in sizes] == [120] * len(sizes) and len(sizes) == 3
+    assert max(map(max, sizes)) <= P.BLOCK_ROWS
