@@ -125,3 +125,32 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert [c for c in out.columns if c != "mix"] == [c for c in docs.columns if c != "mix"]
         assert {r.doc_id for r in out.collect()} >= set(range(6))
+
+
+def test_sequences_follow_the_order_of_the_mix(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i % 190, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(50, 900))), "en", f"s{i % 3}", i) for i in range(200)]
+    rows[7] = (7, " ".join(rnd.choice("abcdefgh") for _ in range(6000)), "en", "s1", 7)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    by_order = {}
+    for name, order in (("up", F.asc("n_chars")), ("down", F.desc("n_chars"))):
+        docs.repartitionByRange(3, order).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{name}")
+        out = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect()
+        assert Counter((r.doc_id, r.piece) for r in out)[(7, 0)] == 2 and len({r.doc_id for r in out}) == 190
+        seqs = defaultdict(list)
+        for r in out:
+            seqs[r.sequence_id].append((r.offset, r.length))
+        for v in seqs.values():
+            assert [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))]
+            assert sum(n for _, n in v) <= 2048
+        # ids told apart by their row: those that stand twice are left out
+        at = {i: (i if name == "up" else 199 - i) for i in range(10, 190)}
+        least = [min(at[r.doc_id] for r in out if r.sequence_id == q and r.doc_id in at) for q in sorted(seqs) if all(r.doc_id in at for r in out if r.sequence_id == q)]
+        assert least == sorted(least) and len(least) > 10
+        by_order[name] = [sorted(r.doc_id for r in out if r.sequence_id == q) for q in sorted(seqs)]
+    assert by_order["up"] != by_order["down"]
+
+
+def test_a_table_that_is_no_scan_is_packed_in_its_order(spark):
+    docs = spark.range(40, numPartitions=3).selectExpr("id AS doc_id", "repeat('a b ', 500) AS text", "id % 2 AS k").join(spark.range(2).withColumnRenamed("id", "k"), "k")
+    assert sorted({r.doc_id for r in corpus_pipeline.pack(spark, docs, "").collect()}) == list(range(40))
