@@ -46,6 +46,7 @@ def digest_tree(digests: DataFrame, depth: DataFrame | None = None) -> DataFrame
     own = depths(digests)
     if depth is not None:
         own = own.join(depth.select("name", F.col("depth").alias("stated")), "name", "left").select("name", F.coalesce("stated", "depth").alias("depth"))
+    own = stored(own, "depths")  # known to be small where names are few, so that the digests of a name aren't brought to one task
     placed = digests.join(own, "name").withColumn("prefix", F.expr(f"substring(d, 1, {FAN} * depth)"))
     leaves = placed.groupBy("name", "depth", "prefix").agg(F.sum("n").alias("n"), _combined(F.concat("d", F.lit(":"), F.col("n").cast("string"))).alias("sha256"))
     leaves = stored(leaves, "leaves")
@@ -58,7 +59,7 @@ def digest_tree(digests: DataFrame, depth: DataFrame | None = None) -> DataFrame
             nodes = nodes.unionByName(up.agg(F.sum("n").alias("n"), _combined(F.concat("prefix", F.lit(":"), "sha256")).alias("sha256")))
         levels.append(stored(nodes.withColumn("level", F.lit(level)), "level"))
     tree = stored(reduce(DataFrame.unionByName, levels).select("name", "depth", "level", "prefix", "n", "sha256"), "digest_tree")
-    for t in (leaves, *levels):
+    for t in (own, leaves, *levels):
         dropped(t)
     return tree
 
@@ -95,7 +96,7 @@ def changed_values(stated: DataFrame, found: DataFrame) -> DataFrame:
     """
     one = digest_tree(stated)
     leaves = stored(differing_leaves(one, digest_tree(found, one.filter("level = 0").select("name", "depth"))), "leaves")
-    deep = leaves.select("name", "depth").distinct()
+    deep = stored(leaves.select("name", "depth").distinct(), "depths")  # as in digest_tree()
 
     def below(digests: DataFrame, side: str) -> DataFrame:
         placed = digests.join(deep, "name").withColumn("prefix", F.expr(f"substring(d, 1, {FAN} * depth)"))

@@ -87,3 +87,23 @@ def test_empty_tables(spark):
     assert K.changed_values(none, none).count() == 0
     assert [(r.stated, r.found) for r in K.changed_values(some, none).collect()] == [(1, 0)]
     assert [(r.stated, r.found) for r in K.changed_values(none, some).collect()] == [(0, 1)]
+
+
+def test_digests_of_a_name_are_not_brought_to_one_task(spark, monkeypatch):
+    """Few names have few depths, and those are known when the join is planned: digests stay where they are."""
+    plans, keep = {}, K.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(K, "stored", seen)
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # less than the digests, more than the depths
+    digests = keep(K.value_digests(rows, F.col("k"), F.col("v")), "digests")
+    try:
+        tree = K.digest_tree(digests)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans["leaves"] and "BroadcastHashJoin" in plans["leaves"]
+    assert sorted((r.name, r.n) for r in K.roots(tree).collect()) == [("a", 1500), ("b", 1500)]
