@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,19 @@ def test_near_clone_pairs_equal_brute_force(spark):
                 want[a, b] = (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / u, 4))
     assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-4 for k, v in want.items())
     assert got
+
+
+def test_memory_of_skeletons_does_not_grow_with_the_batch():
+    """Many lists in one batch are renamed a run at a time, each by itself."""
+    rows = [[f"n{(i * 7 + k) % 50}" if k % 3 else "pragma" if k == 60 else ";" for k in range(150)] if i % 10 else None for i in range(4000)]
+    rows[5], rows[6] = [], [f"m{k % 9}" for k in range(70_000)]
+    column = pa.array(rows, pa.list_(pa.string()))
+    tracemalloc.start()
+    out = T.renamed(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    assert len(out) == 4000 and out[10].as_py() is None and out[5].as_py() == [] and len(out[6]) == 70_000
+    some = [1, 5, 6, 10, 437, 438, 3999]
+    assert [out[i].as_py() for i in some] == [T.renamed(pa.array([rows[i]], column.type))[0].as_py() for i in some]
+    assert T.renamed(column.slice(0, 0)).to_pylist() == [] and T.renamed(column.slice(3, 9)).to_pylist() == out.slice(3, 9).to_pylist()
