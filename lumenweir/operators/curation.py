@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenweir.functions.identity import group_id, seeded
 from lumenweir.operators.components import components
 from lumenweir.operators.ranks import parts_for, prefix_sums
-from lumenweir.operators.similarity import near_clone_pairs, shingles
+from lumenweir.operators.similarity import near_clone_pairs, shingles, without_keys
 from lumenweir.sources.tables import dropped, stored
 
 LABELS = ("PRESENT", "ABSENT")
@@ -56,7 +56,13 @@ def leakage_edges(rows: DataFrame, min_tokens: int = 100, threshold: float = 0.8
     among one row of each skeleton, since equal skeletons are linked anyhow.
     """
     edges = first_seen_edges(rows, "key", "family", "declared_family").unionByName(first_seen_edges(rows, "key", "skeleton", "exact_skeleton")).withColumn("score", F.lit(None).cast("double"))
-    one = rows.filter(F.size("tokens") >= min_tokens).groupBy("skeleton").agg(F.min_by(F.struct("key", "tokens"), "key").alias("r")).select("r.*")
+    long = rows.filter(F.size("tokens") >= min_tokens)
+    thin = long.select("key", "skeleton")
+    first = stored(thin.groupBy("skeleton").agg(F.min("key").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "first_long")
+    later = stored(thin.join(first, "skeleton").filter("key > first").select("key"), "later")
+    one = without_keys(long, later)
+    if not thin.groupBy("key").count().filter("count > 1").isEmpty():  # a key given twice is one unit
+        one = one.dropDuplicates(["key"])
     units = one.select("key", F.size("tokens").alias("n"), shingles(F.col("tokens")).alias("grams"))
     near = near_clone_pairs(units, threshold, length_ratio)
     return edges.unionByName(near.select("left", "right", F.lit("near_clone").alias("reason"), "score"))

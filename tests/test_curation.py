@@ -250,6 +250,35 @@ def test_words_are_cut_once(spark, monkeypatch):
         assert not any("lambdafunction" in x and "regexp_extract_all" in x for x in p.splitlines()), p
 
 
+def test_grams_move_once(spark, monkeypatch):
+    """The table of grams is exploded once, and not stored a second time."""
+    plans = {}
+
+    def seen(df, name, plain=tables.stored):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    for module in (similarity, curation_queries):
+        monkeypatch.setattr(module, "stored", seen)
+    catalogue.QUERIES["near_duplicate_pairs"](spark, "/root/testdata/sf0.001")
+    assert plans["ranked"].count("Generate explode") == 1 and "units" not in plans
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_pairs_and_edges_with_copies(spark, tmp_path, monkeypatch, most):
+    """Copies are left out by a broadcast or a join alike; a key given twice is one unit."""
+    monkeypatch.setattr(similarity, "MOST_KEYS", most)
+    base = [f"w{i}" for i in range(60)]
+    texts = [base, base, base[:-1] + ["x"], base, base[:-1] + ["x"], ["y", *base[1:]], [f"v{i}" for i in range(60)], ["one", "two"], ["one", "two"]]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.left_doc, r.right_doc, r.shared) for r in catalogue.QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1, 56), (0, 3, 56), (2, 4, 56), (0, 2, 55), (0, 5, 55), (2, 5, 54)}
+    rows = [(i, " ".join(t), t, None) for i, t in enumerate(texts)] + [(2, " ".join(texts[2]), texts[2], None)]
+    edges = curation.leakage_edges(spark.createDataFrame(rows, "key bigint, skeleton string, tokens array<string>, family string"), 5).collect()
+    assert sorted((r.left, r.right, r.reason) for r in edges if r.reason == "near_clone") == [(0, 2, "near_clone"), (0, 5, "near_clone"), (2, 5, "near_clone")]
+    assert sorted((r.left, r.right) for r in edges if r.reason == "exact_skeleton") == [(0, 1), (0, 3), (2, 4), (7, 8)]
+
+
 def test_near_duplicates_of_long_texts_take_linear_time(spark, tmp_path):
     rnd = random.Random(1)
     long = [f"w{rnd.randint(0, 5000)}" for _ in range(40_000)]
