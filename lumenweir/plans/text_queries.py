@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenweir.functions import identity as I
 from lumenweir.functions import text as T
-from lumenweir.operators.similarity import contained_passages, shingles
+from lumenweir.operators.similarity import MOST_KEYS, contained_passages, parts_of, shingles
 from lumenweir.sources.tables import stored, table
 
 NUMBERED = r"""list_transform(lines, lambda x, i: printf('%04d', i) || CASE WHEN x = '' THEN ' |' ELSE ' | ' || x END)"""
@@ -104,14 +104,21 @@ def last_sentence_verdict(spark, d) -> DataFrame:
 
 
 def shingle_frequency_topk(spark, d) -> DataFrame:
-    """The 20 shingles that most documents have: counted by hash; only those that can be among them are counted as strings."""
+    """The 20 shingles that most documents have: counted by hash; only those that can be among them are counted as strings.
+
+    Hashes move alone, 8 bytes a shingle, and only counts of those that several documents have are stored. Where few can be
+    among the first, they are broadcast, so that no strings of others move."""
     top = 20
     docs = table(spark, d, "documents").select(T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    counts = stored(docs.select(F.explode(shingles(F.col("w"), by=" ")).alias("h")).groupBy("h").agg(F.count("*").alias("df")), "shingle_counts")
-    least = counts.orderBy(F.desc("df")).limit(top).agg(F.min("df")).first()[0] or 0
-    few = counts.filter(F.col("df") >= least).select("h")
+    parts = parts_of(spark, (docs.agg(F.sum(F.size("w"))).first()[0] or 0))
+    hashes = docs.select(F.explode(shingles(F.col("w"), by=" ")).alias("h")).repartition(parts, "h")
+    counts = stored(hashes.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shingle_counts")
+    most = counts.orderBy(F.desc("df")).limit(top).agg(F.count("*").alias("n"), F.min("df").alias("least")).first()
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    named = docs.select(F.explode(runs).alias("shingle")).withColumn("h", F.xxhash64("shingle")).join(few, "h")
+    named = docs.select(F.explode(F.when(F.size("w") >= 5, runs)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    if most.n == top:  # else shingles of one document are among them, and all count
+        few = counts.filter(F.col("df") >= most.least).select("h")
+        named = named.join(F.broadcast(few) if few.count() <= MOST_KEYS else few, "h")
     return named.groupBy("shingle").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "shingle").limit(top)
 
 
