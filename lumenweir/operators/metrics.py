@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweir.operators.ranks import ranked
+from lumenweir.operators.similarity import parts_of
 from lumenweir.sources.tables import stored
 
 LABELS = ("PRESENT", "ABSENT")
+#: Terms that a partition of TF-IDF is meant to hold.
+PART_TERMS = 1 << 20
 
 
 def count_vector() -> list[Column]:
@@ -176,12 +179,15 @@ def tfidf(tokens: DataFrame, most_gram: int = 2) -> DataFrame:
         return F.when(F.size("tokens") >= g, found).otherwise(F.array().cast("array<string>"))
 
     grams = F.concat(*map(runs, range(1, most_gram + 1)))
-    tf = tokens.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    docs = F.lit(tokens.count())
-    raw = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + docs) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    # tokens move to their id, each term to its equals once, and back once; partitions are small enough to be sorted in memory
+    n = tokens.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0)).alias("words")).first()
+    parts = parts_of(tokens.sparkSession, most_gram * n.words, PART_TERMS)
+    own = tokens.repartition(parts, "id").select("id", F.explode(grams).alias("term"))
+    tf = own.groupBy("id", "term").agg(F.count("*").alias("tf")).repartition(parts, "term")
+    df = tf.withColumn("df", F.count("*").over(Window.partitionBy("term"))).repartition(parts, "id")
+    raw = df.withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n.docs)) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", "tf", "df", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_classifier(train: DataFrame, test: DataFrame, c: float = 1.0, features: int = 1 << 18) -> DataFrame:

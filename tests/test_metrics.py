@@ -82,6 +82,19 @@ def test_seed_summary_and_tfidf(spark):
     assert math.isclose(sum(v * v for (i, _), v in w.items() if i == 1), 1.0) and w[2, "b"] == 1.0 and set(k for i, k in w if i == 1) == {"a", "b", "a b", "b a"}
 
 
+def test_tfidf_moves_terms_twice(spark):
+    """To their equals and back; ids that come in several rows are one document, but count by their rows."""
+    t = spark.createDataFrame([(i, [f"w{i % 7}", "the", f"x{i}", "the"]) for i in range(50)] + [(3, ["the"])], "id int, tokens array<string>")
+    out = M.tfidf(t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Scan") == 1  # tokens, terms, terms
+    got = {(r.id, r.term): r for r in out.collect()}
+    assert got[3, "the"].tf == 3 and got[3, "the"].df == 50 and got[3, "x3"].df == 1 and len(got) == 50 * 6
+    raw = {term: r.tf * (math.log(52 / (1 + r.df)) + 1) for (i, term), r in got.items() if i == 3}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert all(math.isclose(got[3, term].weight, v / norm) for term, v in raw.items())
+
+
 def test_logistic_baseline_learns(spark):
     rows = [(i, ("call value transfer " if i % 2 else "view pure return ") * 3 + f"x{i}", M.LABELS[0] if i % 2 else M.LABELS[1]) for i in range(60)]
     df = spark.createDataFrame(rows, "id bigint, text string, label string")
