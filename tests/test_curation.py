@@ -264,6 +264,19 @@ def test_grams_move_once(spark, monkeypatch):
     assert plans["ranked"].count("Generate explode") == 1 and "units" not in plans
 
 
+def test_strings_of_rare_shingles_do_not_move(spark, monkeypatch):
+    """Counts of shingles of one document aren't stored, and the few that can be among the first are broadcast."""
+
+    def seen(df, name, plain=tables.stored):
+        out = plain(df, name)
+        assert name == "shingle_counts" and out.filter("df < 2").isEmpty() and not out.isEmpty()
+        return out
+
+    monkeypatch.setattr(text_queries, "stored", seen)
+    plan = catalogue.QUERIES["shingle_frequency_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_pairs_and_edges_with_copies(spark, tmp_path, monkeypatch, most):
     """Copies are left out by a broadcast or a join alike; a key given twice is one unit."""
