@@ -25,8 +25,8 @@ from lumenweir.llm import words
 from lumenweir.llm.common import batches_of, documents, dropped, dropped_table, sorted_table, stored
 
 SIZE = 50
-#: Text bytes of a block, and names that a bucket is meant to hold.
-BLOCK_BYTES = 1 << 22
+#: Text bytes of a block, what a row counts at least (copies have no body), and names that a bucket is meant to hold.
+BLOCK_BYTES, ROW_BYTES = 1 << 22, 64
 BUCKET_NAMES = 1 << 21
 #: Documents of an Arrow batch.
 DOC_ROWS = 200
@@ -140,7 +140,7 @@ def blocked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, key, body) in order of doc_id with rank and block: blocks of whole documents, about BLOCK_BYTES each.
 
     Ranks ascend with doc_id; a doc_id is of one rank. A rank is one block, but rows of one repeated doc_id that would fill a
-    block alone are dealt to several blocks of one rank.
+    block alone are dealt to several blocks of one rank. A row counts ROW_BYTES at least, so that blocks of copies end too.
     """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def blocked(docs: DataFrame) -> DataFrame:
                     block, filled = block + 1, 0
                 ids += ids == 0 or key != last
                 last = key
-                filled += len(body(x))
+                filled += max(ROW_BYTES, len(body(x)))
                 ranks.append(rank)
                 blocks.append(block)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranks, pa.int64()), pa.array(blocks, pa.int64())], [*b.schema.names, "rank", "block"])
@@ -189,8 +189,9 @@ def tied_places(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 own = np.flatnonzero(block == x)
                 names = [cover_names(buf, offs, size)[1] for _, buf, offs in Texts([body(b.column("body")[int(i)]) for i in own]).runs()]
                 names = np.sort(np.concatenate(names))
-                more = names[2:] != names[:-2] if len(names) > 2 else np.empty(0, bool)
-                names = names[np.concatenate([[True] * min(2, len(names)), more])]  # of more than two alike two
+                two = np.ones(len(names), bool)  # of more than two alike two; a batch of short texts has no names
+                two[2:] = names[2:] != names[:-2]
+                names = names[two]
                 out += [(k, int(rank[own[0]]), int(x), shortened(n, bits).tobytes()) for k, n in split(names, bits)]
             yield rows_of(NAMES, out)
 
@@ -304,6 +305,8 @@ def removed_spans(docs: DataFrame, tied: DataFrame, earlier: DataFrame, size: in
         if not own:
             return kind.empty_table()
         own, at, names = np.concatenate(own), np.concatenate(at), np.concatenate(names)
+        if not len(names):  # ties in texts of less than `size` bytes only
+            return kind.empty_table()
         # within the block: documents in order of doc_id, a null one first and all rows of one doc_id alike
         ids = left["doc_id"].to_pylist()
         place = {x: i for i, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x or 0)))}

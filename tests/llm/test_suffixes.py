@@ -92,3 +92,17 @@ def test_texts_stay_where_they_are(spark, make_docs):
     plan = whole.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(lambda k, a, b: a, whole.schema)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(block") == 1
     S.dropped_table(whole)
+
+
+@pytest.mark.parametrize("rows", [[(i, "a" * 60) for i in range(500)], [(i, "short " * 5 + "ab"[i % 2] + "c" * (i % 9)) for i in range(40)], [(i, "x") for i in range(30)]])
+def test_batches_without_long_texts(spark, make_docs, monkeypatch, rows):
+    """Batches and blocks of copies and of texts shorter than what counts have no names, or ties but nothing to remove."""
+    monkeypatch.setattr(S, "DOC_ROWS", 7)
+    assert got(S.without_repeated_bytes(make_docs(rows))) == brute(rows, 50)
+
+
+def test_blocks_of_copies_end(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 6400)
+    docs = make_docs([(i, "a" * 60) for i in range(3000)]).select("doc_id", "doc_id", "text").toDF("doc_id", "key", "text")
+    rows = S.blocked(S.first_copies(docs).coalesce(1)).groupBy("block").count().collect()
+    assert sum(r["count"] for r in rows) == 3000 and max(r["count"] for r in rows) <= 100
