@@ -8,7 +8,8 @@ of a schema is passed over in silence; so is a recursive $ref, as a Column has a
 Strict where the standard is lenient: an integer is a whole number within 64 bits written without fraction or exponent. Patterns
 are Java's, with Unicode classes. Other numbers are compared as doubles.
 
-Every value is bound to a name before its rules are applied, so a text is parsed once and a member taken once.
+Every value is bound to a name before its rules are applied, so a text is parsed once and a member taken once: all members that
+a schema names are taken out of an object by one cast, all elements out of an array by another.
 """
 
 from __future__ import annotations
@@ -52,6 +53,67 @@ def _kind(value: Column) -> Column:
     return F.when(_as(value, "struct<>").isNotNull(), "object").when(_as(value, "array<struct<>>").isNotNull(), "array").otherwise(F.schema_of_variant(value))
 
 
+#: Keywords whose schemas say something about the same value.
+SAME = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else")
+#: Keywords that concern objects and arrays only.
+OF_OBJECTS = ("properties", "required", "additionalProperties", "minProperties", "maxProperties")
+OF_ARRAYS = ("items", "prefixItems", "uniqueItems", "minItems", "maxItems")
+
+
+def _parts(schema, root, seen: tuple[str, ...] = ()) -> list[dict]:
+    """The schema and all others that are applied to the same value."""
+    if not isinstance(schema, dict):
+        return []
+    below = [s for k in SAME if k in schema for s in (schema[k] if isinstance(schema[k], list) else [schema[k]])]
+    ref = schema.get("$ref")
+    out = [] if ref is None or ref in seen else _parts(_target(root, ref), root, (*seen, ref))
+    return [schema, *out, *(x for s in below for x in _parts(s, root, seen))]
+
+
+class _Bound:
+    """A value that is bound to a name, with its kind, the members that its schema names, and its elements."""
+
+    def __init__(self, bound: Column, names: list[str], listed: bool):
+        self.value, self.kind, self.names = bound["v"], bound["k"], names
+        self.fields = bound["f"] if names else None
+        self.elements = bound["i"] if listed else None
+
+    def member(self, name: str) -> Column:
+        return self.fields.getField(name) if name in self.names else _member(self.value, name)
+
+    def items(self) -> Column:
+        return _items(self.value) if self.elements is None else self.elements
+
+
+def _with_bound(value: Column, schema, root, body: Callable[[_Bound], Column]) -> Column:
+    """body of a value, bound once with what its schema asks of it."""
+    parts = _parts(schema, root)
+    names = sorted({k for s in parts for k in (*s.get("properties", {}), *s.get("required", []))})
+    if len({k.lower() for k in names}) < len(names):  # a struct's fields are found whatever their case
+        names = []
+    types = {k for s in parts for k in ([s["type"]] if isinstance(s.get("type"), str) else s.get("type", []))}
+    objects = "object" in types or any(k in s for s in parts for k in OF_OBJECTS)
+    listed = any(k in s for s in parts for k in OF_ARRAYS)
+    taken = [value.alias("v")]
+    if names:
+        taken.append(_as(value, f"struct<{','.join('`' + k.replace('`', '``') + '`:variant' for k in names)}>").alias("f"))
+    if listed:
+        taken.append(_items(value).alias("i"))
+
+    def told(v: Column, b: Column | None = None) -> Column:
+        kind = F.schema_of_variant(v)  # of a container that no keyword concerns, all of it is named
+        if listed or "array" in types:
+            kind = F.when((b["i"] if listed else _as(v, "array<struct<>>")).isNotNull(), "array").otherwise(kind)
+        if objects:
+            kind = F.when((b["f"] if names else _as(v, "struct<>")).isNotNull(), "object").otherwise(kind)
+        return F.struct(v.alias("v"), kind.alias("k"), *(b[c].alias(c) for c, has in (("f", names), ("i", listed)) if has))
+
+    holds = lambda c: body(_Bound(c, names, listed))
+    if not names and not listed:
+        return _bound_once(told(value), holds)
+    return _bound_once(F.struct(*taken), lambda b: _bound_once(told(b["v"], b), holds))
+
+
 def _is(value: Column, kind: str, got: Column | None = None) -> Column:
     """Whether a value is of this JSON type; `got` is its _kind(), where that is known."""
     got = _kind(value) if got is None else got
@@ -80,17 +142,17 @@ def _member(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant") if re.fullmatch(r"[A-Za-z_]\w*", name) else F.try_element_at(_members(value), F.lit(name))
 
 
-def _same(value: Column, want) -> Column:
-    """Whether value is this JSON value; 1 and 1.0 are the same number."""
+def _same(value: Column, want, got: Column | None = None) -> Column:
+    """Whether value is this JSON value; 1 and 1.0 are the same number. `got` is its kind, if it is a scalar."""
     if want is None:
-        return _is(value, "null")
+        return _is(value, "null", got)
     if isinstance(want, bool):
-        return _is(value, "boolean") & (_as(value, "boolean") == F.lit(want))
+        return _is(value, "boolean", got) & (_as(value, "boolean") == F.lit(want))
     if isinstance(want, (int, float)):
         whole = F.lit(str(int(want))).cast("decimal(38,0)") == _as(value, "bigint") if want == int(want) else F.lit(False)
-        return _is(value, "number") & F.when(_is(value, "integer"), whole).otherwise(_as(value, "double") == F.lit(float(want)))
+        return _is(value, "number", got) & F.when(_is(value, "integer", got), whole).otherwise(_as(value, "double") == F.lit(float(want)))
     if isinstance(want, str):
-        return _is(value, "string") & (_as(value, "string") == F.lit(want))
+        return _is(value, "string", got) & (_as(value, "string") == F.lit(want))
     if isinstance(want, list):
         each = [F.coalesce(_same(F.get(_items(value), F.lit(i)), x), F.lit(False)) for i, x in enumerate(want)]
         return _is(value, "array") & (F.size(_items(value)) == len(want)) & _all(each)
@@ -98,13 +160,13 @@ def _same(value: Column, want) -> Column:
     return _is(value, "object") & (F.size(_members(value)) == len(want)) & _all(each)
 
 
-def _bound(value: Column, limit: float, lower: bool, open_: bool) -> Column:
+def _bound(value: Column, got: Column, limit: float, lower: bool, open_: bool) -> Column:
     # the nearest whole number inside the limit, for whole values; the limit itself for others
     edge = (floor(limit) + 1 if open_ else ceil(limit)) if lower else (ceil(limit) - 1 if open_ else floor(limit))
     whole, edge = _as(value, "bigint"), F.lit(str(edge)).cast("decimal(38,0)")
     other, limit = _as(value, "double"), F.lit(float(limit))
     near = (other > limit if open_ else other >= limit) if lower else (other < limit if open_ else other <= limit)
-    return F.when(_is(value, "integer"), whole >= edge if lower else whole <= edge).otherwise(near)
+    return F.when(_is(value, "integer", got), whole >= edge if lower else whole <= edge).otherwise(near)
 
 
 def _target(root, ref: str):
@@ -119,17 +181,17 @@ def _target(root, ref: str):
 
 def _check(value: Column, schema, root, within: tuple[str, ...], missing: bool = True) -> Column:
     """Whether a value conforms; one that isn't there conforms if `missing` says so. `within` are the references that led here."""
-    holds = lambda b: _rules(b["v"], b["k"], schema, root, within)
-    bound = F.struct(value.alias("v"), _kind(value).alias("k"))
-    return _bound_once(bound, lambda b: b["v"].isNull() | holds(b) if missing else b["v"].isNotNull() & holds(b))
+    holds = lambda b: _rules(b, schema, root, within)
+    return _with_bound(value, schema, root, lambda b: b.value.isNull() | holds(b) if missing else b.value.isNotNull() & holds(b))
 
 
-def _rules(value: Column, got: Column, schema, root, within: tuple[str, ...]) -> Column:
-    """Whether a value that is there, of the _kind() `got`, conforms."""
+def _rules(bound: _Bound, schema, root, within: tuple[str, ...]) -> Column:
+    """Whether a value that is there conforms."""
     if isinstance(schema, bool):
         return F.lit(schema)
     below = lambda v, s: _check(v, s, root, within)
-    same = lambda s: _rules(value, got, s, root, within)
+    same = lambda s: _rules(bound, s, root, within)
+    value, got = bound.value, bound.kind
     told: set[str] = set()
     out: list[Column] = []
 
@@ -139,23 +201,25 @@ def _rules(value: Column, got: Column, schema, root, within: tuple[str, ...]) ->
             told.add(keyword)
             out.append(test(schema[keyword]) if kind is None else ~_is(value, kind, got) | test(schema[keyword]))
 
-    text, members, items = _as(value, "string"), _members(value), _items(value)
-    keys, length = F.map_keys(_as(value, "map<string,struct<>>")), F.size(_as(value, "array<struct<>>"))
+    text, members, items = _as(value, "string"), _members(value), bound.items()
+    keys, length = F.map_keys(_as(value, "map<string,struct<>>")), F.size(items)
     known, first = list(schema.get("properties", {})), schema.get("prefixItems", [])
     on(None, "type", lambda x: _any([_is(value, k, got) for k in ([x] if isinstance(x, str) else x)]))
-    on(None, "const", lambda x: _same(value, x))
-    on(None, "enum", lambda x: _is(value, "string", got) & text.isin(*x) if x and all(isinstance(v, str) for v in x) else _any([_same(value, v) for v in x]))
+    on(None, "const", lambda x: _same(value, x, got))
+    on(None, "enum", lambda x: _is(value, "string", got) & text.isin(*x) if x and all(isinstance(v, str) for v in x) else _any([_same(value, v, got) for v in x]))
     on("string", "minLength", lambda x: F.length(text) >= x)
     on("string", "maxLength", lambda x: F.length(text) <= x)
     on("string", "pattern", lambda x: text.rlike(f"(?U){x}"))
     for keyword, lower, open_ in (("minimum", True, False), ("exclusiveMinimum", True, True), ("maximum", False, False), ("exclusiveMaximum", False, True)):
-        on("number", keyword, lambda x, lower=lower, open_=open_: _bound(value, x, lower, open_))
-    on("object", "properties", lambda x: _all([below(_member(value, k), s) for k, s in x.items()]))
-    on("object", "required", lambda x: _all([_member(value, k).isNotNull() for k in x]))
+        on("number", keyword, lambda x, lower=lower, open_=open_: _bound(value, got, x, lower, open_))
+    on("object", "properties", lambda x: _all([below(bound.member(k), s) for k, s in x.items()]))
+    on("object", "required", lambda x: _all([bound.member(k).isNotNull() for k in x]))
     on("object", "minProperties", lambda x: F.size(keys) >= x)
     on("object", "maxProperties", lambda x: F.size(keys) <= x)
 
     def others(x) -> Column:
+        if x is False and all(k in bound.names for k in known):
+            return F.size(keys) == reduce(Column.__add__, [bound.member(k).isNotNull().cast("int") for k in known], F.lit(0))
         if x is False:
             return F.size(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))) == 0
         mine = F.map_filter(members, lambda k, _: ~k.isin(*known)) if known else members
@@ -178,7 +242,7 @@ def _rules(value: Column, got: Column, schema, root, within: tuple[str, ...]) ->
     def referred(x: str) -> Column:
         if x in within:
             raise ValueError(f"recursive $ref: {x}")
-        return _rules(value, got, _target(root, x), root, (*within, x))
+        return _rules(bound, _target(root, x), root, (*within, x))
 
     on(None, "$ref", referred)
     if left := set(schema) - told - ANNOTATIONS:
@@ -188,7 +252,7 @@ def _rules(value: Column, got: Column, schema, root, within: tuple[str, ...]) ->
 
 def conforms(value: Column, schema: dict | bool) -> Column:
     """Whether a variant conforms to a JSON Schema document; false where it is null, that is, where nothing was parsed."""
-    return F.coalesce(_check(value, schema, schema, (), missing=False), F.lit(False))
+    return F.coalesce(_bound_once(value, lambda v: _check(v, schema, schema, (), missing=False)), F.lit(False))
 
 
 def valid_json(raw: Column, schema: dict, ordered: bool = False) -> Column:

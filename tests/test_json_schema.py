@@ -86,3 +86,19 @@ def test_stale():
     assert S.stale(S.schema_text(schema), R.report_schema("verdict_first"))
     assert S.stale(S.schema_text(schema | {"title": "t"}), schema)
     assert S.stale(None, schema) and S.stale("", schema) and S.stale("{", schema)
+
+
+def test_members_are_found_by_their_own_case_and_taken_once(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "integer", "minimum": 2}, "a.b": {"type": "string"}, "c`d": {"type": ["null", "array"]}}, "required": ["a"], "additionalProperties": False}
+    both = {"type": "object", "properties": {"a": {"type": "integer"}, "A": {"type": "string"}}, "additionalProperties": False, "anyOf": [{"required": ["a"]}, {"required": ["A"]}]}
+    cases = [
+        (schema, ['{"a": 2}', '{"a": 2, "a.b": "x", "c`d": null}', '{"a": 2, "c`d": [1]}'], ['{"A": 2}', '{"a": 1}', '{"a": {"x": 2}}', '{"a": 2, "A": 2}', '{"a": null}', '{"a": 2, "a.b": []}', '{"a": 2, "c`d": {}}', "[2]", "2", "{}"]),
+        (both, ['{"a": 1}', '{"A": "x"}', '{"a": 1, "A": "x"}'], ['{"a": "x"}', '{"A": 1}', "{}", "[]"]),
+        ({"additionalProperties": False}, ["{}", "[1]", "1"], ['{"a": 1}']),
+        ({"anyOf": [{"minItems": 2}, {"type": "object"}]}, ["[1, 2]", "{}", "1"], ["[1]"]),
+    ]
+    for s, good, bad in cases:
+        rows = spark.createDataFrame([(r,) for r in good + bad], "r string")
+        assert [r.v for r in rows.select(S.valid_json(F.col("r"), s).alias("v")).collect()] == [True] * len(good) + [False] * len(bad)
+    text = S.valid_json(F.col("r"), schema)._jc.toString()
+    assert text.count("parse_json") == 3 and text.count("variant_get(") < 20
