@@ -155,8 +155,7 @@ def settled(crowds: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
         how = F.when(size <= 2 * LEAF, "leaf").when(F.col("rest") <= LEAF, "star").when(F.lit(last) | (size <= WHOLE), "pairs").otherwise("deep")
         blocks = F.when(F.col("how") == "pairs", F.ceil(size / (2 * LEAF)).cast("bigint")).otherwise(blocks_of(size))
         nodes = stored(nodes.withColumn("how", how).withColumn("blocks", blocks), "open")
-        both = stored(rows.join(nodes, ["tree", "node"]), "settling")
-        kept += [nodes, both]
+        kept.append(nodes)
         block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
         every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
         name = lambda *by: F.xxhash64("tree", "node", *by)
@@ -165,11 +164,15 @@ def settled(crowds: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
             .when(F.col("how") == "star", F.transform(F.when(F.col("label") == F.col("main"), F.array(block)).otherwise(every), lambda x: name(x)))
             .otherwise(F.transform(F.filter(every, lambda x: x != block), lambda x: name(F.least(x, block), F.greatest(x, block))))
         )
-        here = both.filter("how <> 'deep'").select("tree", "node", leaf.alias("leaf"), *carried)
+        # rows of deep nodes go on by a filter, without a shuffle: such a node has more than WHOLE rows, so its name is broadcast;
+        # the others meet their node here, so a class is joined once a subtree at most, however deep it gets
+        inner = nodes.filter("how = 'deep'").select("tree", "node")
+        ends = rows.join(F.broadcast(inner), ["tree", "node"], "left_anti").join(nodes.filter("how <> 'deep'"), ["tree", "node"])
+        here = ends.select("tree", "node", leaf.alias("leaf"), *carried)
         out = here if out is None else out.unionByName(here)
-        deep = both.filter("how = 'deep'").select("tree", "node", *carried)
-        if nodes.filter("how = 'deep'").isEmpty():
+        if inner.isEmpty():
             break
+        deep = rows.join(F.broadcast(inner), ["tree", "node"], "left_semi")
         if level == 1:
             deep = deep.withColumn("tree", F.explode(F.sequence(F.col("tree"), F.col("tree") + REPEATS - 1)))
         child = branch(F.col("tree"), F.col("node"), level, lambda i: F.substring(F.col("low"), i, F.lit(1)))

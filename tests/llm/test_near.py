@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lumenweir.llm import near as N
 from lumenweir.operators.components import components
@@ -117,3 +118,27 @@ def test_nodes_give_one_row_a_class_whatever_their_sizes(spark, monkeypatch):
     assert counts["sized"] == counts["nodes"] == 600 * N.TREES
     assert crowds.count() == 300 * N.TREES
     assert {r.cid for r in met.select("cid").distinct().collect()} == set(range(300))
+
+
+def test_a_class_is_joined_with_its_node_once_a_subtree_however_deep(spark, monkeypatch):
+    """One crowd of 300 in a tree, seven in ten alike in each coordinate and not connected: several levels, one joined row a subtree."""
+    for name, value in {"LEAF": 8, "WHOLE": 64}.items():
+        monkeypatch.setattr(N, name, value)
+    rnd = random.Random(3)
+    classes = [(i, 100, bytes(0 if rnd.random() < 0.7 else rnd.randrange(1, 4) for _ in range(N.COORDINATES))) for i in range(300)]
+    made, join = {}, DataFrame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, list) and on == ["tree", "node"] and "low" in self.columns:
+            made.setdefault(how or "inner", []).append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    classes = spark.createDataFrame(classes, "cid bigint, n bigint, low binary")
+    met = N.settled(spark.range(300).selectExpr("0 AS tree", "7L AS node", "id AS cid"), classes, spark.createDataFrame([], "node bigint, label bigint"))
+    assert len(made["inner"]) > 3
+    assert sum(made["inner"]) <= 300 * N.REPEATS
+    # the filter's rows fall from level to level, and no more classes go on than come in
+    assert made["left_semi"][0] == 300 and all(b < a for a, b in zip(made["left_semi"][1:], made["left_semi"][2:], strict=False))
+    assert met.select("cid").distinct().count() == 300
